@@ -128,9 +128,21 @@ def use_meta_reasoning(question_type, difficulty) -> Column:
     return _c(difficulty).isin(R.META_REASONING_DIFFICULTIES) | _c(question_type).isin(R.META_REASONING_TYPES)
 
 
+def py_fixed(x, digits: int) -> Column:
+    """Python ``f"{x:.{digits}f}"``. ``format_number`` rounds half-even on the exact binary value
+    (as Python does); ``format_string``/``bround`` would round the shortest decimal form, which
+    differs on values such as 0.175. Grouping commas are removed."""
+    return F.replace(F.format_number(_c(x), digits), F.lit(","), F.lit(""))
+
+
+def py_round(x, digits: int) -> Column:
+    """Python ``round(x, digits)`` for doubles (half-even on the exact binary value)."""
+    return py_fixed(x, digits).cast("double")
+
+
 def percent0(x) -> Column:
-    """Python ``f"{x:.0%}"``: half-even rounding of x*100 on the exact binary value."""
-    return F.concat(F.format_string("%.0f", F.bround(_c(x) * 100, 0)), F.lit("%"))
+    """Python ``f"{x:.0%}"``: x*100 formatted with no decimals, then '%'."""
+    return F.concat(py_fixed(_c(x) * 100, 0), F.lit("%"))
 
 
 # --- judge reply parsing (F11, F12) ------------------------------------------------------------
