@@ -166,12 +166,26 @@ def extract_judge_json(text) -> Column:
     return F.coalesce(*[F.try_parse_json(c) for c in candidates])
 
 
+_NUMERIC_KINDS = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL|BOOLEAN)"
+
+
+def _json_number(v: Column, path: str) -> Column:
+    """A field as a double only when it is a JSON number (or boolean, which Python treats as 1/0);
+    strings and other kinds give NULL."""
+    x = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(x).rlike(_NUMERIC_KINDS), F.try_variant_get(x, "$", "double"))
+
+
 def judge_fields(variant) -> Column:
-    """struct of scores, consensus [] , disagreements [], confidence (0.5 when missing)."""
+    """struct of scores, consensus [] , disagreements [], confidence (0.5 when missing).
+    Score fields count only when they are JSON numbers."""
     v = _c(variant)
     obj = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    raw = F.try_variant_get(obj, "$.scores", "array<variant>")
+    fields = ["model_index", "accuracy", "completeness", "reasoning_quality", "clarity"]
+    scores = F.transform(raw, lambda s: F.struct(*[_json_number(s, f"$.{f}").alias(f) for f in fields]))
     return F.struct(
-        F.try_variant_get(obj, "$.scores", JUDGE_SCORES_TYPE).alias("scores"),
+        scores.alias("scores"),
         F.coalesce(F.try_variant_get(obj, "$.consensus_points", "array<string>"), F.array().cast("array<string>")).alias("consensus_points"),
         F.coalesce(F.try_variant_get(obj, "$.disagreement_points", "array<string>"), F.array().cast("array<string>")).alias("disagreement_points"),
         F.coalesce(F.try_variant_get(obj, "$.confidence", "double"), F.lit(0.5)).alias("confidence"),
