@@ -40,3 +40,9 @@ def exact_std(x) -> Column:
 
 def share(count_col, total_col) -> Column:
     return _c(count_col).cast("double") / _c(total_col)
+
+
+def first_seen_key(seq, pos) -> Column:
+    """Order key of (seq, position) as one exact decimal: ``min`` of it keeps the aggregate a
+    hash aggregate (a ``min`` over a struct would force a sort of every row first)."""
+    return (_c(seq).cast("decimal(38,0)") * F.lit(10 ** 10).cast("decimal(38,0)") + _c(pos)).cast("decimal(38,0)")

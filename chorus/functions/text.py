@@ -87,12 +87,26 @@ def category_regex(patterns) -> str:
     return "(?d)(" + "|".join(patterns) + ")"
 
 
+_REGEX_META = set(".^$*+?{}[]\\|()")
+
+
+def category_condition(lowered: Column, patterns) -> Column:
+    """A category applies when any of its patterns is found. Plain words are substring tests
+    (a search for a literal pattern is exactly that); only patterns with metacharacters go
+    through the regex engine, after the cheap tests."""
+    plain = [p for p in patterns if not (set(p) & _REGEX_META)]
+    rx = [p for p in patterns if set(p) & _REGEX_META]
+    cond = _any_substring(lowered, plain) if plain else F.lit(False)
+    return cond | lowered.rlike(category_regex(rx)) if rx else cond
+
+
 def categorize_query(query) -> Column:
     """multi-label weakness categories in declared order, ``["general"]`` when none apply."""
+    # concat_ws skips NULLs, so the joined hits are split back into the ordered list; unlike a
+    # lambda filter over an array, every step here stays inside generated code
     q = F.lower(_c(query))
-    hits = F.array(*[F.when(q.rlike(category_regex(p)), F.lit(cat)) for cat, p in R.WEAKNESS_CATEGORIES])
-    found = F.filter(hits, lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(R.DEFAULT_CATEGORY)))
+    joined = F.concat_ws(",", *[F.when(category_condition(q, p), F.lit(cat)) for cat, p in R.WEAKNESS_CATEGORIES])
+    return F.when(joined == "", F.array(F.lit(R.DEFAULT_CATEGORY))).otherwise(F.split(joined, ","))
 
 
 def lookup(key, table, default=None) -> Column:

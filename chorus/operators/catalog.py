@@ -27,8 +27,10 @@ def catalog_from_config(spark: SparkSession, config: dict) -> DataFrame:
 def observed_catalog(log: DataFrame, config: dict) -> DataFrame:
     """Catalog rows for the models seen in a log (first-seen order), with each provider's
     ``enabled`` flag and each model's role taken from ``config``."""
-    ex = log.select("seq", F.posexplode("responses").alias("pos", "r"))
-    seen = ex.groupBy("r.provider", "r.model_id", "r.model_name").agg(F.min(F.struct("seq", "pos")).alias("_first"))
+    from chorus.functions.agg import first_seen_key
+    from chorus.operators.logview import response_fields
+    ex = log.select("seq", F.posexplode(response_fields("provider", "model_id", "model_name")).alias("pos", "r"))
+    seen = ex.groupBy("r.provider", "r.model_id", "r.model_name").agg(F.min(first_seen_key("seq", "pos")).alias("_first"))
     enabled = [p for p, pc in config.get("providers", {}).items() if pc.get("enabled", False)]
     roles = config.get("roles", {})
     role = F.lit(None).cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chorus.functions import agg as AG
 from chorus.functions import rules as R
 from chorus.functions import text as TX
+from chorus.operators.logview import n_responses, response_fields
 from chorus.operators.scoring import best_response
 
 
@@ -18,7 +19,7 @@ def pair_eligible(min_confidence: float = R.PAIR_MIN_CONFIDENCE, min_responses:
     answer = F.coalesce(F.col("final_answer"), F.lit(""))
     return (
         (F.coalesce(F.col("confidence"), F.lit(0.0)) >= min_confidence)
-        & (F.coalesce(F.size("responses"), F.lit(0)) >= min_responses)
+        & (F.coalesce(n_responses(), F.lit(0)) >= min_responses)
         & (answer != "")
         & (F.length(TX.py_strip(answer)) >= min_chars)
     )
@@ -32,7 +33,7 @@ def training_pair_filter(log: DataFrame, **kw) -> DataFrame:
 def training_pairs(log: DataFrame, system: str = R.DEFAULT_SYSTEM_TEXT, **kw) -> DataFrame:
     """P5: instruction/output pairs with metadata; the best answer is the argmax of total_score,
     the first on ties. Shape: id, timestamp, system, instruction, output, metadata{...}."""
-    best = best_response(F.col("responses"))
+    best = best_response(response_fields("model_name", "total_score"))
     return training_pair_filter(log, **kw).select(
         "seq", "id", "timestamp",
         F.lit(system).alias("system"),
@@ -41,7 +42,7 @@ def training_pairs(log: DataFrame, system: str = R.DEFAULT_SYSTEM_TEXT, **kw) ->
         F.struct(
             F.col("confidence").alias("confidence"),
             F.col("strategy").alias("strategy"),
-            F.size("responses").alias("num_models"),
+            n_responses().alias("num_models"),
             best["model_name"].alias("best_model"),
             best["total_score"].alias("best_model_score"),
             F.coalesce(F.size("consensus_points"), F.lit(0)).alias("consensus_count"),
@@ -54,7 +55,7 @@ def training_stats(log: DataFrame) -> DataFrame:
     """One row of totals: queries, answers, training pairs, average confidence."""
     return log.agg(
         F.count(F.lit(1)).alias("total_queries"),
-        F.coalesce(F.sum(F.size("responses")), F.lit(0)).cast("long").alias("total_responses"),
+        F.coalesce(F.sum(n_responses()), F.lit(0)).cast("long").alias("total_responses"),
         F.count_if(pair_eligible()).alias("training_pairs"),
         AG.exact_avg(F.coalesce(F.col("confidence"), F.lit(0.0))).alias("avg_confidence"),
     )
@@ -68,13 +69,13 @@ def strategy_counts(log: DataFrame) -> DataFrame:
 
 def model_counts(log: DataFrame) -> DataFrame:
     """Answers per model."""
-    ex = log.select(F.explode("responses").alias("r"))
-    return ex.groupBy(F.coalesce("r.model_name", F.lit("unknown")).alias("model_name")).agg(F.count(F.lit(1)).alias("n"))
+    ex = log.select(F.explode(F.col("responses.model_name")).alias("model_name"))
+    return ex.groupBy(F.coalesce("model_name", F.lit("unknown")).alias("model_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def model_wins(log: DataFrame) -> DataFrame:
     """Rank-1 answers per model."""
-    ex = log.select(F.explode("responses").alias("r")).filter(F.col("r.rank") == 1)
+    ex = log.select(F.explode(response_fields("model_name", "rank")).alias("r")).filter(F.col("r.rank") == 1)
     return ex.groupBy(F.coalesce("r.model_name", F.lit("unknown")).alias("model_name")).agg(F.count(F.lit(1)).alias("wins"))
 
 

@@ -11,6 +11,18 @@ from chorus.functions import text as TX
 from chorus.operators.scoring import is_error, is_valid
 
 
+def response_fields(*names: str, col: str = "responses"):
+    """The answers reduced to the named fields, as an array of structs. Extracting fields of the
+    array (``responses.model_name``) lets Parquet read only those leaves; the long answer texts
+    stay on disk unless a query asks for them."""
+    return F.arrays_zip(*[F.col(f"{col}.{n}").alias(n) for n in names])
+
+
+def n_responses(col: str = "responses"):
+    """Number of answers, read through one small field of the array."""
+    return F.size(F.col(f"{col}.rank"))
+
+
 def explode_responses(log: DataFrame, outer: bool = True, keep=("seq", "query", "strategy", "confidence")) -> DataFrame:
     """One row per answer (position = place in the stored array). ``outer`` keeps questions
     without answers as one row of nulls."""
@@ -40,7 +52,7 @@ def recent_view(log: DataFrame) -> DataFrame:
         F.substring("query", 1, R.RECENT_QUERY_CHARS).alias("query"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         "strategy",
-        F.coalesce(F.size("responses"), F.lit(0)).alias("num_models"),
+        F.coalesce(n_responses(), F.lit(0)).alias("num_models"),
     )
 
 
@@ -91,7 +103,7 @@ def result_summary(log: DataFrame) -> DataFrame:
             "\n",
             F.concat(F.lit("Query: "), F.substring("query", 1, R.SUMMARY_QUERY_CHARS), F.lit("...")),
             F.concat(F.lit("Strategy: "), F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY))),
-            F.concat(F.lit("Models used: "), F.coalesce(F.size("responses"), F.lit(0)).cast("string")),
+            F.concat(F.lit("Models used: "), F.coalesce(n_responses(), F.lit(0)).cast("string")),
             F.concat(F.lit("Confidence: "), TX.percent0(F.coalesce("confidence", F.lit(0.0)))),
             F.concat(F.lit("Total latency: "), TX.py_fixed(F.coalesce("total_latency_ms", F.lit(0.0)), 0), F.lit("ms")),
             F.when(n_cons > 0, F.format_string("Consensus on %d points", n_cons)),

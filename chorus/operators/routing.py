@@ -28,13 +28,14 @@ def model_perf(log: DataFrame) -> DataFrame:
     """A3: by (question type, model): average score, count, sample std (0 when n < 2), and the
     first position the pair was seen at (tie-breaker, T1). Errored answers count; questions
     without answers do not (T13)."""
-    ex = with_question_type(log).select("seq", QTYPE, F.posexplode("responses").alias("pos", "r"))
+    from chorus.operators.logview import response_fields
+    ex = with_question_type(log).select("seq", QTYPE, F.posexplode(response_fields("model_name", "total_score")).alias("pos", "r"))
     score = F.coalesce(F.col("r.total_score"), F.lit(0.0))
     return ex.groupBy(QTYPE, F.coalesce("r.model_name", F.lit("unknown")).alias("model_name")).agg(
         AG.exact_avg(score).alias("avg_score"),
         F.count(F.lit(1)).alias("n"),
         AG.exact_std(score).alias("std_score"),
-        F.min(F.struct("seq", "pos")).alias("first_seen"),
+        F.min(AG.first_seen_key("seq", "pos")).alias("first_seen"),
     )
 
 
@@ -49,9 +50,13 @@ def strategy_perf(log: DataFrame) -> DataFrame:
     )
 
 
-def type_counts(log: DataFrame) -> DataFrame:
-    """A5: entries per question type, with the total over all types."""
-    counts = with_question_type(log).groupBy(QTYPE).agg(F.count(F.lit(1)).alias("n"))
+def type_counts(log: DataFrame, strat: DataFrame | None = None) -> DataFrame:
+    """A5: entries per question type, with the total over all types. Derived from the
+    (type, strategy) table when given (every entry has exactly one strategy)."""
+    if strat is None:
+        counts = with_question_type(log).groupBy(QTYPE).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = strat.groupBy(QTYPE).agg(F.sum("n").alias("n"))
     # at most ten rows here, so the global window is over ten rows
     return counts.withColumn("total_queries", F.sum("n").over(Window.partitionBy()))
 
@@ -77,9 +82,10 @@ def performance_by_type(log: DataFrame) -> DataFrame:
             F.sort_array(F.collect_list(F.struct((-F.col("avg_score")).alias("k"), F.col("first_seen"), F.col("model_name"), F.col("avg_score")))),
             lambda x: F.struct(x["model_name"].alias("model_name"), x["avg_score"].alias("avg_score")),
         ).alias("ranked_models"))
-    strat = strategy_perf(log).groupBy(QTYPE).agg(
+    sp = strategy_perf(log)
+    strat = sp.groupBy(QTYPE).agg(
         F.min(F.struct((-F.col("avg_confidence")).alias("k"), F.col("first_seen"), F.col("strategy"))).alias("_best"))
-    counts = type_counts(log).select(QTYPE, F.col("n").alias("type_count"))
+    counts = type_counts(log, sp).select(QTYPE, F.col("n").alias("type_count"))
     return (counts.join(strat, QTYPE, "full").join(models, QTYPE, "full")
             .select(QTYPE, "ranked_models", F.col("_best.strategy").alias("best_strategy"), "type_count"))
 

@@ -54,7 +54,7 @@ def q_scan_log(spark, sf):
     log = log_of(spark, sf)
     return log.select("seq", "id", "timestamp", "query", "strategy", "confidence", "final_answer", "reasoning",
                       F.size("consensus_points").alias("n_consensus"), F.size("disagreement_points").alias("n_disagreements"),
-                      "total_latency_ms", F.size("responses").alias("num_responses"))
+                      "total_latency_ms", LV.n_responses().alias("num_responses"))
 
 
 @query("explode_responses")
