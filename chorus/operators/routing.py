@@ -73,21 +73,87 @@ def best_strategy(strat: DataFrame) -> DataFrame:
     return strat.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def performance_table(log: DataFrame) -> DataFrame:
+    """A3 + A4 + A5 in one pass and one shuffle, keyed by (type, strategy, model): answers are
+    exploded with ``posexplode_outer`` (a question without answers keeps one NULL-model row);
+    question-level sums are taken on each question's first row only. Folding over models gives
+    the strategy table, folding over strategies the model table."""
+    q = with_question_type(log).select(
+        "seq", QTYPE, F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY)).alias("strategy"),
+        F.coalesce("confidence", F.lit(0.0)).alias("conf"),
+        F.posexplode_outer(_fields("model_name", "total_score")).alias("pos", "r"))
+    first_row = F.col("pos").isNull() | (F.col("pos") == 0)
+    answered = F.col("pos").isNotNull()
+    score = F.coalesce(F.col("r.total_score"), F.lit(0.0)).cast(AG.DEC)
+    return q.groupBy(QTYPE, "strategy", F.when(answered, F.coalesce(F.col("r.model_name"), F.lit("unknown"))).alias("model_name")).agg(
+        F.count_if(first_row).alias("questions"),
+        F.sum(F.when(first_row, F.col("conf").cast(AG.DEC))).alias("conf_sum"),
+        F.min(F.when(first_row, F.col("seq"))).alias("strategy_first_seen"),
+        F.count("pos").alias("n"),
+        F.sum(F.when(answered, score)).alias("s"),
+        F.sum(F.when(answered, score * score)).alias("ss"),
+        F.min(F.when(answered, AG.first_seen_key("seq", "pos"))).alias("first_seen"),
+    )
+
+
+def _fields(*names):
+    from chorus.operators.logview import response_fields
+    return response_fields(*names)
+
+
+def models_from_table(t: DataFrame) -> DataFrame:
+    """A3 from the performance table (fold over strategies)."""
+    g = t.filter(F.col("n") > 0).groupBy(QTYPE, "model_name").agg(
+        F.sum("n").alias("n"), F.sum("s").cast("double").alias("_s"), F.sum("ss").cast("double").alias("_ss"),
+        F.min("first_seen").alias("first_seen"))
+    n = F.col("n")
+    var = (F.col("_ss") - F.col("_s") * F.col("_s") / n) / (n - 1)
+    return g.select(QTYPE, "model_name", (F.col("_s") / n).alias("avg_score"), "n",
+                    F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std_score"), "first_seen")
+
+
+def strategies_from_table(t: DataFrame) -> DataFrame:
+    """A4 from the performance table (fold over models)."""
+    g = t.groupBy(QTYPE, "strategy").agg(F.sum("questions").alias("n"), F.sum("conf_sum").cast("double").alias("_c"),
+                                          F.min("strategy_first_seen").alias("first_seen"))
+    return g.select(QTYPE, "strategy", (F.col("_c") / F.col("n")).alias("avg_confidence"), "n", "first_seen")
+
+
 def performance_by_type(log: DataFrame) -> DataFrame:
     """The router's performance table, one row per question type (at most ten rows): models in
-    rank order with their averages, best strategy, and number of questions (D10)."""
-    perf = model_perf(log)
-    models = perf.groupBy(QTYPE).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct((-F.col("avg_score")).alias("k"), F.col("first_seen"), F.col("model_name"), F.col("avg_score")))),
-            lambda x: F.struct(x["model_name"].alias("model_name"), x["avg_score"].alias("avg_score")),
-        ).alias("ranked_models"))
-    sp = strategy_perf(log)
-    strat = sp.groupBy(QTYPE).agg(
-        F.min(F.struct((-F.col("avg_confidence")).alias("k"), F.col("first_seen"), F.col("strategy"))).alias("_best"))
-    counts = type_counts(log, sp).select(QTYPE, F.col("n").alias("type_count"))
-    return (counts.join(strat, QTYPE, "full").join(models, QTYPE, "full")
-            .select(QTYPE, "ranked_models", F.col("_best.strategy").alias("best_strategy"), "type_count"))
+    rank order with their averages, best strategy, and number of questions (D10). One scan of
+    the log; everything after the first aggregate works on at most types x strategies x models
+    rows."""
+    t = performance_table(log)
+    return t.groupBy(QTYPE).agg(
+        F.sum("questions").alias("type_count"),
+        F.collect_list(F.when(F.col("n") > 0, F.struct("model_name", "n", "s", "first_seen"))).alias("_m"),
+        F.collect_list(F.when(F.col("questions") > 0, F.struct("strategy", "questions", "conf_sum", "strategy_first_seen"))).alias("_st"),
+    ).select(QTYPE, "type_count", _rank_models(F.col("_m")).alias("ranked_models"), _best_strategy(F.col("_st")).alias("best_strategy"))
+
+
+def _rank_models(rows):
+    """Fold the (strategy, model) rows of one type into models ranked by average desc, first
+    seen first on ties."""
+    names = F.array_distinct(F.transform(rows, lambda r: r["model_name"]))
+    per_model = F.transform(names, lambda m: F.struct(
+        F.aggregate(F.filter(rows, lambda r: r["model_name"] == m), F.struct(F.lit(0).cast("decimal(38,9)").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("decimal(38,0)").alias("f")),
+                    lambda acc, r: F.struct((acc["s"] + r["s"]).cast("decimal(38,9)").alias("s"), (acc["n"] + r["n"]).alias("n"),
+                                            F.least(acc["f"], r["first_seen"]).alias("f"))).alias("a"), m.alias("m")))
+    keyed = F.transform(per_model, lambda x: F.struct((-(x["a"]["s"].cast("double") / x["a"]["n"])).alias("k"), x["a"]["f"].alias("f"),
+                                                      x["m"].alias("model_name"), (x["a"]["s"].cast("double") / x["a"]["n"]).alias("avg_score")))
+    return F.transform(F.sort_array(keyed), lambda x: F.struct(x["model_name"].alias("model_name"), x["avg_score"].alias("avg_score")))
+
+
+def _best_strategy(rows):
+    names = F.array_distinct(F.transform(rows, lambda r: r["strategy"]))
+    per = F.transform(names, lambda st: F.aggregate(
+        F.filter(rows, lambda r: r["strategy"] == st),
+        F.struct(F.lit(0).cast("decimal(38,9)").alias("c"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("long").alias("f")),
+        lambda acc, r: F.struct((acc["c"] + r["conf_sum"]).cast("decimal(38,9)").alias("c"), (acc["q"] + r["questions"]).alias("q"),
+                                F.least(acc["f"], r["strategy_first_seen"]).alias("f")),
+        lambda acc: F.struct((-(acc["c"].cast("double") / acc["q"])).alias("k"), acc["f"].alias("f"), st.alias("strategy"))))
+    return F.get(F.sort_array(per), 0)["strategy"]
 
 
 def save_performance(perf_by_type: DataFrame, path: str) -> None:
