@@ -44,7 +44,11 @@ def _any_substring(lowered: Column, words) -> Column:
 
 def classify_question(query) -> Column:
     """first rule of the question-type table whose words occur in the lowercased query."""
-    q = F.lower(_c(query))
+    return classify_lowered(F.lower(_c(query)))
+
+
+def classify_lowered(q: Column) -> Column:
+    """F1 on an already lowercased column (lowercase once, test many words)."""
     expr = None
     for qtype, words in R.QUESTION_TYPE_RULES:
         cond = _any_substring(q, words)
@@ -102,9 +106,13 @@ def category_condition(lowered: Column, patterns) -> Column:
 
 def categorize_query(query) -> Column:
     """multi-label weakness categories in declared order, ``["general"]`` when none apply."""
-    # concat_ws skips NULLs, so the joined hits are split back into the ordered list; unlike a
-    # lambda filter over an array, every step here stays inside generated code
-    q = F.lower(_c(query))
+    return categorize_lowered(F.lower(_c(query)))
+
+
+def categorize_lowered(q: Column) -> Column:
+    """F3 on an already lowercased column. ``concat_ws`` skips NULLs, so the joined hits are split
+    back into the ordered list; unlike a lambda filter over an array, every step here stays
+    inside generated code."""
     joined = F.concat_ws(",", *[F.when(category_condition(q, p), F.lit(cat)) for cat, p in R.WEAKNESS_CATEGORIES])
     return F.when(joined == "", F.array(F.lit(R.DEFAULT_CATEGORY))).otherwise(F.split(joined, ","))
 

@@ -20,8 +20,9 @@ QTYPE = "question_type"
 
 
 def with_question_type(log: DataFrame) -> DataFrame:
-    """F1 at entry grain (computed once per question, before any explode)."""
-    return log.withColumn(QTYPE, TX.classify_question("query"))
+    """F1 at entry grain (computed once per question, before any explode); the text is
+    lowercased once in its own projection."""
+    return log.withColumn("_lq", F.lower("query")).withColumn(QTYPE, TX.classify_lowered(F.col("_lq"))).drop("_lq")
 
 
 def model_perf(log: DataFrame) -> DataFrame:
