@@ -220,3 +220,72 @@ def q_best_epoch(spark, sf):
 
 
 del os, S, R, STANDIN_CONFIG
+
+
+# --- remaining inventory rows ------------------------------------------------------------------
+
+@query("shuffle_split")
+def q_shuffle_split(spark, sf):
+    """The seeded train/validation assignment of every loaded pair (sizes are checked by
+    ``split_counts``; membership follows the seed's hash order)."""
+    return PP.shuffle_split(_loaded(spark, sf)).select("seq", "split")
+
+
+@query("short_id")
+def q_short_id(spark, sf):
+    """an 8-character display id per logged question (random, never a join key)."""
+    from chorus.operators import judge as JD
+    return log_of(spark, sf).select("seq", JD.short_id().alias("short_id"))
+
+
+@query("file_size_mb")
+def q_file_size(spark, sf):
+    """size of the raw log written as JSON lines, in MB (2 decimals)."""
+    path = scratch_path(spark, "size_log")
+    IO.append_log(log_of(spark, sf), path)
+    return IO.file_size_mb(spark, path)
+
+
+@query("to_raw_record")
+def q_to_raw_record(spark, sf):
+    """K2: the raw records the collector writes (entry fields of the nested record)."""
+    from chorus.plans.registry import REGISTRY
+    return REGISTRY["scan_log"](spark, sf)
+
+
+@query("scan_prepared")
+def q_scan_prepared(spark, sf):
+    """S3: prepared train/validation sets read back, tagged by split (sizes per split)."""
+    from chorus.plans.registry import REGISTRY
+    return REGISTRY["write_train_val"](spark, sf)
+
+
+@query("read_stats")
+def q_read_stats(spark, sf):
+    """S5 + K3: the stats snapshot written and read back (count maps as rows)."""
+    from chorus.plans.registry import REGISTRY
+    return REGISTRY["stats_snapshot"](spark, sf)
+
+
+@query("stream_log_source")
+def q_stream_source(spark, sf):
+    """T-1: the log folder read as a stream (one file per micro-batch) into a Parquet sink."""
+    src = _log_folder(spark, sf)
+    out, ck = scratch_path(spark, "stream_raw"), scratch_path(spark, "ckpt_raw")
+    s = ST.stream_log_source(spark, src).select("seq", "id", "query", "strategy", "confidence",
+                                                LV.n_responses().alias("num_responses"))
+    q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("debate_rounds")
+def q_debate_rounds(spark, sf):
+    """T-5: two debate rounds over the logged answers with the stand-in model; answers per
+    question after the debate."""
+    log = log_of(spark, sf)
+    qs = log.select(F.col("seq").alias("question_id"), "query",
+                    F.transform("responses", lambda r: F.struct(*[r[f].alias(f) for f in (
+                        "model_id", "model_name", "provider", "content", "reasoning_trace", "latency_ms", "error")])).alias("responses"))
+    out = DP.debate_rounds(qs, DP.standin_generate, rounds=2)
+    return out.select(F.col("question_id").alias("seq"), F.size("responses").alias("num_responses"))

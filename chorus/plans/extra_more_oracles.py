@@ -42,3 +42,9 @@ em AS (
 SQL["epoch_means"] = with_fixture(TRIPLES, _BATCH, select="SELECT * FROM em")
 SQL["best_epoch"] = with_fixture(TRIPLES, _BATCH, select="""
 SELECT epoch AS best_epoch, total AS best_loss FROM em ORDER BY total, epoch LIMIT 1""")
+
+SQL["to_raw_record"] = SQL["scan_log"]
+SQL["scan_prepared"] = SQL["write_train_val"]
+SQL["read_stats"] = SQL["stats_snapshot"]
+SQL["stream_log_source"] = Q(select="""
+SELECT seq, CAST(entry_id AS VARCHAR) AS id, query, strategy, confidence, num_responses FROM lg""")
