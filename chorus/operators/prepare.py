@@ -56,31 +56,33 @@ FORMATS = {"chatml": to_chatml, "alpaca": to_alpaca, "sharegpt": to_sharegpt}
 def shuffle_split(df: DataFrame, key: str = "seq", val_ratio: float = R.VAL_RATIO, seed: int = R.SPLIT_SEED,
                   bucket_bits: int = 16) -> DataFrame:
     """Seeded shuffle, then the first max(1, int(n * (1 - ratio))) rows go to ``train`` and
-    the rest to ``val``. Exact sizes, disjoint, reproducible for a seed.
-
-    The shuffle order is (xxhash64(seed, key), key). Rather than a global sort or a
-    single-partition window, rows are counted per hash bucket (top ``bucket_bits`` bits, at most
-    2^bits small rows), the buckets' running counts locate the boundary, and only the one
-    boundary bucket is ranked inside. Python's own permutation is not reproduced; sizes and
-    disjointness are.
-    """
+    the rest to ``val``. Exact sizes, disjoint, reproducible for a seed; ``key`` must be unique.
+
+    The shuffle order is (xxhash64(seed, key), key). No global sort and no shuffle of whole rows:
+    pass 1 counts rows per hash bucket (the top ``bucket_bits`` bits; at most 2^bits small rows),
+    whose running counts locate the bucket holding the cut; pass 2 ranks the rows of that one
+    bucket to find the cut itself; pass 3 labels every row by comparing it with the cut (three
+    scalars). Python's own permutation is not reproduced; sizes and disjointness are."""
     shift = 64 - bucket_bits
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_b", F.shiftright("_h", shift))
-    counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
+    h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    bucket = F.shiftright("_h", shift)
+    counts = h.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_bn"))
     w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # over <= 2^bits rows
-    stats = counts.select(
-        "_b", "_bn",
-        F.coalesce(F.sum("_bn").over(w_all), F.lit(0)).alias("_before"),
-        F.sum("_bn").over(Window.partitionBy()).alias("_n"))
+    stats = counts.select("_b", "_bn", F.coalesce(F.sum("_bn").over(w_all), F.lit(0)).alias("_before"),
+                          F.sum("_bn").over(Window.partitionBy()).alias("_n"))
     k = F.greatest(F.lit(1), F.floor(F.col("_n").cast("double") * F.lit(1.0 - val_ratio))).cast("long")
-    stats = stats.withColumn("_k", k)
-    j = h.join(F.broadcast(stats), "_b")  # bucket table bounded by 2^bucket_bits rows
-    inside = j.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_bn") > F.col("_k")))
-    rest = j.filter(~((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_bn") > F.col("_k"))))
-    rest = rest.withColumn("split", F.when(F.col("_before") + F.col("_bn") <= F.col("_k"), "train").otherwise("val"))
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    inside = inside.withColumn("split", F.when(F.col("_before") + rn <= F.col("_k"), "train").otherwise("val"))
-    return rest.unionByName(inside).drop("_h", "_b", "_bn", "_before", "_n", "_k")
+    cut = stats.withColumn("_k", k).filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_bn") >= F.col("_k")))
+    row = cut.select("_b", (F.col("_k") - F.col("_before")).alias("_kk")).first()
+    if row is None:   # no rows at all
+        return df.withColumn("split", F.lit(None).cast("string"))
+    b_cut, kk = row["_b"], row["_kk"]
+    inside = h.filter(bucket == F.lit(b_cut)).select("_h", key)
+    ranked = inside.withColumn("_rn", F.row_number().over(Window.orderBy("_h", key)))   # one bucket only
+    t = ranked.filter(F.col("_rn") == F.lit(kk)).select("_h", key).first()
+    h_cut, key_cut = t["_h"], t[key]
+    train = (bucket < F.lit(b_cut)) | ((bucket == F.lit(b_cut)) & (
+        (F.col("_h") < F.lit(h_cut)) | ((F.col("_h") == F.lit(h_cut)) & (F.col(key) <= F.lit(key_cut)))))
+    return h.withColumn("split", F.when(train, "train").otherwise("val")).drop("_h")
 
 
 def split_counts(split_df: DataFrame) -> DataFrame:
