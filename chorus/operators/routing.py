@@ -7,8 +7,6 @@ questions being routed is bounded by the rule table, not by the data.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,8 +161,10 @@ def save_performance(perf_by_type: DataFrame, path: str) -> None:
 
 
 def load_or_build_performance(spark, log: DataFrame, path: str | None) -> DataFrame:
-    """The saved table when it exists, else built from the log and saved."""
-    if path and os.path.exists(path):
+    """The saved table when it exists (checked through the cluster's file system), else built
+    from the log and saved."""
+    from chorus.sources.io import _exists
+    if path and _exists(spark, path):
         return spark.read.parquet(path)
     perf = performance_by_type(log)
     if path:

@@ -97,8 +97,8 @@ def debate_rounds(questions: DataFrame, generate: Generate, rounds: int = 2, tim
     """T-5: each round, every valid answer i sees answer (i+1) mod n of the previous round and is
     asked again by the same model; a failed call keeps the old answer. Returns the valid
     answers, or the input answers (errors included) when fewer than two are valid."""
-    cur = questions.select("question_id", "query", "responses",
-                           F.filter("responses", lambda r: ~SC.is_error(r)).alias("valid"))
+    cur = _checkpoint(questions.select("question_id", "query", "responses",
+                                       F.filter("responses", lambda r: ~SC.is_error(r)).alias("valid")))
     for _ in range(rounds):
         pairs = cur.filter(F.size("valid") >= 2).select("question_id", F.posexplode("valid").alias("i", "r"), "valid")
         n = F.size("valid")
@@ -133,7 +133,8 @@ def _judge_tasks(df: DataFrame, prompt_col, judge: dict, task_offset: int) -> Da
 def synthesize(questions: DataFrame, generate: Generate, judge: dict, debate: int = 2, timeout_s: float = 120.0) -> DataFrame:
     """T-6: per question (question_id, query, strategy, responses): debate first when asked,
     then score with the judge, then best-of-n / merge / merge + verify; returns raw records."""
-    q = questions.withColumn("strategy", F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY)))
+    # the input is read by several branches; pin it once (it may hold measured latencies)
+    q = _checkpoint(questions.withColumn("strategy", F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY))))
     deb = q.filter(F.col("strategy") == "debate")
     if debate:
         deb = debate_rounds(deb.select("question_id", "query", "responses"), generate, debate, timeout_s).join(
@@ -178,7 +179,7 @@ def reasoning_trace(questions: DataFrame, generate: Generate, model: dict, max_r
                       F.lit(0.4).alias("temperature"), F.lit(4096).alias("max_tokens"))
         return dispatch_prompts(t, generate, timeout_s=timeout_s).select(F.col("task_id").alias("query_id"), F.col("content").alias(stage))
 
-    q = questions.select("query_id", "query")
+    q = _checkpoint(questions.select("query_id", "query"))
     s = _checkpoint(q.join(ask(q, F.concat(F.lit("Decompose: "), F.col("query")), "decompose"), "query_id"))
     s = _checkpoint(s.join(ask(s, F.concat(F.lit("Reason: "), F.col("query"), F.lit("\n"), F.col("decompose")), "reason"), "query_id"))
     s = _checkpoint(s.join(ask(s, F.concat(F.lit("Critique: "), F.col("reason")), "critique"), "query_id"))
