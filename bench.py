@@ -4,8 +4,8 @@ Two phases, as the engine would run in production:
   1. ingest: the ensemble log is built from the driver's tables (answers scored, ranked and
      recorded by the library) and stored once as Parquet under the shared checkpoint folder;
   2. analysis: each headline operator runs over the stored log (or the embeddings table).
-Every query is executed to completion with the ``noop`` sink (no collect to the driver); the
-time of a query is the median of three warm runs.
+Every query is executed to completion with the ``noop`` sink (no collect to the driver); after
+one untimed pass over all queries, the time of a query is the median of three runs.
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ def main() -> None:
         "build_log_from_tables": lambda: FX.ensemble_log(spark, sf_dir).select(
             "seq", F.size("responses").alias("n"), F.get("responses", 0)["total_score"].alias("top")),
     }
-    run(headline["model_perf"]())  # warm-up (JIT, file listing)
+    for fn in headline.values():   # one untimed pass: JIT, code generation, file listing
+        run(fn())
     times = {k: round(timed(fn, reps), 3) for k, fn in headline.items()}
     times["ingest_log_parquet"] = round(ingest, 3)
     total = round(sum(v for k, v in times.items() if k != "ingest_log_parquet"), 3)
