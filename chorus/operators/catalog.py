@@ -99,11 +99,9 @@ def request_defaults(requests: DataFrame, config_strategy: str | None = None,
         "system_prompt", F.coalesce("system_prompt", F.lit(system_prompt)))
 
 
-def fan_out(prompts: DataFrame, active: DataFrame, models: list[dict] | None = None) -> DataFrame:
-    """Every prompt with every active model. The active models (configuration) are expanded
-    per prompt as an array; ``models`` may be given directly instead of a catalog DataFrame."""
-    if models is None:
-        raise ValueError("fan_out needs the active model list (configuration); see fan_out_catalog")
+def fan_out(prompts: DataFrame, models: list[dict]) -> DataFrame:
+    """Every prompt with every active model. The active models are configuration (a short
+    list), expanded per prompt as an array literal: a generator, not a join."""
     arr = F.array(*[F.struct(*[F.lit(m[k]).alias(k) for k in ("model_id", "model_name", "provider", "role")]) for m in models])
     return prompts.select("*", F.posexplode(arr).alias("model_pos", "m")).select("*", "m.*").drop("m")
 

@@ -3,12 +3,8 @@ scorers."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
-from chorus import schemas as S
-from chorus.functions import rules as R
 from chorus.operators import collect as COL
 from chorus.operators import logview as LV
 from chorus.operators import pairs as PR
@@ -18,7 +14,7 @@ from chorus.operators import vectors as VC
 from chorus.plans import dispatch as DP
 from chorus.plans import ml as ML
 from chorus.plans.extra import scratch_path
-from chorus.plans.registry import STANDIN_CONFIG, _loaded, _pairs, log_of, query
+from chorus.plans.registry import _loaded, _pairs, log_of, query
 from chorus.sources import io as IO
 from chorus.sources.tables import read_table
 from chorus.streaming import stats as ST
@@ -219,8 +215,6 @@ def q_best_epoch(spark, sf):
     return ML.best_epoch(ML.epoch_means(_losses(spark, sf)))
 
 
-del os, S, R, STANDIN_CONFIG
-
 
 # --- remaining inventory rows ------------------------------------------------------------------
 

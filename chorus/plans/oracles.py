@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from chorus.functions import rules as R
 from chorus.oracle_base import with_fixture
-from chorus.sources.fixtures import N_TEMPLATES  # noqa: F401  (documented in FIXTURES.md)
 
 WS = R.PY_WHITESPACE_CLASS
 DEC = "DECIMAL(18,9)"

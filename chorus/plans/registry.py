@@ -592,7 +592,7 @@ def q_fan_out(spark, sf):
     models = [{"model_id": f"m{i}", "model_name": f"model_{i}", "provider": f"prov_{i % 3}",
                "role": STANDIN_CONFIG["roles"].get(f"m{i}", R.DEFAULT_ROLE)} for i in range(6) if i % 3 != 2]
     prompts = log_of(spark, sf).select("seq", "query")
-    return CAT.fan_out(prompts, None, models).select("seq", "model_pos", "model_id", "provider", "role")
+    return CAT.fan_out(prompts, models).select("seq", "model_pos", "model_id", "provider", "role")
 
 
 @query("catalog_lookup")
