@@ -37,34 +37,39 @@ def dispatch_prompts(tasks: DataFrame, generate: Generate, partitions: int | Non
                      timeout_s: float = 120.0, threads: int = 4) -> DataFrame:
     """T-4: one call per task row (task_id, model_id, model_name, provider, prompt, system_prompt,
     temperature, max_tokens). ``partitions`` bounds how many tasks call out at once (the
-    reference's concurrency limit); each task runs ``threads`` calls in parallel."""
+    reference's concurrency limit); each task keeps up to ``threads`` calls in flight. A call
+    that raises gives an error row; one that outlives ``timeout_s`` while awaited gives a
+    timeout error row."""
     df = tasks if partitions is None else tasks.repartition(partitions)
 
+    def timed_call(row):
+        t0 = time.perf_counter()
+        try:
+            content, trace = generate(row.model_id, row.prompt, row.system_prompt,
+                                      float(row.temperature), int(row.max_tokens))
+            err = None
+        except Exception as ex:  # the error becomes data, as in the reference
+            content, trace, err = "", None, str(ex)
+        return content, trace, (time.perf_counter() - t0) * 1000.0, err
+
     def run(batches):
         pool = ThreadPoolExecutor(max_workers=threads)
         try:
             for pdf in batches:
                 rows = list(pdf.itertuples(index=False))
-
-                def call(row):
-                    t0 = time.perf_counter()
+                started = [(row, time.perf_counter(), pool.submit(timed_call, row)) for row in rows]
+                out = []
+                for row, t0, fut in started:
                     try:
-                        fut = pool.submit(generate, row.model_id, row.prompt, row.system_prompt,
-                                          float(row.temperature), int(row.max_tokens))
-                        content, trace = fut.result(timeout=timeout_s)
-                        err = None
+                        content, trace, latency, err = fut.result(timeout=timeout_s)
                     except FutureTimeout:
                         content, trace, err = "", None, f"Timed out after {timeout_s:.0f}s"
-                    except Exception as ex:  # the error becomes data, as in the reference
-                        content, trace, err = "", None, str(ex)
-                    return (row.task_id, row.model_id, row.model_name, row.provider, content, trace,
-                            (time.perf_counter() - t0) * 1000.0, err)
-
-                out = [call(r) for r in rows]
+                        latency = (time.perf_counter() - t0) * 1000.0
+                    out.append((row.task_id, row.model_id, row.model_name, row.provider, content, trace, latency, err))
                 yield pd.DataFrame(out, columns=["task_id", "model_id", "model_name", "provider", "content",
                                                  "reasoning_trace", "latency_ms", "error"])
         finally:
-            pool.shutdown(wait=False)
+            pool.shutdown(wait=False, cancel_futures=True)
 
     return df.mapInPandas(run, RESULT_SCHEMA)
 

@@ -24,13 +24,16 @@ def duck(sf_dir: str):
     return con
 
 
+EXACT = False
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}")
+        return v if EXACT else float(f"{v:.9g}")
     if isinstance(v, dict):
         return tuple(sorted((str(k), _norm(x)) for k, x in v.items()))
     if hasattr(v, "asDict"):
@@ -95,7 +98,9 @@ if __name__ == "__main__":
     ap = argparse.ArgumentParser()
     ap.add_argument("keys", nargs="*")
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--exact", action="store_true", help="compare floats bit for bit")
     a = ap.parse_args()
+    EXACT = a.exact
     import __spark_entry__ as E
 
     spark = local_session(8, 8)

@@ -103,3 +103,20 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["question_type", "model_name", "model_rank", "avg_score"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_dispatch_timeout_and_concurrency(spark):
+    import time as _t
+
+    def gen(model_id, prompt, system_prompt, temperature, max_tokens):
+        _t.sleep(3.0 if model_id == "slow" else 0.3)
+        return "ok", None
+
+    rows = [(i, "slow" if i == 0 else "fast", "x", "p", "hi", None, 0.7, 10) for i in range(8)]
+    tasks = spark.createDataFrame(rows, "task_id long, model_id string, model_name string, provider string, "
+                                        "prompt string, system_prompt string, temperature double, max_tokens int").coalesce(1)
+    t0 = _t.perf_counter()
+    out = {r.task_id: r for r in DP.dispatch_prompts(tasks, gen, timeout_s=1.0, threads=8).collect()}
+    assert out[0].error == "Timed out after 1s" and out[0].content == ""
+    assert all(out[i].content == "ok" and out[i].error is None for i in range(1, 8))
+    assert _t.perf_counter() - t0 < 2.3 + 5.0      # the seven fast calls overlap
