@@ -56,7 +56,7 @@ def recent_view(log: DataFrame) -> DataFrame:
     )
 
 
-def recent_entries(log: DataFrame, n: int = 20) -> DataFrame:
+def recent_entries(log: DataFrame, n: int = 10) -> DataFrame:
     """The last n entries in append order (a top-n by seq, no global sort), oldest first."""
     return recent_view(log).orderBy(F.col("seq").desc()).limit(n).orderBy("seq")
 

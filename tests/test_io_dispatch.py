@@ -96,3 +96,15 @@ def test_round_trips(spark, tmp_path):
     rp = str(tmp_path / "router")
     a = RT.load_or_build_performance(spark, log, rp).count()
     assert a == RT.load_or_build_performance(spark, log, rp).count() > 0
+
+
+def test_scan_log_modes(spark, tmp_path):
+    p = tmp_path / "log.jsonl"
+    good = json.dumps({"seq": 1, "id": "a", "query": "q", "responses": []})
+    p.write_text(good + "\n\n{not json\n" + good.replace('"a"', '"b"') + "\n")
+    df = IO.scan_log(spark, str(p), mode="PERMISSIVE")
+    rows = df.collect()
+    assert len(rows) == 3 and sum(r._corrupt_record is not None for r in rows) == 1
+    import pytest
+    with pytest.raises(Exception):
+        IO.scan_log(spark, str(p)).collect()
