@@ -137,7 +137,8 @@ def _judge_tasks(df: DataFrame, prompt_col, judge: dict, task_offset: int) -> Da
 
 def synthesize(questions: DataFrame, generate: Generate, judge: dict, debate: int = 2, timeout_s: float = 120.0) -> DataFrame:
     """T-6: per question (question_id, query, strategy, responses): debate first when asked,
-    then score with the judge, then best-of-n / merge / merge + verify; returns raw records."""
+    then score with the judge, then best-of-n / merge / merge + verify; returns raw records.
+    The record's total latency is the judge calls' latencies plus those of the answers."""
     # the input is read by several branches; pin it once (it may hold measured latencies)
     q = _checkpoint(questions.withColumn("strategy", F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY))))
     deb = q.filter(F.col("strategy") == "debate")
@@ -149,7 +150,7 @@ def synthesize(questions: DataFrame, generate: Generate, judge: dict, debate: in
     work = _checkpoint(work)
     scored_t = _judge_tasks(work, JD.score_prompt(F.col("query"), F.col("responses")), judge, 0)
     replies = dispatch_prompts(scored_t, generate, timeout_s=timeout_s).select(
-        F.col("task_id").alias("question_id"), F.col("content").alias("judge_text"))
+        F.col("task_id").alias("question_id"), F.col("content").alias("judge_text"), F.col("latency_ms").alias("_t_score"))
     w = work.join(replies, "question_id").withColumn("judge", JD.parse_judge_reply(F.col("judge_text")))
     w = SC.score_entries(w)
     w = _checkpoint(w)
@@ -157,17 +158,20 @@ def synthesize(questions: DataFrame, generate: Generate, judge: dict, debate: in
                             JD.merge_prompt(F.col("query"), F.col("ranked"), F.col("judge.consensus_points"),
                                             F.col("judge.disagreement_points")), judge, 0)
     merged = dispatch_prompts(merged_t, generate, timeout_s=timeout_s).select(
-        F.col("task_id").alias("question_id"), F.col("content").alias("merged"))
+        F.col("task_id").alias("question_id"), F.col("content").alias("merged"), F.col("latency_ms").alias("_t_merge"))
     w = _checkpoint(w.join(merged, "question_id", "left"))
     ver_t = _judge_tasks(w.filter(F.col("strategy") == "chain_of_verification"), JD.verify_prompt(F.col("query"), F.col("merged")), judge, 0)
     verified = dispatch_prompts(ver_t, generate, timeout_s=timeout_s).select(
-        F.col("task_id").alias("question_id"), F.col("content").alias("verified"))
+        F.col("task_id").alias("question_id"), F.col("content").alias("verified"), F.col("latency_ms").alias("_t_verify"))
     w = _checkpoint(w.join(verified, "question_id", "left"))
     final = (F.when(F.col("strategy") == "best_of_n", SC.best_of_n(F.col("ranked")))
              .when(F.col("strategy") == "chain_of_verification", F.col("verified")).otherwise(F.col("merged")))
     rec = w.select(F.col("question_id").alias("seq"), F.col("question_id").cast("string").alias("id"),
                    F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
-                   "query", "strategy", final.alias("final_answer"), "judge", F.lit(0.0).alias("judge_ms"), "responses", "ranked")
+                   "query", "strategy", final.alias("final_answer"), "judge",
+                   # synthesis time: the judge's scoring, merging and verification calls
+                   (F.col("_t_score") + F.coalesce("_t_merge", F.lit(0.0)) + F.coalesce("_t_verify", F.lit(0.0))).alias("judge_ms"),
+                   "responses", "ranked")
     return SC.to_raw_record(rec)
 
 
