@@ -160,11 +160,11 @@ def save_performance(perf_by_type: DataFrame, path: str) -> None:
     perf_by_type.write.mode("overwrite").parquet(path)
 
 
-def load_or_build_performance(spark, log: DataFrame, path: str | None) -> DataFrame:
+def load_or_build_performance(spark, log: DataFrame, path: str | None, refresh: bool = False) -> DataFrame:
     """The saved table when it exists (checked through the cluster's file system), else built
-    from the log and saved."""
+    from the log and saved. ``refresh=True`` rebuilds and overwrites it (K4's invalidation)."""
     from chorus.sources.io import _exists
-    if path and _exists(spark, path):
+    if path and not refresh and _exists(spark, path):
         return spark.read.parquet(path)
     perf = performance_by_type(log)
     if path:

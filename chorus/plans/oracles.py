@@ -357,6 +357,10 @@ FROM resp WHERE coalesce(total_score, 0.0) < 0.5 AND coalesce(error, '') = ''"""
 SQL["export_adversarial"] = Q(*WEAK, ADV, select="""
 SELECT adv.seq, 1 AS turn, 'user' AS role, lg.query AS content FROM adv JOIN lg ON lg.seq = adv.seq
 UNION ALL SELECT adv.seq, 2, 'assistant', lg.final_answer FROM adv JOIN lg ON lg.seq = adv.seq""")
+SQL["weakness_report_entries"] = Q(*WEAK, select="""
+SELECT category, CAST(printf('%.3f', severity) AS DOUBLE) AS severity, CAST(printf('%.3f', avg_score) AS DOUBLE) AS avg_score,
+ CAST(printf('%.3f', disagreement_rate) AS DOUBLE) AS disagreement_rate, count AS example_count,
+ array_to_string(affected, ',') AS affected_models, array_to_string(examples[1:3], chr(10)) AS sample_queries FROM patk""")
 SQL["weakness_report"] = Q(*WEAK, ADV, select="""
 SELECT (SELECT count(*) FROM patk) AS total_weaknesses_found, (SELECT count(*) FROM adv) AS adversarial_examples_available,
  t.category AS top_vulnerability, CAST(printf('%.3f', t.severity) AS DOUBLE) AS top_severity,

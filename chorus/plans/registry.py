@@ -352,6 +352,15 @@ def q_top_weak(spark, sf):
     return g.select("category", F.posexplode("m").alias("model_pos", "model_name"))
 
 
+@query("weakness_report_entries")
+def q_report_entries(spark, sf):
+    """A16 entries (lists joined for comparison)."""
+    r = WK.weakness_report_entries(log_of(spark, sf))
+    return r.select("category", "severity", "avg_score", "disagreement_rate", "example_count",
+                    _joined(F.col("affected_models")).alias("affected_models"),
+                    _joined(F.col("sample_queries"), "\n").alias("sample_queries"))
+
+
 @query("weakness_report")
 def q_report(spark, sf):
     return WK.weakness_report(log_of(spark, sf)).drop("recommendation")
