@@ -48,3 +48,42 @@ SQL["scan_prepared"] = SQL["write_train_val"]
 SQL["read_stats"] = SQL["stats_snapshot"]
 SQL["stream_log_source"] = Q(select="""
 SELECT seq, CAST(entry_id AS VARCHAR) AS id, query, strategy, confidence, num_responses FROM lg""")
+SQL["debate_rounds"] = Q(select="""
+SELECT seq, CAST(CASE WHEN n_ok >= 2 THEN n_ok ELSE num_responses END AS INTEGER) AS num_responses FROM lg""")
+
+from chorus.operators import judge as _JD  # noqa: E402
+from chorus.plans.oracles import _lit  # noqa: E402
+
+_SCORE_BLOCKS = """sb AS (
+ SELECT entry_id, string_agg(CASE WHEN coalesce(error, '') <> ''
+   THEN chr(10) || '--- Model ' || CAST(response_index AS VARCHAR) || ' (' || model_name || ', ' || provider || ') [ERROR: ' || error || '] ---' || chr(10)
+   ELSE chr(10) || '--- Model ' || CAST(response_index AS VARCHAR) || ' (' || model_name || ', ' || provider || ') ---' || chr(10) || coalesce(content, '') || chr(10) END,
+   '' ORDER BY response_index) AS blocks
+ FROM r GROUP BY entry_id)"""
+SQL["build_score_prompt"] = Q(_SCORE_BLOCKS, select=f"""
+SELECT e.seq, CAST(length(p) AS INTEGER) AS prompt_chars, CAST(len(string_split(p, chr(10) || '--- Model ')) - 1 AS INTEGER) AS n_blocks
+FROM (SELECT e.seq, replace(replace({_lit(_JD.SCORE_TEMPLATE)}, '{{{{QUERY}}}}', e.query), '{{{{RESPONSES}}}}', coalesce(sb.blocks, '')) AS p
+      FROM e LEFT JOIN sb ON sb.entry_id = e.entry_id) e""")
+
+_MERGE_BLOCKS = """mb AS (
+ SELECT seq, string_agg(chr(10) || '--- ' || model_name || ' (' || provider || ') [Score: ' || printf('%.2f', total_score)
+   || ', Rank: ' || CAST(rnk AS VARCHAR) || '] ---' || chr(10) || coalesce(content, '') || chr(10), '' ORDER BY rnk) AS blocks
+ FROM resp WHERE coalesce(error, '') = '' GROUP BY seq),
+pts AS (
+ SELECT seq,
+  CASE WHEN n_consensus > 0 THEN array_to_string(list_transform(range(1, n_consensus + 1), lambda i: '- consensus point ' || CAST(i AS VARCHAR)), chr(10)) ELSE 'None identified' END AS cons,
+  CASE WHEN n_disagreements > 0 THEN array_to_string(list_transform(range(1, n_disagreements + 1), lambda i: '- disagreement point ' || CAST(i AS VARCHAR)), chr(10)) ELSE 'None identified' END AS dis
+ FROM e)"""
+SQL["build_merge_prompt"] = Q(_MERGE_BLOCKS, select=f"""
+SELECT seq, CAST(length(p) AS INTEGER) AS prompt_chars, contains(p, 'None identified') AS has_none_identified FROM (
+ SELECT e.seq, replace(replace(replace(replace({_lit(_JD.MERGE_TEMPLATE)}, '{{{{QUERY}}}}', e.query), '{{{{RANKED_RESPONSES}}}}', coalesce(mb.blocks, '')),
+   '{{{{CONSENSUS}}}}', pts.cons), '{{{{DISAGREEMENTS}}}}', pts.dis) AS p
+ FROM e LEFT JOIN mb ON mb.seq = e.seq JOIN pts ON pts.seq = e.seq) t""")
+
+SQL["build_debate_prompt"] = Q("""ok AS (
+ SELECT seq, model_name, content, CAST(row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS INTEGER) AS i,
+  count(*) OVER (PARTITION BY seq) AS n FROM resp WHERE coalesce(error, '') = '')""", select=f"""
+SELECT a.seq, a.i AS debater,
+ CAST(length(replace(replace(replace({_lit(_JD.DEBATE_TEMPLATE)}, '{{{{MODEL_NAME}}}}', coalesce(a.model_name, '')),
+   '{{{{YOUR_RESPONSE}}}}', coalesce(a.content, '')), '{{{{OTHER_RESPONSE}}}}', coalesce(b.content, ''))) AS INTEGER) AS prompt_chars
+FROM ok a JOIN ok b ON b.seq = a.seq AND b.i = (a.i + 1) % a.n WHERE a.n >= 2""")
