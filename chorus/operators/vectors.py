@@ -74,16 +74,18 @@ def invariance_loss(tr: DataFrame) -> DataFrame:
 
 
 def dim_std(tr: DataFrame, col: str) -> DataFrame:
-    """Per-dimension sample std of one side: (dim, std)."""
+    """Per-dimension sample std of one side: (dim, std), from exact decimal sums (the same
+    result whatever the partitioning)."""
+    from chorus.functions.agg import exact_std
     ex = tr.select(F.posexplode(col).alias("dim", "v")).select("dim", F.col("v").cast("double").alias("v"))
-    return ex.groupBy("dim").agg(F.stddev_samp("v").alias("std"))
+    return ex.groupBy("dim").agg(exact_std("v").alias("std"))
 
 
 def variance_loss(tr: DataFrame) -> DataFrame:
     """V3: mean over dims of max(0, 1 - std), prediction side plus target side."""
     parts = []
     for side in ("z_pred", "z_target"):
-        parts.append(dim_std(tr, side).agg(F.avg(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("std"))).alias("v")).withColumn("side", F.lit(side)))
+        parts.append(dim_std(tr, side).agg(exact_avg(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("std"))).alias("v")).withColumn("side", F.lit(side)))
     u = parts[0].unionByName(parts[1])
     return u.agg(F.sum("v").alias("variance"))
 

@@ -517,7 +517,8 @@ SQL["invariance_loss"] = with_fixture(TRIPLES, INV, select=f"SELECT {exact_avg('
 VAR = """dims AS (
  SELECT 'p' AS side, CAST(generate_subscripts(zp, 1) AS INTEGER) AS dim, CAST(unnest(zp) AS DOUBLE) AS v FROM tri
  UNION ALL SELECT 't', CAST(generate_subscripts(zt, 1) AS INTEGER), CAST(unnest(zt) AS DOUBLE) FROM tri),
-vl AS (SELECT side, avg(greatest(0.0, 1.0 - s)) AS v FROM (SELECT side, dim, stddev_samp(v) AS s FROM dims GROUP BY 1, 2) t GROUP BY 1)"""
+vl AS (SELECT side, {avg} AS v FROM (SELECT side, dim, {std} AS s FROM dims GROUP BY 1, 2) t GROUP BY 1)""".format(
+    avg=exact_avg("greatest(0.0, 1.0 - s)"), std=exact_std("v"))
 SQL["variance_loss"] = with_fixture(TRIPLES, VAR, select="SELECT sum(v) AS variance FROM vl")
 COV = """cv AS (
  SELECT a.side, a.dim AS i, b.dim AS j, covar_samp(a.v, b.v) AS c
