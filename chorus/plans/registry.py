@@ -50,7 +50,8 @@ def _joined(col, sep=","):
 
 @query("scan_log")
 def q_scan_log(spark, sf):
-    """Every raw record (entry-level fields)."""
+    """S1 view: the entry-level fields of every raw record as the collector builds it (the read
+    of the JSON lines with the explicit schema is ``scan_log_json``)."""
     log = log_of(spark, sf)
     return log.select("seq", "id", "timestamp", "query", "strategy", "confidence", "final_answer", "reasoning",
                       F.size("consensus_points").alias("n_consensus"), F.size("disagreement_points").alias("n_disagreements"),
