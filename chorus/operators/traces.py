@@ -34,9 +34,9 @@ def _pick(seq, texts):
     return F.element_at(F.array(*[F.lit(t) for t in texts]), k + 1)
 
 
-def standin_texts(log: DataFrame) -> DataFrame:
-    """Critique and verification texts per logged question."""
-    return log.select("seq", _pick(F.col("seq"), CRITIQUE_TEXTS).alias("critique"),
+def standin_texts(log: DataFrame, *keep: str) -> DataFrame:
+    """Critique and verification texts per logged question (plus the ``keep`` columns)."""
+    return log.select("seq", *keep, _pick(F.col("seq"), CRITIQUE_TEXTS).alias("critique"),
                       _pick(F.col("seq"), VERIFY_TEXTS).alias("verification"))
 
 
@@ -52,7 +52,7 @@ def parsed(texts: DataFrame) -> DataFrame:
 def standin_steps(log: DataFrame) -> DataFrame:
     """Trace steps per question (D17 rows): decompose, reason, critique, verify, then seq % 3
     refinements, each but the last followed by a new critique and verification."""
-    p = parsed(standin_texts(log)).join(log.select("seq", "query", "final_answer"), "seq")
+    p = parsed(standin_texts(log, "query", "final_answer"))
     n_ref = (F.col("seq") % 3).cast("int")
 
     def step(no, stage, out, conf, issues=None):

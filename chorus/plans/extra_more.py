@@ -181,8 +181,11 @@ def q_embedding_evaluate(spark, sf):
 def _rewards(spark, sf):
     log = log_of(spark, sf)
     model = ML.reward_model(PR.preference_pairs(log))
-    answers = LV.valid_responses(log).join(
-        LV.explode_responses(log, outer=False, keep=("seq",)).select("seq", "response_pos", "content"), ["seq", "response_pos"])
+    # the valid answers with their texts: one explode of the needed fields, no join
+    from chorus.operators.scoring import is_valid
+    ex = log.select("seq", F.posexplode(LV.response_fields("model_name", "content", "error", "total_score", "rank"))
+                    .alias("response_pos", "r"))
+    answers = ex.filter(is_valid(F.col("r"))).select("seq", "response_pos", "r.model_name", "r.content", "r.total_score", "r.rank")
     return ML.reward_scores(model, answers)
 
 
