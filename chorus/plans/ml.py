@@ -76,31 +76,47 @@ def strategy_classifier(questions: DataFrame, best_by_type: DataFrame, query_col
     return p.select("*", F.get(order, F.col("prediction").cast("int")).alias("predicted_strategy"))
 
 
-def grounding_classifier(triples: DataFrame) -> DataFrame:
-    """M4 + P9: binary logistic regression on concat(question, answer) embeddings: the target
-    answer is grounded (1), the negative is not (0). Hallucination probability = 1 - p(grounded);
-    grounded when it is below 0.3."""
-    pos = triples.select("triple", F.concat("z_pred", "z_target").alias("z"), F.lit(1.0).alias("label"))
-    neg = triples.select("triple", F.concat("z_pred", "z_negative").alias("z"), F.lit(0.0).alias("label"))
+def fit_grounding(triples: DataFrame):
+    """M4: binary logistic regression on concat(question, answer) embeddings: the target answer
+    is grounded (1), the negative is not (0)."""
+    pos = triples.select(F.concat("z_pred", "z_target").alias("z"), F.lit(1.0).alias("label"))
+    neg = triples.select(F.concat("z_pred", "z_negative").alias("z"), F.lit(0.0).alias("label"))
     d = pos.unionByName(neg).withColumn("features", array_to_vector("z"))
-    model = LogisticRegression(maxIter=50, regParam=0.01).fit(d)
-    p = model.transform(d).withColumn("hallucination_probability", F.lit(1.0) - vector_to_array("probability")[1])
-    return p.withColumn("is_grounded", F.col("hallucination_probability") < R.GROUNDED_BELOW)
+    return LogisticRegression(maxIter=50, regParam=0.01).fit(d)
+
+
+def apply_grounding(model, df: DataFrame, question: str, answer: str) -> DataFrame:
+    """P9 with M4: hallucination probability = 1 - p(grounded); grounded when below 0.3."""
+    x = df.withColumn("features", array_to_vector(F.concat(question, answer)))
+    p = model.transform(x).withColumn("hallucination_probability", F.lit(1.0) - vector_to_array("probability")[1])
+    return p.withColumn("is_grounded", F.col("hallucination_probability") < R.GROUNDED_BELOW).drop(
+        "features", "rawPrediction", "probability", "prediction")
+
+
+def grounding_classifier(triples: DataFrame) -> DataFrame:
+    """M4 + P9 on the (question, target) and (question, negative) pairs of each triple."""
+    model = fit_grounding(triples)
+    pos = triples.select("triple", "z_pred", F.col("z_target").alias("z_answer"), F.lit(1.0).alias("label"))
+    neg = triples.select("triple", "z_pred", F.col("z_negative").alias("z_answer"), F.lit(0.0).alias("label"))
+    return apply_grounding(model, pos.unionByName(neg), "z_pred", "z_answer")
 
 
 def embedding_evaluate(embeddings: DataFrame) -> DataFrame:
     """V8: overall score (A1 weights over the predicted quality of the answer embedding), the
-    grounded flag (M4, P9) and the reasoning similarity (V1) of each (question, answer) triple."""
-    _, q = quality_regressor(embedding_features(embeddings))
+    grounded flag (M4, P9) and the reasoning similarity (V1) of each (question, answer) triple.
+    The fitted models are applied to one frame of triples, so the results need no join."""
+    models, _ = quality_regressor(embedding_features(embeddings))
     tri = VC.triples(embeddings)
-    g = grounding_classifier(tri).filter(F.col("label") == 1.0).select("triple", "hallucination_probability", "is_grounded")
-    target_q = q.select((F.col("vec_id") / 3).cast("long").alias("triple"), (F.col("vec_id") % 3).alias("role"),
-                        *[f"pred_{n}" for n in DIMS]).filter("role = 1").drop("role")
+    ground = fit_grounding(tri)
+    x = tri.withColumn("features", array_to_vector("z_target"))
+    for m in models:
+        x = m.transform(x)
+    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
+    x = x.select("*", *[clip(f"p_{n}").alias(f"pred_{n}") for n in DIMS]).drop("features", *[f"p_{n}" for n in DIMS])
+    x = apply_grounding(ground, x, "z_pred", "z_target")
     overall = SC.weighted_total(*[F.col(f"pred_{n}") for n in DIMS])
-    sim = VC.per_row(tri).select("triple", F.col("cosine").alias("reasoning_similarity"))
-    return target_q.join(g, "triple").join(sim, "triple").select(
-        "triple", overall.alias("overall_score"), *[f"pred_{n}" for n in DIMS], "hallucination_probability", "is_grounded",
-        "reasoning_similarity")
+    return x.select("triple", overall.alias("overall_score"), *[f"pred_{n}" for n in DIMS], "hallucination_probability",
+                    "is_grounded", VC.cosine_similarity("z_pred", "z_target").alias("reasoning_similarity"))
 
 
 def reward_model(pairs: DataFrame):
