@@ -5,10 +5,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chorus.llm import decontam, jaccard
+from chorus.llm import decontam, jaccard, mixing, quality, shards
 from chorus.sources.tables import read_table
 
 
+def op1_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes from every document."""
+    return mixing.mix_table(read_table(spark, sf_dir, "documents"))
+
+
+def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under a uniform shuffle with exact shard sizes."""
+    return shards.manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by boosted trees fitted on labelled ones."""
+    return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of benchmark windows in every document."""
     found = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -20,4 +35,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_entropy_balanced_mix, op4_hypergeometric_shards, op8_quality_trees, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
