@@ -6,7 +6,7 @@ closest to 1 in relative entropy that meet each source's token target have the f
 concave dual and are found by Newton steps, one aggregate over the table of distinct (source, size)
 per step, each step stored in the shared folder. A step that leaves its bracket is replaced by a
 halving of the bracket. Rates are then rounded into copies so that the sums stay: within a source,
-running sums of rates over falling sizes are rounded, with the best of ``OFFSETS`` starting points.
+running sums of rates over falling sizes are rounded, with the best of ``OFFSETS`` starting points, and ``REPAIRS`` single copies then close the gap that is left.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share all words; a
 target above ``CAP`` times its source's words stops there and the excess is shared again by weight.
@@ -34,6 +34,7 @@ from chorus.llm.textarrays import fresh, quoted
 WEIGHTS = (5, 2, 1)
 CAP = 3
 OFFSETS = 32
+REPAIRS = 3
 GROUP = 1024
 STEPS = 60
 CLOSE = 1e-9
@@ -129,6 +130,15 @@ def plan(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"got_{k}") - F.col("goal")).alias("miss"), F.lit(o).alias("offset")) for k, o in enumerate(offsets)]))
     chosen = missed.select("rank", best["offset"].alias("offset"))
     out = rated.join(chosen, "rank").withColumn("total", F.when(F.col("size") == 0, F.col("n")).otherwise(copies(F.col("offset"))))
+    # what rounding still misses: in each repair one copy of the size that closes the gap best
+    source = Window.partitionBy("rank")
+    for _ in range(REPAIRS):
+        gap = F.col("target") - F.sum(F.col("total") * F.col("size")).over(source)
+        out = out.withColumn("gap", gap)
+        room = ((F.col("gap") > 0) & (F.col("total") < F.col("n") * cap)) | ((F.col("gap") < 0) & (F.col("total") > 0))
+        left = F.abs(F.abs("gap") - F.col("size"))
+        out = out.withColumn("offer", F.when(room & (left < F.abs("gap")), F.struct(left.alias("left"), F.col("size"))))
+        out = out.withColumn("total", F.col("total") + F.when(F.col("offer") == F.min("offer").over(source), F.signum("gap").cast("long")).otherwise(0))
     return out.select("source", "size", "n", "source_size", "target", "rate", "total")
 
 
