@@ -35,4 +35,39 @@ SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM reach WHERE x = doc_id
        (SELECT count(*) FROM edge WHERE x = doc_id) AS n_links
 FROM dw"""
 
-ORACLES = {"op9_benchmark_decontamination": OP9, "op10_ngram_jaccard_join": OP10}
+_RULES = "(VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS r(verdict, h, p)"
+
+OP6 = rf"""
+WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+c AS (SELECT page_id, regexp_replace(rest, '[?#].*', '', 's') AS rest FROM u),
+s AS (SELECT page_id, coalesce(translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(substr(rest, length(split_part(rest, '/', 1)) + 1), '') AS path FROM c),
+fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+        FROM s JOIN {_RULES} ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN path LIKE '/%'
+       AND regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN fit USING (page_id)"""
+
+_STOP = "['the', 'of', 'and', 'to', 'a', 'in', 'is', 'that', 'for', 'on', 'with', 'as', 'this', 'was', 'it', 'der', 'die', 'das', 'und', 'den', 'von', 'zu', 'mit', 'ist', 'ein', 'eine', 'im', 'nicht', 'des', 'le', 'la', 'les', 'de', 'et', 'un', 'une', 'que', 'dans', 'pour', 'est', 'du', 'en', 'au', 'el', 'los', 'las', 'y', 'por', 'con', 'una', 'para', 'se', 'del']"
+
+OP3 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS p FROM t WHERE len(w) >= 8)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS k FROM win) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + 7)) AS q FROM dup) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: list_contains({_STOP}, lower(x)))) AS n_stop,
+             len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: ends_with(x, '!'))) AS n_exclaimed FROM t LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(n_words, 1) AS d,
+  list_filter([CASE WHEN n_words < 20 THEN 'enough_words' END, CASE WHEN n_repeat_words > 0.3 * greatest(n_words, 1) THEN 'repeated_words' END,
+   CASE WHEN word_chars < 2 * n_words OR n_words = 0 THEN 'mean_word_length' END, CASE WHEN word_chars > 12 * n_words THEN 'long_words' END,
+   CASE WHEN n_symbols > 0.1 * n_words AND n_words > 0 THEN 'symbols' END, CASE WHEN n_dup_lines > 0.3 * n_lines THEN 'duplicate_lines' END,
+   CASE WHEN n_stop < 0.02 * n_words OR n_words = 0 THEN 'stop_words' END, CASE WHEN n_distinct < 0.01 * n_words OR n_words = 0 THEN 'distinct_words' END,
+   CASE WHEN n_exclaimed > 0.1 * n_words THEN 'exclaimed_words' END], lambda x: x IS NOT NULL) AS f FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       len(f) = 0 AND NOT base_failed AS kept, array_to_string(f, ',') AS failed FROM v"""
+
+ORACLES = {"op3_quality_rules": OP3, "op6_bloom_url_filter": OP6, "op9_benchmark_decontamination": OP9, "op10_ngram_jaccard_join": OP10}

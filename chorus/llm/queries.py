@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chorus.llm import decontam, jaccard, mixing, quality, shards
+from chorus.llm import decontam, jaccard, mixing, quality, rules, shards, urlfilter
 from chorus.sources.tables import read_table
 
 
@@ -14,11 +14,21 @@ def op1_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the threshold table for every document."""
+    return rules.judged(read_table(spark, sf_dir, "documents"))
+
+
 def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under a uniform shuffle with exact shard sizes."""
     return shards.manifest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the URL of every page."""
+    return urlfilter.judged(read_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by boosted trees fitted on labelled ones."""
     return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -35,4 +45,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_balanced_mix, op4_hypergeometric_shards, op8_quality_trees, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (
+    op1_entropy_balanced_mix, op3_quality_rules, op4_hypergeometric_shards, op6_bloom_url_filter, op8_quality_trees,
+    op9_benchmark_decontamination, op10_ngram_jaccard_join)}
