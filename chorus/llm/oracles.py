@@ -70,4 +70,12 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        len(f) = 0 AND NOT base_failed AS kept, array_to_string(f, ',') AS failed FROM v"""
 
-ORACLES = {"op3_quality_rules": OP3, "op6_bloom_url_filter": OP6, "op9_benchmark_decontamination": OP9, "op10_ngram_jaccard_join": OP10}
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, true AS sound
+FROM d LEFT JOIN f USING (payload_digest)"""
+
+ORACLES = {"op5_warc_index": OP5, "op3_quality_rules": OP3, "op6_bloom_url_filter": OP6, "op9_benchmark_decontamination": OP9, "op10_ngram_jaccard_join": OP10}

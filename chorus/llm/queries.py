@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chorus.llm import decontam, jaccard, mixing, quality, rules, shards, urlfilter
+from chorus.llm import decontam, html, jaccard, licenses, mixing, quality, rules, shards, urlfilter, warc
 from chorus.sources.tables import read_table
 
 
@@ -14,6 +14,11 @@ def op1_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read_table(spark, sf_dir, "documents"))
 
 
+def op2_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, laid out in lines."""
+    return html.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the threshold table for every document."""
     return rules.judged(read_table(spark, sf_dir, "documents"))
@@ -24,11 +29,21 @@ def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.manifest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record, read back and looked up in the capture index."""
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op6_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict for the URL of every page."""
     return urlfilter.judged(read_table(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or the nearest directory's."""
+    return licenses.scan(licenses.document_files(read_table(spark, sf_dir, "documents")))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by boosted trees fitted on labelled ones."""
     return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -46,5 +61,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_entropy_balanced_mix, op3_quality_rules, op4_hypergeometric_shards, op6_bloom_url_filter, op8_quality_trees,
+    op1_entropy_balanced_mix, op2_html_rendering, op3_quality_rules, op4_hypergeometric_shards, op5_warc_index,
+    op6_bloom_url_filter, op7_license_scan, op8_quality_trees,
     op9_benchmark_decontamination, op10_ngram_jaccard_join)}
