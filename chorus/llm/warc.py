@@ -61,7 +61,7 @@ def with_roles(pages: DataFrame) -> DataFrame:
     own = own.withColumn("digest", F.sha1("html"))
     long = own.where(F.octet_length("html") >= LEAST)
     repeated = long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    joined = own.join(repeated, "digest", "left")
+    joined = own.join(stored(repeated, "repeated"), "digest", "left")     # a measured size: few repeats move no payload
     refers = F.when((F.octet_length("html") >= LEAST) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -288,7 +288,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``sound``."""
     spark = pages.sparkSession
     own = pages.select("page_id", "url", "html")
-    captures = read_archives(spark, write_archives(own))
+    captures = stored(read_archives(spark, write_archives(own)), "captures")
     blocks, directory = build_index(captures)
     clean = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "")
     keys = own.select(sort_key(url_key(clean), F.col("page_id")).alias("key"))
