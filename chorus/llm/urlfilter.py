@@ -60,8 +60,11 @@ def canonical(url: Column) -> Column:
 
 
 def list_of(spark: SparkSession, entries: list[tuple[str, str, str]]) -> DataFrame:
-    """(verdict, host, path) entries as a table."""
-    return spark.createDataFrame(entries, "verdict string, host string, path string")
+    """(verdict, host, path) entries as a table, built from literals."""
+    if not entries:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(c) for c in ("verdict", "host", "path")])
+    rows = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in entries]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
 
 
 def bloom_bits(key: Column) -> Column:
