@@ -34,13 +34,13 @@ def explode_responses(log: DataFrame, outer: bool = True, keep=("seq", "query",
 
 def valid_responses(log: DataFrame) -> DataFrame:
     """Answers with no error and non-empty content."""
-    ex = log.select("seq", F.posexplode("responses").alias("response_pos", "r"))
+    ex = log.select("seq", F.posexplode(response_fields("model_name", "total_score", "rank", "error", "content")).alias("response_pos", "r"))
     return ex.filter(is_valid(F.col("r"))).select("seq", "response_pos", "r.model_name", "r.total_score", "r.rank")
 
 
 def non_error_responses(log: DataFrame) -> DataFrame:
     """Answers with no error (empty content stays)."""
-    ex = log.select("seq", F.posexplode("responses").alias("response_pos", "r"))
+    ex = log.select("seq", F.posexplode(response_fields("model_name", "total_score", "rank", "error", "content")).alias("response_pos", "r"))
     return ex.filter(~is_error(F.col("r"))).select("seq", "response_pos", "r.model_name", "r.total_score", "r.rank",
                                                    F.length("r.content").alias("content_chars"))
 

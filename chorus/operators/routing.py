@@ -28,7 +28,8 @@ def model_perf(log: DataFrame) -> DataFrame:
     first position the pair was seen at (tie-breaker, T1). Errored answers count; questions
     without answers do not (T13)."""
     from chorus.operators.logview import response_fields
-    ex = with_question_type(log).select("seq", QTYPE, F.posexplode(response_fields("model_name", "total_score")).alias("pos", "r"))
+    slim = log.select("seq", "query", response_fields("model_name", "total_score").alias("answers"))
+    ex = with_question_type(slim).select("seq", QTYPE, F.posexplode("answers").alias("pos", "r"))
     score = F.coalesce(F.col("r.total_score"), F.lit(0.0))
     return ex.groupBy(QTYPE, F.coalesce("r.model_name", F.lit("unknown")).alias("model_name")).agg(
         AG.exact_avg(score).alias("avg_score"),
@@ -41,7 +42,7 @@ def model_perf(log: DataFrame) -> DataFrame:
 def strategy_perf(log: DataFrame) -> DataFrame:
     """A4: by (question type, strategy): average confidence and count. Missing strategy is
     weighted_merge and missing confidence 0 (T3)."""
-    q = with_question_type(log)
+    q = with_question_type(log.select("seq", "query", "strategy", "confidence"))
     return q.groupBy(QTYPE, F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY)).alias("strategy")).agg(
         AG.exact_avg(F.coalesce("confidence", F.lit(0.0))).alias("avg_confidence"),
         F.count(F.lit(1)).alias("n"),
@@ -53,7 +54,7 @@ def type_counts(log: DataFrame, strat: DataFrame | None = None) -> DataFrame:
     """A5: entries per question type, with the total over all types. Derived from the
     (type, strategy) table when given (every entry has exactly one strategy)."""
     if strat is None:
-        counts = with_question_type(log).groupBy(QTYPE).agg(F.count(F.lit(1)).alias("n"))
+        counts = with_question_type(log.select("query")).groupBy(QTYPE).agg(F.count(F.lit(1)).alias("n"))
     else:
         counts = strat.groupBy(QTYPE).agg(F.sum("n").alias("n"))
     # at most ten rows here, so the global window is over ten rows
@@ -77,10 +78,10 @@ def performance_table(log: DataFrame) -> DataFrame:
     exploded with ``posexplode_outer`` (a question without answers keeps one NULL-model row);
     question-level sums are taken on each question's first row only. Folding over models gives
     the strategy table, folding over strategies the model table."""
-    q = with_question_type(log).select(
+    slim = log.select("seq", "query", "strategy", "confidence", _fields("model_name", "total_score").alias("answers"))
+    q = with_question_type(slim).select(
         "seq", QTYPE, F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY)).alias("strategy"),
-        F.coalesce("confidence", F.lit(0.0)).alias("conf"),
-        F.posexplode_outer(_fields("model_name", "total_score")).alias("pos", "r"))
+        F.coalesce("confidence", F.lit(0.0)).alias("conf"), F.posexplode_outer("answers").alias("pos", "r"))
     first_row = F.col("pos").isNull() | (F.col("pos") == 0)
     answered = F.col("pos").isNotNull()
     score = F.coalesce(F.col("r.total_score"), F.lit(0.0)).cast(AG.DEC)
@@ -100,24 +101,6 @@ def _fields(*names):
     return response_fields(*names)
 
 
-def models_from_table(t: DataFrame) -> DataFrame:
-    """A3 from the performance table (fold over strategies)."""
-    g = t.filter(F.col("n") > 0).groupBy(QTYPE, "model_name").agg(
-        F.sum("n").alias("n"), F.sum("s").cast("double").alias("_s"), F.sum("ss").cast("double").alias("_ss"),
-        F.min("first_seen").alias("first_seen"))
-    n = F.col("n")
-    var = (F.col("_ss") - F.col("_s") * F.col("_s") / n) / (n - 1)
-    return g.select(QTYPE, "model_name", (F.col("_s") / n).alias("avg_score"), "n",
-                    F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std_score"), "first_seen")
-
-
-def strategies_from_table(t: DataFrame) -> DataFrame:
-    """A4 from the performance table (fold over models)."""
-    g = t.groupBy(QTYPE, "strategy").agg(F.sum("questions").alias("n"), F.sum("conf_sum").cast("double").alias("_c"),
-                                          F.min("strategy_first_seen").alias("first_seen"))
-    return g.select(QTYPE, "strategy", (F.col("_c") / F.col("n")).alias("avg_confidence"), "n", "first_seen")
-
-
 def performance_by_type(log: DataFrame) -> DataFrame:
     """The router's performance table, one row per question type (at most ten rows): models in
     rank order with their averages, best strategy, and number of questions (D10). One scan of

@@ -68,9 +68,11 @@ def per_row(tr: DataFrame) -> DataFrame:
 
 
 def invariance_loss(tr: DataFrame) -> DataFrame:
-    """V2: mean squared difference between prediction and target over rows x dims."""
-    sq = tr.select(F.explode(F.zip_with("z_pred", "z_target", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))).alias("sq"))
-    return sq.agg(exact_avg("sq").alias("invariance"))
+    """V2: mean squared difference between prediction and target over rows x dims, summed inside the
+    row first (no row per dimension); doubles, so tiny and huge differences both count."""
+    diff = F.zip_with("z_pred", "z_target", lambda x, y: x.cast("double") - y.cast("double"))
+    rows = tr.select(_dsum(F.transform(diff, lambda v: v * v)).alias("sq"), F.size("z_pred").alias("d"))
+    return rows.agg((F.sum("sq") / F.sum("d")).alias("invariance"))
 
 
 def dim_std(tr: DataFrame, col: str) -> DataFrame:
@@ -108,7 +110,8 @@ def _partial_moments(batches):
         rows.append(pd.DataFrame({"side": side, "i": np.arange(d * d), "v": m.ravel()}))
         rows.append(pd.DataFrame({"side": side, "i": -1 - np.arange(d), "v": s}))
         rows.append(pd.DataFrame({"side": [side], "i": [-(d + 1)], "v": [float(n)]}))
-    yield pd.concat(rows) if rows else pd.DataFrame({"side": [], "i": [], "v": []})
+    if rows:
+        yield pd.concat(rows)
 
 
 def _reduce_side(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,9 +121,9 @@ def _reduce_side(pdf: pd.DataFrame) -> pd.DataFrame:
     s = pdf[(pdf["i"] < 0) & (pdf["i"] >= -d)].sort_values("i", ascending=False)["v"].to_numpy()
     n = float(pdf[pdf["i"] == -(d + 1)]["v"].iloc[0])
     m = cells.reshape(d, d)
-    cov = (m - np.outer(s, s) / n) / (n - 1.0)
+    cov = (m - np.outer(s, s) / n) / max(n - 1.0, 1.0)
     off = cov[~np.eye(d, dtype=bool)]
-    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "c": [float(np.mean(off ** 2))]})
+    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "c": [float(np.mean(off ** 2)) if len(off) else 0.0]})
 
 
 def covariance_loss(tr: DataFrame) -> DataFrame:
@@ -141,17 +144,48 @@ def contrastive_loss(tr: DataFrame, margin: float = R.CONTRASTIVE_MARGIN) -> Dat
     return r.agg(exact_avg(F.greatest(F.lit(0.0), F.col("pos_dist") - F.col("neg_dist") + F.lit(margin))).alias("contrastive"))
 
 
+def _all_parts(batches):
+    """Per task, from one reading of the vectors: the moments of both sides and, as side ``loss``, the
+    sum of squared differences (0), the number of values (1), the sum of margins (2) and rows (3)."""
+    acc, loss = {}, np.zeros(4)
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        p, t, n = (np.stack(pdf[c].to_numpy()).astype(np.float64) for c in ("z_pred", "z_target", "z_negative"))
+        near = np.sqrt(((p - t + R.PAIRWISE_EPS) ** 2).sum(axis=1))
+        away = np.sqrt(((p - n + R.PAIRWISE_EPS) ** 2).sum(axis=1))
+        loss += [((p - t) ** 2).sum(), p.size, np.maximum(0.0, near - away + R.CONTRASTIVE_MARGIN).sum(), len(p)]
+        for side, x in (("z_pred", p), ("z_target", t)):
+            k, s, m = acc.get(side, (0, 0.0, 0.0))
+            acc[side] = (k + len(x), s + x.sum(axis=0), m + x.T @ x)
+    rows = [pd.DataFrame({"side": "loss", "i": np.arange(4), "v": loss})] if acc else []
+    for side, (k, s, m) in acc.items():
+        d = len(s)
+        rows.append(pd.DataFrame({"side": side, "i": np.concatenate((np.arange(d * d), -1 - np.arange(d), [-(d + 1)])), "v": np.concatenate((m.ravel(), s, [float(k)]))}))
+    if rows:
+        yield pd.concat(rows)
+
+
+def _side_losses(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(loss, value) rows of one side's summed moments, or of the summed ``loss`` parts."""
+    side, by = pdf["side"].iloc[0], pdf.set_index("i")["v"]
+    if side == "loss":
+        return pd.DataFrame({"loss": ["invariance", "contrastive"], "value": [by[0] / by[1], by[2] / by[3]]})
+    d = int((by.index < 0).sum()) - 1
+    n, s, m = by[-(d + 1)], by[-1 - np.arange(d)].to_numpy(), by[np.arange(d * d)].to_numpy().reshape(d, d)
+    std = np.sqrt(np.maximum((np.diag(m) - s * s / n) / (n - 1), 0)) if n > 1 else np.zeros(d)
+    return pd.DataFrame({"loss": ["variance", "covariance"], "value": [float(np.maximum(0.0, 1.0 - std).mean()), _reduce_side(pdf)["c"].iloc[0]]})
+
+
 def collapse_report(tr: DataFrame) -> DataFrame:
-    """V6: the four losses and the weighted total 25*inv + 25*var + 1*cov + 10*contrastive."""
-    parts = [invariance_loss(tr), variance_loss(tr), covariance_loss(tr), contrastive_loss(tr)]
+    """V6: the four losses and the weighted total 25*inv + 25*var + 1*cov + 10*contrastive, from one
+    pass over the vectors. Tasks send sums of d x d cells, independent of the number of rows."""
+    parts = tr.select("z_pred", "z_target", "z_negative").mapInPandas(_all_parts, "side string, i long, v double")
+    summed = parts.groupBy("side", "i").agg(F.sum("v").alias("v"))
+    losses = summed.groupBy("side").applyInPandas(_side_losses, "loss string, value double")   # three groups of at most d^2 + d + 1 rows
     names = ["invariance", "variance", "covariance", "contrastive"]
-    u = None
-    for name, p in zip(names, parts):
-        p = p.select(F.lit(name).alias("loss"), F.col(name).alias("value"))
-        u = p if u is None else u.unionByName(p)
+    one = losses.agg(*[F.sum(F.when(F.col("loss") == n, F.col("value"))).alias(n) for n in names])
     w = dict(R.LOSS_WEIGHTS)
-    pick = lambda n: F.max(F.when(F.col("loss") == n, F.col("value")))
-    one = u.agg(*[pick(n).alias(n) for n in names])
     total = None
     for n in names:
         term = F.coalesce(F.col(n), F.lit(0.0)) * F.lit(w[n])

@@ -23,13 +23,17 @@ tpl(tid, query) AS (VALUES
  (13,'Who was first to reach the south pole and when did that happen'),
  (14,'Outline step by step a plan to move house this coming week? What do we pack first, and what do we pack last of all?')),
 e AS (
- SELECT o.o_orderkey AS entry_id, o.o_orderkey AS seq, o.o_orderdate AS ts, t.tid AS tid, t.query AS query,
+ SELECT o.o_orderkey AS entry_id, o.o_orderkey AS seq, o.o_orderdate AS ts, t.tid AS tid, concat_ws(' ', u.u_text, t.query) AS query,
   CASE substr(o.o_orderpriority,1,1) WHEN '1' THEN 'best_of_n' WHEN '2' THEN 'weighted_merge' WHEN '3' THEN 'debate' WHEN '4' THEN 'chain_of_verification' END AS strategy,
   CASE WHEN t.tid = 5 THEN CAST(800 + (o.o_orderkey * 7919) % 201 AS DOUBLE) ELSE CAST((o.o_orderkey * 7919) % 1001 AS DOUBLE) END / CAST(1000 AS DOUBLE) AS confidence,
-  CASE WHEN o.o_orderkey % 11 = 0 THEN '' WHEN o.o_orderkey % 11 = 1 THEN 'Too short.' ELSE substr(d.text,1,600) END AS final_answer,
+  CASE WHEN o.o_orderkey % 11 = 0 THEN '' WHEN o.o_orderkey % 11 = 1 THEN 'Too short.' ELSE d.text END AS final_answer,
   CASE WHEN o.o_orderstatus = 'P' AND t.tid <> 5 THEN 1 ELSE 0 END AS n_disagreements,
   CAST(o.o_orderkey % 4 AS INT) AS n_consensus
- FROM orders o JOIN tpl t ON o.o_orderkey % 15 = t.tid LEFT JOIN documents d ON d.doc_id = o.o_orderkey % 200),
+ FROM orders o JOIN tpl t ON o.o_orderkey % 15 = t.tid
+ LEFT JOIN documents d ON d.doc_id = o.o_orderkey % (SELECT max(doc_id) + 1 FROM documents)
+ LEFT JOIN (SELECT conv_id, turn, min(translate(text, chr(13) || chr(10), '  ')) AS u_text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn) u
+  ON u.conv_id = o.o_orderkey % (SELECT max(conv_id) + 1 FROM conversations)
+  AND u.turn = floor(o.o_orderkey / (SELECT max(conv_id) + 1 FROM conversations)) % 8),
 r0 AS (
  SELECT l_orderkey AS entry_id, l_orderkey % 15 AS tid,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS response_index,
@@ -48,10 +52,10 @@ r1 AS (
 r AS (
  SELECT r1.entry_id, r1.response_index, concat('model_', CAST(r1.m AS VARCHAR(4))) AS model_name,
   concat('m', CAST(r1.m AS VARCHAR(4))) AS model_id, concat('prov_', CAST(r1.m % 3 AS VARCHAR(4))) AS provider,
-  CASE WHEN r1.error IS NOT NULL THEN '' ELSE substr(d.text,1,400) END AS content,
+  CASE WHEN r1.error IS NOT NULL THEN '' ELSE d.text END AS content,
   r1.latency_ms, r1.error, accuracy, completeness, reasoning_quality, clarity,
   accuracy * CAST(0.35 AS DOUBLE) + completeness * CAST(0.25 AS DOUBLE) + reasoning_quality * CAST(0.20 AS DOUBLE) + clarity * CAST(0.10 AS DOUBLE) AS total_score
- FROM r1 LEFT JOIN documents d ON d.doc_id = r1.l_partkey % 200)
+ FROM r1 LEFT JOIN documents d ON d.doc_id = r1.l_partkey % (SELECT max(doc_id) + 1 FROM documents))
 """
 
 RANKED_CTE = """

@@ -101,15 +101,16 @@ def collect_answers(tasks: DataFrame, results: DataFrame) -> DataFrame:
 def debate_rounds(questions: DataFrame, generate: Generate, rounds: int = 2, timeout_s: float = 120.0) -> DataFrame:
     """T-5: each round, every valid answer i sees answer (i+1) mod n of the previous round and is
     asked again by the same model; a failed call keeps the old answer. Returns the valid
-    answers, or the input answers (errors included) when fewer than two are valid."""
-    cur = _checkpoint(questions.select("question_id", "query", "responses",
+    answers, or the input answers (errors included) when fewer than two are valid, and
+    ``debate_ms``: per round the slowest call, summed over the rounds (calls of a round run at once)."""
+    cur = _checkpoint(questions.select("question_id", "query", "responses", F.lit(0.0).alias("debate_ms"),
                                        F.filter("responses", lambda r: ~SC.is_error(r)).alias("valid")))
     for _ in range(rounds):
         pairs = cur.filter(F.size("valid") >= 2).select("question_id", F.posexplode("valid").alias("i", "r"), "valid")
         n = F.size("valid")
         other = F.get(F.col("valid"), (F.col("i") + 1) % n)
         tasks = pairs.select(
-            (F.col("question_id") * 1000 + F.col("i")).alias("task_id"), "question_id", "i",
+            (F.shiftleft(F.col("question_id").cast("long"), 20) + F.col("i")).alias("task_id"), "question_id", "i",
             F.col("r.model_id").alias("model_id"), F.col("r.model_name").alias("model_name"), F.col("r.provider").alias("provider"),
             JD.debate_prompt(F.col("r.model_name"), F.col("r.content"), other["content"]).alias("prompt"),
             F.lit(None).cast("string").alias("system_prompt"), F.lit(0.7).alias("temperature"), F.lit(4096).alias("max_tokens"),
@@ -118,13 +119,14 @@ def debate_rounds(questions: DataFrame, generate: Generate, rounds: int = 2, tim
         upd = tasks.select("task_id", "question_id", "i", "old").join(res, "task_id")
         fresh = F.struct("model_id", "model_name", "provider", "content", "reasoning_trace", "latency_ms", "error")
         kept = F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("old")).otherwise(fresh)
-        upd = upd.select("question_id", "i", kept.alias("r"))
-        nested = upd.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("_v")).select(
-            "question_id", F.transform("_v", lambda x: x["r"]).alias("_new"))
+        upd = upd.select("question_id", "i", kept.alias("r"), F.coalesce("latency_ms", F.lit(0.0)).alias("call_ms"))
+        nested = upd.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("_v"), F.max("call_ms").alias("_ms")).select(
+            "question_id", F.transform("_v", lambda x: x["r"]).alias("_new"), "_ms")
         cur = cur.join(nested, "question_id", "left").select(
-            "question_id", "query", "responses", F.coalesce("_new", "valid").alias("valid"))
+            "question_id", "query", "responses", (F.col("debate_ms") + F.coalesce("_ms", F.lit(0.0))).alias("debate_ms"),
+            F.coalesce("_new", "valid").alias("valid"))
         cur = _checkpoint(cur)
-    return cur.select("question_id", "query", F.when(F.size("valid") >= 2, F.col("valid")).otherwise(F.col("responses")).alias("responses"))
+    return cur.select("question_id", "query", F.when(F.size("valid") >= 2, F.col("valid")).otherwise(F.col("responses")).alias("responses"), "debate_ms")
 
 
 def _judge_tasks(df: DataFrame, prompt_col, judge: dict, task_offset: int) -> DataFrame:
@@ -138,15 +140,19 @@ def _judge_tasks(df: DataFrame, prompt_col, judge: dict, task_offset: int) -> Da
 def synthesize(questions: DataFrame, generate: Generate, judge: dict, debate: int = 2, timeout_s: float = 120.0) -> DataFrame:
     """T-6: per question (question_id, query, strategy, responses): debate first when asked,
     then score with the judge, then best-of-n / merge / merge + verify; returns raw records.
-    The record's total latency is the judge calls' latencies plus those of the answers."""
+    The record's total latency is that of the original answers plus the whole synthesis: debate,
+    scoring, merging and verification calls."""
     # the input is read by several branches; pin it once (it may hold measured latencies)
     q = _checkpoint(questions.withColumn("strategy", F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY))))
     deb = q.filter(F.col("strategy") == "debate")
+    own = ("question_id", "query", "strategy", "responses", "original", "debate_ms")
+    first = deb.select("question_id", "strategy", F.col("responses").alias("original"))
     if debate:
-        deb = debate_rounds(deb.select("question_id", "query", "responses"), generate, debate, timeout_s).join(
-            deb.select("question_id", "strategy"), "question_id")
-    work = q.filter(F.col("strategy") != "debate").select("question_id", "query", "strategy", "responses").unionByName(
-        deb.select("question_id", "query", "strategy", "responses"))
+        deb = debate_rounds(deb.select("question_id", "query", "responses"), generate, debate, timeout_s).join(first, "question_id")
+    else:
+        deb = deb.withColumn("original", F.col("responses")).withColumn("debate_ms", F.lit(0.0))
+    plain = q.filter(F.col("strategy") != "debate").withColumn("original", F.col("responses")).withColumn("debate_ms", F.lit(0.0))
+    work = plain.select(*own).unionByName(deb.select(*own))
     work = _checkpoint(work)
     scored_t = _judge_tasks(work, JD.score_prompt(F.col("query"), F.col("responses")), judge, 0)
     replies = dispatch_prompts(scored_t, generate, timeout_s=timeout_s).select(
@@ -169,9 +175,9 @@ def synthesize(questions: DataFrame, generate: Generate, judge: dict, debate: in
     rec = w.select(F.col("question_id").alias("seq"), F.col("question_id").cast("string").alias("id"),
                    F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
                    "query", "strategy", final.alias("final_answer"), "judge",
-                   # synthesis time: the judge's scoring, merging and verification calls
-                   (F.col("_t_score") + F.coalesce("_t_merge", F.lit(0.0)) + F.coalesce("_t_verify", F.lit(0.0))).alias("judge_ms"),
-                   "responses", "ranked")
+                   # synthesis time: debate, and the judge's scoring, merging and verification calls
+                   (F.col("debate_ms") + F.col("_t_score") + F.coalesce("_t_merge", F.lit(0.0)) + F.coalesce("_t_verify", F.lit(0.0))).alias("judge_ms"),
+                   F.col("original").alias("responses"), "ranked")
     return SC.to_raw_record(rec)
 
 

@@ -11,7 +11,6 @@ from chorus.operators import pairs as PR
 from chorus.operators import prepare as PP
 from chorus.operators import routing as RT
 from chorus.operators import vectors as VC
-from chorus.plans import dispatch as DP
 from chorus.plans import ml as ML
 from chorus.plans.extra import scratch_path
 from chorus.plans.registry import _loaded, _pairs, log_of, query
@@ -102,45 +101,7 @@ def q_router_perf(spark, sf):
                        F.size("ranked_models").alias("n_models"), F.get("ranked_models", 0)["model_name"].alias("best_model"))
 
 
-# --- dispatch with a stand-in model (rows-only checks) ----------------------------------------------
-
-def _active_models():
-    return [{"model_id": f"m{i}", "model_name": f"model_{i}", "provider": f"prov_{i % 3}"} for i in range(6)]
-
-
-@query("dispatch_prompts")
-def q_dispatch(spark, sf):
-    """J2 + T-4: every logged question asked of every model through the stand-in generator."""
-    prompts = log_of(spark, sf).select(F.col("seq").alias("question_id"), "query", F.lit(None).cast("string").alias("system_prompt"))
-    tasks = DP.fan_out_tasks(prompts, _active_models())
-    return DP.dispatch_prompts(tasks, DP.standin_generate).select("task_id", "model_id", "content", "error")
-
-
-@query("synthesize")
-def q_synthesize(spark, sf):
-    """T-5 + T-6: questions answered by the stand-in models, debated, judged, ranked, merged or
-    verified, and recorded (raw records)."""
-    log = log_of(spark, sf)
-    prompts = log.select(F.col("seq").alias("question_id"), "query", F.lit(None).cast("string").alias("system_prompt"))
-    tasks = DP.fan_out_tasks(prompts, _active_models())
-    answers = DP.collect_answers(tasks, DP.dispatch_prompts(tasks, DP.standin_generate))
-    qs = log.select(F.col("seq").alias("question_id"), "query", "strategy").join(answers, "question_id")
-    rec = DP.synthesize(qs, DP.standin_generate, {"model_id": "m0", "provider": "prov_0"}, debate=1)
-    return rec.select("seq", "strategy", "confidence", F.size("responses").alias("num_responses"),
-                      F.length("final_answer").alias("answer_chars"))
-
-
-@query("reasoning_trace")
-def q_reasoning_trace(spark, sf):
-    """T-7 + T-8: traces of the stand-in model for every logged question, rolled up."""
-    from chorus.operators import traces as TR
-    log = log_of(spark, sf)
-    steps = DP.reasoning_trace(log.select(F.col("seq").alias("query_id"), "query"), DP.standin_generate,
-                               {"model_id": "m1", "model_name": "model_1", "provider": "prov_1"})
-    return TR.trace_rollup(steps)
-
-
-# --- learned scorers (rows-only checks) ---------------------------------------------------------------
+# --- learned scorers (rows-only checks) ----------------------------------------------
 
 @query("quality_regressor")
 def q_quality_regressor(spark, sf):
@@ -274,15 +235,3 @@ def q_stream_source(spark, sf):
     q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
-
-
-@query("debate_rounds")
-def q_debate_rounds(spark, sf):
-    """T-5: two debate rounds over the logged answers with the stand-in model; answers per
-    question after the debate."""
-    log = log_of(spark, sf)
-    qs = log.select(F.col("seq").alias("question_id"), "query",
-                    F.transform("responses", lambda r: F.struct(*[r[f].alias(f) for f in (
-                        "model_id", "model_name", "provider", "content", "reasoning_trace", "latency_ms", "error")])).alias("responses"))
-    out = DP.debate_rounds(qs, DP.standin_generate, rounds=2)
-    return out.select(F.col("question_id").alias("seq"), F.size("responses").alias("num_responses"))

@@ -48,9 +48,6 @@ SQL["scan_prepared"] = SQL["write_train_val"]
 SQL["read_stats"] = SQL["stats_snapshot"]
 SQL["stream_log_source"] = Q(select="""
 SELECT seq, CAST(entry_id AS VARCHAR) AS id, query, strategy, confidence, num_responses FROM lg""")
-SQL["debate_rounds"] = Q(select="""
-SELECT seq, CAST(CASE WHEN n_ok >= 2 THEN n_ok ELSE num_responses END AS INTEGER) AS num_responses FROM lg""")
-
 from chorus.operators import judge as _JD  # noqa: E402
 from chorus.plans.oracles import _lit  # noqa: E402
 
@@ -87,14 +84,3 @@ SELECT a.seq, a.i AS debater,
  CAST(length(replace(replace(replace({_lit(_JD.DEBATE_TEMPLATE)}, '{{{{MODEL_NAME}}}}', coalesce(a.model_name, '')),
    '{{{{YOUR_RESPONSE}}}}', coalesce(a.content, '')), '{{{{OTHER_RESPONSE}}}}', coalesce(b.content, ''))) AS INTEGER) AS prompt_chars
 FROM ok a JOIN ok b ON b.seq = a.seq AND b.i = (a.i + 1) % a.n WHERE a.n >= 2""")
-
-# The stand-in model's answers depend only on md5(model_id | prompt) (see plans/dispatch.py).
-SQL["dispatch_prompts"] = Q("""mm(model_pos, model_id) AS (VALUES (0, 'm0'), (1, 'm1'), (2, 'm2'), (3, 'm3'), (4, 'm4'), (5, 'm5')),
-dp AS (
- SELECT e.seq * 6 + mm.model_pos AS task_id, mm.model_id, e.query,
-  CAST(('0x' || substr(md5(mm.model_id || '|' || e.query), 1, 8)) AS BIGINT) AS h
- FROM e, mm)""", select="""
-SELECT task_id, model_id,
- CASE WHEN model_id = 'm5' AND h % 23 = 0 THEN '' ELSE '[' || model_id || '] answer ' || CAST(h % 997 AS VARCHAR) || ' to: ' || substr(query, 1, 60) END AS content,
- CASE WHEN model_id = 'm5' AND h % 23 = 0 THEN 'model unavailable' END AS error
-FROM dp""")

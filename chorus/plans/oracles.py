@@ -513,7 +513,7 @@ def _dist(a: str, b: str) -> str:
 COS = f"{_dot('zp', 'zt')} / (greatest({_norm('zp')}, 1e-8) * greatest({_norm('zt')}, 1e-8))"
 SQL["cosine_similarity"] = with_fixture(TRIPLES, select=f"SELECT triple, {COS} AS cosine FROM tri")
 INV = """sq AS (SELECT unnest(list_transform(list_zip(zp, zt), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS v FROM tri)"""
-SQL["invariance_loss"] = with_fixture(TRIPLES, INV, select=f"SELECT {exact_avg('v')} AS invariance FROM sq")
+SQL["invariance_loss"] = with_fixture(TRIPLES, INV, select="SELECT avg(v) AS invariance FROM sq")
 VAR = """dims AS (
  SELECT 'p' AS side, CAST(generate_subscripts(zp, 1) AS INTEGER) AS dim, CAST(unnest(zp) AS DOUBLE) AS v FROM tri
  UNION ALL SELECT 't', CAST(generate_subscripts(zt, 1) AS INTEGER), CAST(unnest(zt) AS DOUBLE) FROM tri),
@@ -536,7 +536,7 @@ CON = f"""pr AS (SELECT triple, {_dist('zp', 'zt')} AS pos_dist, {_dist('zp', 'z
 SQL["contrastive_loss"] = with_fixture(TRIPLES, CON, select=f"SELECT {exact_avg('greatest(0.0, pos_dist - neg_dist + 1.0)')} AS contrastive FROM pr")
 SQL["collapse_report"] = with_fixture(TRIPLES, INV, VAR, COV, CON, """lo AS (
  SELECT (SELECT {inv} FROM sq) AS invariance, (SELECT sum(v) FROM vl) AS variance, (SELECT sum(v) FROM cl) AS covariance,
-  (SELECT {con} FROM pr) AS contrastive)""".format(inv=exact_avg("v"), con=exact_avg("greatest(0.0, pos_dist - neg_dist + 1.0)")),
+  (SELECT {con} FROM pr) AS contrastive)""".format(inv="avg(v)", con=exact_avg("greatest(0.0, pos_dist - neg_dist + 1.0)")),
     select="SELECT invariance, variance, covariance, contrastive, invariance * 25.0 + variance * 25.0 + covariance * 1.0 + contrastive * 10.0 AS total FROM lo")
 SQL["mean_pool"] = with_fixture("""tok AS (
  SELECT label, CAST(CASE WHEN vec_id % 5 <> 0 THEN 1 ELSE 0 END AS DOUBLE) AS m, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,

@@ -33,12 +33,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; we only set our own (a fresh local scratch folder)
-    when nothing is set, which is the case in local tests.
+    when nothing is set and the session is local, as in tests. On a cluster an unset folder is an
+    error: a machine-local one would be invisible to the other machines.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext._jsc.getCheckpointDir()
         current = current.get() if current.isPresent() else None
+    if not current and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if not current:
         current = tempfile.mkdtemp(prefix="chorus-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)

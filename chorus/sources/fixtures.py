@@ -32,15 +32,26 @@ TEMPLATES = [
     "Outline step by step a plan to move house this coming week? What do we pack first, and what do we pack last of all?",
 ]
 N_TEMPLATES = len(TEMPLATES)
-DOC_KEYS = 200
 CREATIVE_TID = 5
+TURNS = 8          # turns that an entry may take its question from; other turns than the user's leave the bare template
 
 
-def _doc_texts(spark: SparkSession, sf_dir: str, chars: int, name: str) -> DataFrame:
-    """Document prefixes for doc_id 0..199: at most 200 short rows, so broadcasting is bounded."""
+def _doc_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Whole texts of all documents by doc_id."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.filter((F.col("doc_id") >= 0) & (F.col("doc_id") < DOC_KEYS))
-    return F.broadcast(docs.select(F.col("doc_id").alias(f"{name}_doc"), F.substring("text", 1, chars).alias(name)))
+    return docs.select(F.col("doc_id").alias(f"{name}_doc"), F.col("text").alias(name))
+
+
+def _keys(spark: SparkSession, sf_dir: str, table: str, key: str):
+    """Number of keys 0..max of a table, as a scalar subquery inside the plan."""
+    return read_table(spark, sf_dir, table).agg(F.max(key) + 1).scalar()
+
+
+def _user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the user turns by (conv_id, turn), line breaks as blanks."""
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.groupBy(F.col("conv_id").alias("u_conv"), F.col("turn").alias("u_turn")).agg(
+        F.min(F.translate("text", "\r\n", "  ")).alias("u_text"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +64,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = o.select(
         k.alias("entry_id"),
         tid.alias("tid"),
-        F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), tid + 1).alias("query"),
+        F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), tid + 1).alias("ask"),
         F.when(prio == "1", "best_of_n").when(prio == "2", "weighted_merge")
         .when(prio == "3", "debate").when(prio == "4", "chain_of_verification").alias("strategy"),
         (conf_num.cast("double") / F.lit(1000.0)).alias("confidence"),
@@ -61,14 +72,18 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 4).cast("int").alias("n_consensus"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         (F.col("o_totalprice") / F.lit(100.0)).alias("judge_ms"),
-        (k % DOC_KEYS).alias("_doc"),
+        (k % _keys(spark, sf_dir, "documents", "doc_id")).alias("_doc"),
+        (k % _keys(spark, sf_dir, "conversations", "conv_id")).alias("_conv"),
+        (F.floor(k / _keys(spark, sf_dir, "conversations", "conv_id")) % TURNS).alias("_turn"),
     )
-    e = e.join(_doc_texts(spark, sf_dir, 600, "doc600"), F.col("_doc") == F.col("doc600_doc"), "left")
+    e = e.join(_user_turns(spark, sf_dir), (F.col("_conv") == F.col("u_conv")) & (F.col("_turn") == F.col("u_turn")), "left")
+    e = e.withColumn("query", F.concat_ws(" ", "u_text", "ask")).drop("ask", "_conv", "_turn", "u_conv", "u_turn", "u_text")
+    e = e.join(_doc_texts(spark, sf_dir, "doc_text"), F.col("_doc") == F.col("doc_text_doc"), "left")
     k = F.col("entry_id")
     return e.select(
         "*",
-        F.when(k % 11 == 0, "").when(k % 11 == 1, "Too short.").otherwise(F.col("doc600")).alias("final_answer"),
-    ).drop("_doc", "doc600_doc", "doc600")
+        F.when(k % 11 == 0, "").when(k % 11 == 1, "Too short.").otherwise(F.col("doc_text")).alias("final_answer"),
+    ).drop("_doc", "doc_text_doc", "doc_text")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +113,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") / F.lit(10.0)).alias("latency_ms"),
         err.alias("error"),
         *[dim(v).alias(n) for n, v in raw.items()],
-        (F.col("l_partkey") % DOC_KEYS).alias("_doc"),
+        (F.col("l_partkey") % _keys(spark, sf_dir, "documents", "doc_id")).alias("_doc"),
     )
-    r = r.join(_doc_texts(spark, sf_dir, 400, "doc400"), F.col("_doc") == F.col("doc400_doc"), "left")
-    return r.withColumn("content", F.when(F.col("error").isNotNull(), F.lit("")).otherwise(F.col("doc400"))).drop(
-        "_doc", "doc400_doc", "doc400")
+    r = r.join(_doc_texts(spark, sf_dir, "doc_text"), F.col("_doc") == F.col("doc_text_doc"), "left")
+    return r.withColumn("content", F.when(F.col("error").isNotNull(), F.lit("")).otherwise(F.col("doc_text"))).drop(
+        "_doc", "doc_text_doc", "doc_text")
 
 
 def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
