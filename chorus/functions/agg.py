@@ -18,11 +18,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def exact_sum(x) -> Column:
-    """Sum of doubles through exact decimals, as a double."""
-    return F.sum(_c(x).cast(DEC)).cast("double")
-
-
 def exact_avg(x) -> Column:
     """Mean of the non-null values, order-independent."""
     return F.sum(_c(x).cast(DEC)).cast("double") / F.count(_c(x))

@@ -256,9 +256,3 @@ def parse_verification(text) -> Column:
 def needs_refinement(verification_confidence, issues) -> Column:
     """refine unless verification > 0.85 and no issues were found."""
     return ~((_c(verification_confidence) > R.REFINE_CONFIDENCE_ABOVE) & (F.coalesce(F.size(_c(issues)), F.lit(0)) == 0))
-
-
-def python_regex_ok(pattern: str) -> bool:
-    """Sanity helper for tests: pattern compiles in Python too."""
-    re.compile(pattern)
-    return True

@@ -109,7 +109,7 @@ def fan_out(prompts: DataFrame, models: list[dict]) -> DataFrame:
 def catalog_lookup(responses: DataFrame, catalog: DataFrame) -> DataFrame:
     """The catalog row of each answer's model id (left, first match by config order)."""
     first = catalog.groupBy("model_id").agg(F.min(F.struct("config_order", "provider", "role")).alias("_c"))
-    return responses.join(F.broadcast(first), "model_id", "left").select(
+    return responses.join(first, "model_id", "left").select(
         *responses.columns, F.col("_c.provider").alias("catalog_provider"), F.col("_c.role").alias("catalog_role"))
 
 

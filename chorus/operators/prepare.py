@@ -50,7 +50,6 @@ def to_sharegpt(pairs: DataFrame) -> DataFrame:
     ).alias("conversations"))
 
 
-FORMATS = {"chatml": to_chatml, "alpaca": to_alpaca, "sharegpt": to_sharegpt}
 
 
 def shuffle_split(df: DataFrame, key: str = "seq", val_ratio: float = R.VAL_RATIO, seed: int = R.SPLIT_SEED,

@@ -44,7 +44,7 @@ ROWS = [
     ('P18', 'select_judge', 'operators/catalog.select_judge'),
     ('P19', 'request_defaults', 'operators/catalog.request_defaults'),
     ('J1', 'attach_scores', 'operators/scoring.attach_scores'),
-    ('J2', 'fan_out, dispatch_prompts', 'operators/catalog.fan_out, plans/dispatch.fan_out_tasks'),
+    ('J2', 'fan_out', 'operators/catalog.fan_out, plans/dispatch.fan_out_tasks'),
     ('J3', 'catalog_lookup', 'operators/catalog.catalog_lookup'),
     ('J4', 'debate_pairs', 'operators/pairs.debate_pairs'),
     ('J5', 'weak_category_match', 'operators/weakness.adversarial_examples'),
@@ -134,10 +134,10 @@ ROWS = [
     ('T-1', 'stream_log_source', 'streaming/stats.stream_log_source'),
     ('T-2', 'stream_training_pairs', 'streaming/stats.run_training_pairs'),
     ('T-3', 'stream_stats', 'streaming/stats.run_stats'),
-    ('T-4', 'dispatch_prompts', 'plans/dispatch.dispatch_prompts'),
-    ('T-5', 'debate_rounds', 'plans/dispatch.debate_rounds'),
-    ('T-6', 'synthesize', 'plans/dispatch.synthesize'),
-    ('T-7', 'reasoning_trace', 'plans/dispatch.reasoning_trace'),
+    ('T-4', '-', 'plans/dispatch.dispatch_prompts'),
+    ('T-5', '-', 'plans/dispatch.debate_rounds'),
+    ('T-6', '-', 'plans/dispatch.synthesize'),
+    ('T-7', '-', 'plans/dispatch.reasoning_trace'),
     ('T-8', 'trace_rollup', 'operators/traces.trace_rollup')
 ]
 
