@@ -99,26 +99,29 @@ def training_readiness(log: DataFrame) -> DataFrame:
 
 def stats_snapshot(log: DataFrame) -> DataFrame:
     """A6-A10 in one row, maps included (the stats file's shape, without internal totals).
-    The three count maps are bounded by the number of strategies and models; they are unioned
-    and folded into one row by a single global aggregate (no joins)."""
-    base = training_stats(log).select(
-        F.lit("base").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("n"),
-        F.struct("total_queries", "total_responses", "training_pairs", "avg_confidence").alias("base"))
-    none = F.lit(None).cast(base.schema["base"].dataType)
-    parts = [
-        strategy_counts(log).select(F.lit("strategy").alias("kind"), F.col("strategy").alias("key"), "n", none.alias("base")),
-        model_counts(log).select(F.lit("model").alias("kind"), F.col("model_name").alias("key"), "n", none.alias("base")),
-        model_wins(log).select(F.lit("win").alias("kind"), F.col("model_name").alias("key"), F.col("wins").alias("n"), none.alias("base")),
-    ]
-    u = base
-    for p_ in parts:
-        u = u.unionByName(p_)
-    pick = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n"))))
-    one = u.agg(F.max("base").alias("b"), pick("strategy").alias("strategy_counts"),
-                pick("model").alias("model_counts"), pick("win").alias("model_wins"))
-    tier, pct = readiness(F.col("b.training_pairs"))
-    return one.select("b.*", "strategy_counts", "model_counts", "model_wins",
-                      tier.alias("training_readiness"), pct.alias("training_readiness_pct"))
+
+    One scan: answers are counted by (strategy, model), a question counting on its first answer's row
+    only; the totals and the three maps are grouping sets of that small table."""
+    slim = log.select(F.coalesce("strategy", F.lit(R.DEFAULT_STRATEGY)).alias("strategy"), pair_eligible().alias("pair"),
+                      F.coalesce("confidence", F.lit(0.0)).cast(AG.DEC).alias("conf"),
+                      F.posexplode_outer(response_fields("model_name", "rank")).alias("pos", "r"))
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    model = F.when(F.col("pos").isNotNull(), F.coalesce(F.col("r.model_name"), F.lit("unknown")))
+    t = slim.groupBy("strategy", model.alias("model_name")).agg(
+        F.count_if(first).alias("q"), F.count_if(first & F.col("pair")).alias("pairs"),
+        F.sum(F.when(first, F.col("conf"))).alias("conf"), F.count("pos").alias("n"), F.count_if(F.col("r.rank") == 1).alias("wins"))
+    g = t.groupingSets([["strategy"], ["model_name"], []], "strategy", "model_name").agg(
+        F.grouping_id().alias("gid"), *[F.sum(c).alias(c) for c in ("q", "pairs", "conf", "n", "wins")])
+    of = lambda c: F.max(F.when(F.col("gid") == 3, F.col(c)))
+    entries = lambda when, key, n: F.map_from_entries(F.collect_list(F.when(when, F.struct(F.col(key).alias("key"), F.col(n).alias("n")))))
+    by_model = (F.col("gid") == 2) & F.col("model_name").isNotNull()
+    one = g.agg(
+        F.coalesce(of("q"), F.lit(0)).alias("total_queries"), F.coalesce(of("n"), F.lit(0)).alias("total_responses"),
+        F.coalesce(of("pairs"), F.lit(0)).alias("training_pairs"), (of("conf").cast("double") / of("q")).alias("avg_confidence"),
+        entries(F.col("gid") == 1, "strategy", "q").alias("strategy_counts"), entries(by_model, "model_name", "n").alias("model_counts"),
+        entries(by_model & (F.col("wins") > 0), "model_name", "wins").alias("model_wins"))
+    tier, pct = readiness(F.col("training_pairs"))
+    return one.select("*", tier.alias("training_readiness"), pct.alias("training_readiness_pct"))
 
 
 def export_chat_log(pairs: DataFrame) -> DataFrame:
