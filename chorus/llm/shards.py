@@ -16,14 +16,16 @@ slot; very long texts are measured whole; extra columns travel along and names t
 new ones get a trailing underscore on the new column.
 
 Scale: partitions and the sub-ranges in which slots are counted grow in number with the rows
-(``per_partition``), so no task holds a shard. The driver holds only the matrix and the counts, with
-one row of ``n_shards`` numbers for about ``per_partition`` rows of data. All draws come from ``seed`` and the row
-counts, and rows are placed by their hashes, so a lost executor's tasks give the same rows again.
+(``per_partition``), so no task holds a shard. The matrix is drawn in two levels: the driver holds ``FAN`` rows
+of it whatever the size of the data, a task per group of partitions draws the rest. The cut positions are broadcast
+only below 2^20 numbers, else joined by a shuffle. All draws come from ``seed`` and the row counts, and rows are
+placed by their hashes, so a lost executor's tasks give the same rows again.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,19 @@ from chorus.llm.textarrays import fresh, quoted
 
 SHARDS = 24
 PER_PARTITION = 20_000
+FAN = 256                           # groups of partitions; the driver draws one row of the matrix for each
 SEED = 20_260
 
 
-def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """Rows from each partition to each shard, as a uniform shuffle would send them."""
-    total = sum(counts)
-    room = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
+def communication_matrix(counts: list[int], room: list[int], seed: int | list[int]) -> np.ndarray:
+    """Rows from each source to each target, as a uniform shuffle would send them: ``counts`` rows come
+    from the sources, ``room`` rows fit into the targets, both with the same sum."""
+    room = np.array(room, np.int64)
     draw = np.random.default_rng(seed)
-    out = np.zeros((len(counts), shards), np.int64)
+    out = np.zeros((len(counts), len(room)), np.int64)
     for p, n in enumerate(counts):
         left = n
-        for s in range(shards):          # one hypergeometric draw per cell, by conditioning
+        for s in range(len(room)):       # one hypergeometric draw per cell, by conditioning
             rest = int(room[s + 1 :].sum())
             out[p, s] = _hypergeometric(draw, int(room[s]), rest, left) if left else 0
             left -= int(out[p, s])
@@ -60,31 +63,51 @@ def _hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> i
     return int(min(max(round(draw.normal(n * share, spread)), n - bad, 0), good, n))
 
 
-def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partition: int = PER_PARTITION) -> DataFrame:
+def cut_positions(counts: DataFrame, shards: int, seed: int, fan: int = FAN) -> DataFrame:
+    """(part, ends): the last local position of each shard's piece in every partition.
+
+    ``counts`` has (part, n). The matrix is drawn in two levels: the driver draws how many rows of each
+    group of partitions go to each shard, a task per group then splits its rows among its partitions.
+    Drawing a group first and its members given the group is the same law as drawing all at once."""
+    grouped = counts.withColumn("team", F.pmod(F.xxhash64("part", F.lit(seed)), F.lit(fan)).cast("int"))
+    teams = sorted((r.team, r.n) for r in grouped.groupBy("team").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in teams)
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    matrix = communication_matrix([n for _, n in teams], room, seed)
+    given = {team: row for (team, _), row in zip(teams, matrix.tolist(), strict=True)}
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        team = int(pdf["team"].iloc[0])
+        cells = communication_matrix(pdf["n"].tolist(), given[team], [seed, team + 1])
+        return pd.DataFrame({"part": pdf["part"], "ends": np.cumsum(cells, axis=1).tolist()})
+
+    return grouped.groupBy("team").applyInPandas(split, "part int, ends array<bigint>")
+
+
+def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partition: int = PER_PARTITION, fan: int = FAN) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within a shard)."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    spark = df.sparkSession
     part, first, second, shard, slot = (fresh(df, n) for n in ("part", "first_order", "second_order", "shard", "slot"))
     plain = [F.to_json(F.struct(quoted(c))) if t.startswith(("map", "variant")) else F.col(quoted(c)) for c, t in df.dtypes]
-    parts = max(1, -(-df.count() // per_partition))
+    total = df.count()
+    parts = max(1, -(-total // per_partition))
     dealt = df.withColumn(part, F.pmod(F.xxhash64(*plain, F.lit(seed)), F.lit(parts)).cast("int"))
-    held = dict(dealt.groupBy(part).count().collect())
-    counts = [held.get(p, 0) for p in range(parts)]
-    matrix = communication_matrix(counts, shards, seed)
-    ends = np.cumsum(matrix, axis=1)
+    counts = stored(dealt.groupBy(F.col(quoted(part)).alias("part")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    ends = fresh(df, "ends")
+    table = stored(cut_positions(counts, shards, seed, fan), "cuts").select(F.col("part").alias(part), F.col("ends").alias(ends))
 
-    # the cut positions of each partition as a small table: (partition, last positions of its pieces)
-    table = spark.createDataFrame([(p, row) for p, row in enumerate(ends.tolist())], f"{quoted(part)} int, ends array<bigint>")
+    # the cut positions of each partition join its rows; small by measured size, they are broadcast
     local = Window.partitionBy(part).orderBy(F.xxhash64(*plain, F.lit(seed + 1)), F.xxhash64(*plain, F.lit(seed + 2)))
     place = dealt.withColumn(first, F.row_number().over(local))
-    sent = place.join(F.broadcast(table) if len(counts) * shards < 1 << 20 else table, part)
-    sent = sent.withColumn(shard, F.size(F.filter("ends", lambda e: e < F.col(first))))
+    sent = place.join(F.broadcast(table) if parts * shards < 1 << 20 else table, part)
+    sent = sent.withColumn(shard, F.size(F.filter(ends, lambda e: e < F.col(first))))
 
     # slots: order within a shard by ranges of the second hash; the counts of the ranges need no text
-    ranges = max(1, -(-(sum(counts) // shards) // per_partition))
+    ranges = max(1, -(-(total // shards) // per_partition))
     sent = sent.withColumn(second, F.xxhash64(*plain, F.col(part), F.col(first), F.lit(seed + 3)))
-    sent = sent.withColumn(part, F.shiftright(F.shiftrightunsigned(F.col(second), 32) * ranges, 32).cast("int")).drop("ends")
+    sent = sent.withColumn(part, F.shiftright(F.shiftrightunsigned(F.col(second), 32) * ranges, 32).cast("int")).drop(ends)
     if ranges == 1:
         order = Window.partitionBy(shard).orderBy(second, first)
         return sent.withColumn(slot, F.row_number().over(order).cast("long") - 1).select(*df.columns, shard, slot)
