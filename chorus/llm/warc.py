@@ -17,8 +17,9 @@ responses; rows that repeat page_id and payload are each written as that page's
 gives no archive records and an empty result; other columns of the pages are not archived.
 
 Scale: digests are compared, never payloads; only digests that occur twice are joined back, and the
-rows of a digest are counted with partial sums, so a hot payload is no single task's work. Files
-hold at most ``PER_FILE`` records. Index blocks are sorted by ranges of keys with equal keys split by
+rows of a digest are counted with partial sums, so a hot payload is no single task's work. The number
+of records in a file follows their size (``FILES``), so that a file, which one task parses whole, stays below
+about 130 MB, or holds one larger record. Index blocks are sorted by ranges of keys with equal keys split by
 page, and the directory has one row per ``BLOCK`` captures; it is broadcast to a search only below a
 measured size, otherwise joined by key ranges of its partitions.
 """
@@ -39,7 +40,8 @@ from pyspark.sql import types as T
 from chorus.llm.shared import folder, stored
 
 LEAST = 1000
-PER_FILE = 1000
+# bytes of URL and payload up to which a record goes into files of so many records
+FILES = ((64 << 10, 2000), (2 << 20, 64), (None, 1))
 BLOCK = 2000
 DIRECTORY_BYTES = 64 << 20
 FEW = 200                           # up to so many blocks are named in the scan's filter
@@ -84,11 +86,24 @@ def record(page_id: Column, url: Column, html: Column, digest: Column, refers_to
         F.lit(eol + eol), body, F.lit("\r\n\r"))
 
 
-def write_archives(pages: DataFrame, path: str | None = None) -> str:
-    """Write the pages as WARC files; returns the folder."""
+def write_archives(pages: DataFrame, path: str | None = None, files: tuple[tuple[int | None, int], ...] = FILES) -> str:
+    """Write the pages as WARC files; returns the folder. Records of each size class of ``files`` are
+    written by a job of their own, so one long page does not cut all files short; classes above the longest
+    page are skipped."""
     path = path or folder(pages.sparkSession, "warc")
-    rows = with_roles(pages).select(record(*[F.col(c) for c in ("page_id", "url", "html", "digest", "refers_to")]).alias("value"))
-    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    rows = with_roles(pages)
+    size = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0))
+    longest = pages.agg(F.max(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0] or 0
+    low = -1
+    for most, per_file in files:
+        part = rows if low < 0 else rows.where(size > low)
+        if most is not None and longest > most:
+            part = part.where(size <= most)
+        lines = part.select(record(*[F.col(c) for c in ("page_id", "url", "html", "digest", "refers_to")]).alias("value"))
+        lines.write.mode("error" if low < 0 else "append").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+        if most is None or longest <= most:
+            break
+        low = most
     return path
 
 

@@ -187,12 +187,26 @@ def test_rules_match_brute_force(spark):
 def test_matrix_has_exact_margins_and_the_right_mean():
     total = np.zeros((3, 4))
     for seed in range(400):
-        m = shards.communication_matrix([5, 0, 9], 4, seed)
+        m = shards.communication_matrix([5, 0, 9], [4, 4, 3, 3], seed)
         assert m.sum(1).tolist() == [5, 0, 9] and m.sum(0).tolist() == [4, 4, 3, 3]
         total += [m[0], m[1], m[2]]
     assert np.allclose(total[0] / 400, 5 * np.array([4, 4, 3, 3]) / 14, atol=0.15)
 
 
+def test_cut_positions_drawn_in_groups_have_exact_margins(spark):
+    given = [(p, (p * 7) % 11) for p in range(60)]
+    counts = spark.createDataFrame(given, "part int, n long")
+    total, sums = sum(n for _, n in given), []
+    for seed in range(6):
+        ends = {r.part: np.array(r.ends) for r in shards.cut_positions(counts, 5, seed, fan=7).collect()}
+        pieces = np.stack([np.diff(ends[p], prepend=0) for p, _ in given])
+        assert (pieces >= 0).all() and pieces.sum(1).tolist() == [n for _, n in given]
+        assert pieces.sum(0).tolist() == [total // 5 + (s < total % 5) for s in range(5)]
+        sums.append(pieces)
+    assert len({x.tobytes() for x in sums}) == 6
+    assert shards.cut_positions(counts.limit(0), 5, 1).count() == 0
+
+
 @pytest.mark.parametrize("n,per", [(0, 50), (5, 50), (1000, 50), (1000, 20_000)])
 def test_shards_are_exact_and_slots_gapless(spark, n, per):
     rows = [(None if i % 50 == 0 else i // 3, "same" if i % 3 else None, 7) for i in range(n)]
@@ -241,6 +255,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_long_pages_go_into_files_of_their_own(spark, tmp_path):
+    rows = [(i, f"http://a.org/{i}", "x" * (10 * i)) for i in range(40)] + [(100, None, "y" * 5000), (101, None, "y" * 5000), (102, "http://b.org", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, str(tmp_path / "warc"), files=((100, 20), (1000, 4), (None, 1)))
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((p, len(t or "")) for p, _, t in rows) and all(r.sound for r in got)
+    per_file = {}
+    for r in got:
+        per_file.setdefault(r.file, []).append(r.payload_bytes)
+    assert all(len(x) == 1 for x in per_file.values() if max(x) > 1000) and all(len(x) <= 4 for x in per_file.values() if max(x) > 100)
+    assert max(len(x) for x in per_file.values()) > 4
+
+
 def test_index_lookup_and_range_reads(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 7)
     rows = [(i, f"http://h{i % 9}.org/p{i // 4}", f"<p>{i}") for i in range(300)] + [(900, "http://h1.org/p1", "copy")]
