@@ -11,27 +11,34 @@ window; items with equal texts all count, rows that repeat an item_id count once
 documents are judged one by one; very long texts are read whole; extra columns travel along, and new
 columns whose names clash get a trailing underscore from ``scan``.
 
-Scale: documents are read once and never shuffled. Items are taken in blocks of at most
-``block_bytes`` of text (usually one), each block an automaton broadcast of proportional size, and a
-document's hits are united over the blocks inside its task. Before the automaton runs, array
+Scale: documents are never shuffled, and read once per pass. Items are taken in blocks of about
+``block_bytes`` of text (usually one), each block an automaton packed into sorted arrays and broadcast; a
+pass holds at most ``MACHINES`` of them, so what a task holds is bounded whatever the number of items. A
+document's hits are united over the blocks inside its task, and over passes by array expressions on
+the spans; between passes the documents go through the shared folder. Before the automaton runs, array
 operations discard runs of words whose neighbouring pairs occur in no item: no window can lie across
 such a pair, and the longest match at a word inside a run cannot begin before it, so lengths stay exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chorus.llm.shared import stored
 from chorus.llm.textarrays import ALNUM, Words, fresh, map_texts, quoted
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
+MACHINES = 16                       # automata that a task holds at once
 
 
 class Automaton:
@@ -55,6 +62,7 @@ class Automaton:
         lengths = [n for _, n, _ in ends if n]
         self.shortest = min([width, *lengths]) if lengths else 0
         self._name_windows(ends)
+        self._pack(size)
 
     @classmethod
     def of(cls, state: dict) -> Automaton:
@@ -126,6 +134,24 @@ class Automaton:
             if v in short or above:
                 self.short[v] = sorted(above + short.get(v, []))
 
+    def _pack(self, size: int) -> None:
+        """Replace the tables of the construction by flat arrays: transitions as sorted keys
+        ``state * size + word`` with their targets, items of windows as one array with offsets."""
+        key = np.array([v * size + c for v, to in enumerate(self.step) for c in to], np.int64)
+        to = np.array([t for row in self.step for t in row.values()], np.int64)
+        order = np.argsort(key)
+        self.size, self.keys, self.targets = size, array("q", key[order].tobytes()), array("q", to[order].tobytes())
+        self.link, self.length, self.window = array("q", self.link), array("q", self.length), array("q", self.window)
+        states = sorted(self.held)
+        self.held_states = array("q", states)
+        self.held_ends = array("q", np.cumsum([0, *(len(self.held[v]) for v in states)]).tolist())
+        self.held_items = array("q", [k for v in states for k in sorted(self.held[v])])
+        del self.step, self.held
+
+    def _items_of(self, window: int) -> frozenset[int]:
+        at = bisect_left(self.held_states, window)
+        return frozenset(self.held_items[self.held_ends[at] : self.held_ends[at + 1]])
+
     def hits(self, words: Words) -> list[tuple[int, int, frozenset[int]]]:
         """(first word, end word, items) of window occurrences in the texts of a chunk."""
         if not self.shortest or not len(words.starts):
@@ -161,17 +187,19 @@ class Automaton:
         return found
 
     def _read(self, ids: list[int], first: int, found: list) -> None:
-        step, link, length, width = self.step, self.link, self.length, self.width
-        state = matched = 0
+        keys, targets, size, link, length, width = self.keys, self.targets, self.size, self.link, self.length, self.width
+        state, matched, n_keys = 0, 0, len(keys)
         for i, c in enumerate(ids, first + 1):
-            while state and c not in step[state]:
+            at = bisect_left(keys, state * size + c)
+            while state and (at == n_keys or keys[at] != state * size + c):
                 state = link[state]
                 matched = length[state]
-            if c in step[state]:
-                state = step[state][c]
+                at = bisect_left(keys, state * size + c)
+            if at < n_keys and keys[at] == state * size + c:
+                state = targets[at]
                 matched += 1
             if matched >= width:
-                found.append((i - width, i, frozenset(self.held[self.window[state]])))
+                found.append((i - width, i, self._items_of(self.window[state])))
             if state in self.short:
                 whole = [(n, k) for n, k in self.short[state] if n <= matched]
                 for n, k in whole:
@@ -183,8 +211,8 @@ def _item_words(text: str | None) -> np.ndarray:
     return Words(data, np.array([0, len(data)]), ALNUM).hashes
 
 
-def automata(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int = BLOCK_BYTES) -> Iterable[Automaton]:
-    """One automaton per block of items; a block holds at most about ``block_bytes`` of text.
+def automata(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Automaton]:
+    """One automaton per block of items; a block holds about ``block_bytes`` of text.
 
     Blocks are drawn from a hash of the item, so the driver holds one block at a time whatever the
     number of items."""
@@ -197,28 +225,26 @@ def automata(items: DataFrame, item_id: str, text: str, width: int, block_bytes:
         yield Automaton([(name, w) for name, t in held if len(w := _item_words(t))], width)
 
 
-def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-         width: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
-    """Documents with their hits: ``n_words``, ``n_hit``, ``n_items``, ``items`` (names, sorted as
-    strings), ``spans`` (first and end word of each united hit passage) and, with ``cut``, ``clean``:
-    the text without its hit passages (see ``cut_text``)."""
-    keep = docs.columns if keep is None else keep
-    shape = docs.select(*[F.col(quoted(c)) for c in keep])
-    span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
-    fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()),
-              ("items", T.ArrayType(T.StringType())), ("spans", span)] + ([("clean", T.StringType())] if cut else [])
-    fields = [T.StructField(fresh(shape, n), t) for n, t in fields]
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(vars(a)) for a in automata(items, item_id, item_text, width, block_bytes)]
+def passes(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int = BLOCK_BYTES, machines: int = MACHINES) -> list[list[Broadcast]]:
+    """Broadcast automata of all items, at most ``machines`` for each pass over the documents."""
+    sent = [items.sparkSession.sparkContext.broadcast(vars(a)) for a in automata(items, item_id, text, width, block_bytes)]
+    return [sent[k : k + machines] for k in range(0, len(sent), machines)] or [[]]
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
+FOUND = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", SPANS)]
+
+
+def _finder(sent: list[Broadcast]) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
+    """What one pass finds in the texts of a chunk: the columns of ``FOUND``."""
     arrow_span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def work(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
-        machines = [Automaton.of(s.value) for s in sent]
         words = Words(buf, offs, ALNUM)
         n = len(offs) - 1
         delta = np.zeros(len(words.starts) + 1, np.int64)
         names: list[set[str]] = [set() for _ in range(n)]
-        for machine in machines:
+        for machine in (Automaton.of(s.value) for s in sent):
             hits = machine.hits(words)
             texts = np.searchsorted(words.first, [h[0] for h in hits], side="right") - 1
             for (a, b, items_hit), t in zip(hits, texts.tolist(), strict=True):
@@ -233,17 +259,73 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
             own = hit[words.first[t] : words.first[t + 1]]
             edge = np.diff(np.concatenate(([0], own.view(np.int8), [0])))
             spans[t] = [{"first": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-        out = [pa.array(words.counts.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
-               pa.array([sorted(y for y in x if y is not None) for x in names], pa.list_(pa.string())), pa.array(spans, arrow_span)]
-        if cut:
-            texts_out = []
-            for t in range(n):
-                raw = bytes(buf[offs[t] : offs[t + 1]])
-                texts_out.append(cut_text(raw, machines) if n_hit[t] else raw.decode("utf-8", "replace"))
-            out.append(pa.array(texts_out, pa.string()))
-        return out
+        return [pa.array(words.counts.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
+                pa.array([sorted(y for y in x if y is not None) for x in names], pa.list_(pa.string())), pa.array(spans, arrow_span)]
+
+    return work
+
+
+def _united(spans: Column) -> Column:
+    """Overlapping and touching spans as one."""
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (last["end"] >= s["first"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
-    return map_texts(docs, text, fields, work, keep)
+
+def found_in(docs: DataFrame, text: str, sent: list[list[Broadcast]], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """Columns ``keep`` of ``docs`` with those of ``FOUND``, and the names that these got."""
+    shape = docs.select(*[F.col(quoted(c)) for c in keep])
+    names = [fresh(shape, n) for n, _ in FOUND]
+    more = [fresh(shape, f"more_{n}") for n, _ in FOUND]
+    body = fresh(shape, "scanned_text")
+    now = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text)).cast("string").alias(body))
+    for k, machines in enumerate(sent):
+        travels = keep + (names if k else []) + ([body] if k + 1 < len(sent) else [])
+        fields = [T.StructField(n, t) for n, (_, t) in zip(more if k else names, FOUND, strict=True)]
+        now = map_texts(now, body, fields, _finder(machines), travels)
+        if k:
+            _, _, n_items, held, spans = ((F.col(quoted(a)), F.col(quoted(b))) for a, b in zip(names, more, strict=True))
+            nameless = F.greatest(*[n - F.size(i) for n, i in zip(n_items, held, strict=True)])
+            now = now.withColumns({names[3]: F.array_sort(F.array_union(*held)), names[4]: _united(F.concat(*spans)), names[2]: F.size(F.array_union(*held)) + nameless})
+            now = now.withColumn(names[1], F.aggregate(F.col(quoted(names[4])), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])).drop(*more)
+            now = now.withColumn(names[2], F.col(quoted(names[2])).cast("long"))
+        if k + 1 < len(sent):
+            now = stored(now, "pass")
+    return now.select(*[F.col(quoted(c)) for c in keep + names]), names
+
+
+def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+         width: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, machines: int = MACHINES) -> DataFrame:
+    """Documents with their hits: ``n_words``, ``n_hit``, ``n_items``, ``items`` (names, sorted as
+    strings) and ``spans`` (first and end word of each united hit passage)."""
+    sent = passes(items, item_id, item_text, width, block_bytes, machines)
+    return found_in(docs, text, sent, docs.columns if keep is None else keep)[0]
+
+
+def without_passages(docs: DataFrame, text: str, sent: list[list[Broadcast]]) -> DataFrame:
+    """``docs`` with all hit passages cut out of the text (see ``cut_text``); with several passes, the
+    cycle of passes is repeated until no text has a hit, as a cut can make a window of another pass."""
+    clean = fresh(docs, "clean")
+
+    def cutter(machines: list[Broadcast]):
+        def work(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+            held = [Automaton.of(s.value) for s in machines]
+            return [pa.array([cut_text(bytes(buf[a:b]), held) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.string())]
+        return work
+
+    while True:
+        for machines in sent:
+            done = map_texts(docs, text, [T.StructField(clean, T.StringType())], cutter(machines))
+            done = done.select(*[F.col(quoted(clean)).alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
+            docs = done if len(sent) == 1 else stored(done, "cut")
+        if len(sent) == 1:
+            return docs
+        seen, names = found_in(docs.select(F.col(quoted(text)).alias("body")), "body", sent, [])
+        if seen.where(F.col(names[1]) > 0).isEmpty():
+            return docs
 
 
 def cut_text(raw: bytes, machines: list[Automaton]) -> str:
@@ -268,23 +350,22 @@ def cut_text(raw: bytes, machines: list[Automaton]) -> str:
         raw = b"".join([*out, raw[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  width: int = WINDOW, max_words: int = 0, max_coverage: float = 0.0) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW,
+                  max_words: int = 0, max_coverage: float = 0.0, block_bytes: int = BLOCK_BYTES, machines: int = MACHINES) -> DataFrame:
     """Documents without leaked passages, in the columns of ``docs``.
 
     A document stays whole if it has no hit. With hits, it goes if its longest passage has more than
     ``max_words`` words or its hit words are more than ``max_coverage`` of its words (by default any
     hit removes it); otherwise its passages are cut out of the text."""
-    limited = max_words > 0 and max_coverage > 0
-    seen = scan(docs, items, text, item_id, item_text, width, cut=limited)
-    added = seen.columns[len(docs.columns):]
-    n_words, n_hit, spans = (F.col(quoted(added[i])) for i in (0, 1, 4))
-    if not limited:
-        return seen.where(n_hit == 0).drop(*added)
+    sent = passes(items, item_id, item_text, width, block_bytes, machines)
+    seen, names = found_in(docs, text, sent, docs.columns)
+    n_words, n_hit, spans = (F.col(quoted(names[i])) for i in (0, 1, 4))
+    if not (max_words > 0 and max_coverage > 0):
+        return seen.where(n_hit == 0).drop(*names)
     longest = F.array_max(F.transform(spans, lambda s: s["end"] - s["first"]))
-    stays = seen.where((n_hit == 0) | ((longest <= max_words) & (n_hit <= n_words * F.lit(max_coverage))))
-    cleaned = F.when(n_hit > 0, F.col(quoted(added[5]))).otherwise(F.col(quoted(text)))
-    return stays.select(*[cleaned.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
+    stays = stored(seen.where((n_hit == 0) | ((longest <= max_words) & (n_hit <= n_words * F.lit(max_coverage)))).drop(*[n for n in names if n != names[1]]), "stays")
+    whole, leaked = stays.where(n_hit == 0).drop(names[1]), stays.where(n_hit > 0).drop(names[1])
+    return whole.withColumn(text, F.col(quoted(text)).cast("string")).unionByName(without_passages(leaked, text, sent))
 
 
 def digest(names: Column) -> Column:

@@ -414,8 +414,8 @@ def brute_hits(text, items, width):
     return len(words), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("vocab,width,block", [(2, 4, 1 << 20), (4, 3, 1 << 20), (12, 10, 300), (3, 5, 200)])
-def test_automaton_matches_brute_force(spark, vocab, width, block):
+@pytest.mark.parametrize("vocab,width,block,machines", [(2, 4, 1 << 20, 16), (4, 3, 1 << 20, 16), (12, 10, 300, 16), (3, 5, 200, 16), (4, 5, 150, 2)])
+def test_automaton_matches_brute_force(spark, vocab, width, block, machines):
     draw = random.Random(vocab)
     word = [f"w{k}" for k in range(vocab)]
     items = [(str(k), " ".join(draw.choice(word) for _ in range(draw.choice([0, 1, 2, 4, 9, 25])))) for k in range(14)] + [("x", None), ("3", "w0 w1 w0")]
@@ -423,9 +423,11 @@ def test_automaton_matches_brute_force(spark, vocab, width, block):
     texts += [f"A-{items[5][1]}, {items[9][1].upper()}!"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_hit int")
     table = spark.createDataFrame(items, "item_id string, text string")
-    got = {r.doc_id: r for r in decontam.scan(docs, table, width=width, block_bytes=block, keep=["doc_id"]).collect()}
+    got = {r.doc_id: r for r in decontam.scan(docs, table, width=width, block_bytes=block, machines=machines, keep=["doc_id"]).collect()}
     for i, t in enumerate(texts):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == brute_hits(t, items, width), t
+        assert got[i].n_items == len(got[i]["items"]) and got[i].n_hit == sum(s.end - s.first for s in got[i].spans)
+        assert all(a.end < b.first for a, b in itertools.pairwise(got[i].spans))
 
 
 def test_decontamination_removes_cuts_and_keeps(spark):
@@ -439,6 +441,9 @@ def test_decontamination_removes_cuts_and_keeps(spark):
     cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, items, max_words=30, max_coverage=0.5).collect()}
     assert sorted(cut) == [1, 2, 4, 5] and cut[2].split() == clean.split()
     assert brute_hits(cut[4], [("7", item)], 10)[1] == 0 and cut[4].split()[-200:] == clean.split()
+    two = items.unionByName(spark.createDataFrame([(8, item.replace("b", "d")), (9, "d0 d1")], items.schema))
+    both = {r.doc_id: r.text for r in decontam.decontaminate(docs, two, max_words=30, max_coverage=0.5, block_bytes=40, machines=1).collect()}
+    assert {k: (v or "").split() for k, v in both.items()} == {k: (v or "").split() for k, v in cut.items()}
     assert decontam.decontaminate(docs, items.limit(0)).count() == 6 and decontam.decontaminate(docs.limit(0), items).count() == 0
     digest = {r.doc_id: r for r in decontam.contaminated(docs, items).collect()}
     assert digest[3].items_sha256 == hashlib.sha256(b"7").hexdigest() and digest[5].items_sha256 == hashlib.sha256(b"").hexdigest()
