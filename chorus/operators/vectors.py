@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions import rules as R
-from chorus.functions.agg import exact_avg
 
 
 def _c(x) -> Column:
@@ -76,18 +75,17 @@ def invariance_loss(tr: DataFrame) -> DataFrame:
 
 
 def dim_std(tr: DataFrame, col: str) -> DataFrame:
-    """Per-dimension sample std of one side: (dim, std), from exact decimal sums (the same
-    result whatever the partitioning)."""
-    from chorus.functions.agg import exact_std
+    """Per-dimension sample std of one side: (dim, std), 0 for a single row; doubles, so a side near
+    collapse and one with huge values both count."""
     ex = tr.select(F.posexplode(col).alias("dim", "v")).select("dim", F.col("v").cast("double").alias("v"))
-    return ex.groupBy("dim").agg(exact_std("v").alias("std"))
+    return ex.groupBy("dim").agg(F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"))
 
 
 def variance_loss(tr: DataFrame) -> DataFrame:
     """V3: mean over dims of max(0, 1 - std), prediction side plus target side."""
     parts = []
     for side in ("z_pred", "z_target"):
-        parts.append(dim_std(tr, side).agg(exact_avg(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("std"))).alias("v")).withColumn("side", F.lit(side)))
+        parts.append(dim_std(tr, side).agg(F.avg(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("std"))).alias("v")).withColumn("side", F.lit(side)))
     u = parts[0].unionByName(parts[1])
     return u.agg(F.sum("v").alias("variance"))
 
@@ -141,7 +139,7 @@ def covariance_loss(tr: DataFrame) -> DataFrame:
 def contrastive_loss(tr: DataFrame, margin: float = R.CONTRASTIVE_MARGIN) -> DataFrame:
     """V5: mean of max(0, d(pred, target) - d(pred, negative) + margin)."""
     r = per_row(tr)
-    return r.agg(exact_avg(F.greatest(F.lit(0.0), F.col("pos_dist") - F.col("neg_dist") + F.lit(margin))).alias("contrastive"))
+    return r.agg(F.avg(F.greatest(F.lit(0.0), F.col("pos_dist") - F.col("neg_dist") + F.lit(margin))).alias("contrastive"))
 
 
 def _all_parts(batches):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorus.plans.oracles import (LOADED, PAIRS, PERF, ROUTE, SQL, TRIPLES, Q, _dist, _dsum, exact_avg,
+from chorus.plans.oracles import (LOADED, PAIRS, PERF, ROUTE, SQL, TRIPLES, Q, _dist, _dsum,
                                   with_fixture)
 
 SQL["stream_training_pairs"] = SQL["training_pairs"]
@@ -14,7 +14,7 @@ UNION ALL SELECT 'val', n - k, k < 50 FROM k WHERE n - k > 0""")
 SQL["write_reward_set"] = SQL["margin"]
 
 _STATS = f"""st AS (
- SELECT 'total' AS kind, 'queries' AS key, count(*) AS n, CAST(SUM(CAST(coalesce(confidence, 0.0) AS DECIMAL(18,9))) AS DOUBLE) AS conf_sum FROM lg
+ SELECT 'total' AS kind, 'queries' AS key, count(*) AS n, CAST(SUM(CAST(coalesce(confidence, 0.0) AS DECIMAL(38,18))) AS DOUBLE) AS conf_sum FROM lg
  UNION ALL SELECT 'total', 'responses', CAST(sum(num_responses) AS BIGINT), 0.0 FROM lg
  UNION ALL SELECT 'total', 'training_pairs', (SELECT count(*) FROM tp), 0.0
  UNION ALL SELECT 'strategy', coalesce(strategy, 'weighted_merge'), count(*), 0.0 FROM lg GROUP BY 2
@@ -32,13 +32,13 @@ _BATCH = f"""bl AS (
   {_SQ} AS sq, len(zp) AS d, greatest(0.0, {_dist('zp', 'zt')} - {_dist('zp', 'zn')} + 1.0) AS m
  FROM tri, (SELECT unnest(range(0, 3)) AS epoch) ep),
 bg AS (
- SELECT epoch, batch, CAST(SUM(CAST(sq AS DECIMAL(18,9))) AS DOUBLE) / SUM(d) AS invariance,
-  CAST(SUM(CAST(m AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS contrastive
+ SELECT epoch, batch, CAST(SUM(CAST(sq AS DECIMAL(38,18))) AS DOUBLE) / SUM(d) AS invariance,
+  CAST(SUM(CAST(m AS DECIMAL(38,18))) AS DOUBLE) / count(*) AS contrastive
  FROM bl GROUP BY 1, 2),
 bt AS (SELECT *, invariance * 25.0 + contrastive * 10.0 AS total FROM bg),
 em AS (
- SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS n_batches, {exact_avg('invariance')} AS invariance,
-  {exact_avg('contrastive')} AS contrastive, {exact_avg('total')} AS total FROM bt GROUP BY 1)"""
+ SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS n_batches, CAST(sum(CAST(invariance AS DECIMAL(38,18))) AS DOUBLE) / count(invariance) AS invariance,
+  CAST(sum(CAST(contrastive AS DECIMAL(38,18))) AS DOUBLE) / count(contrastive) AS contrastive, CAST(sum(CAST(total AS DECIMAL(38,18))) AS DOUBLE) / count(total) AS total FROM bt GROUP BY 1)"""
 SQL["epoch_means"] = with_fixture(TRIPLES, _BATCH, select="SELECT * FROM em")
 SQL["best_epoch"] = with_fixture(TRIPLES, _BATCH, select="""
 SELECT epoch AS best_epoch, total AS best_loss FROM em ORDER BY total, epoch LIMIT 1""")

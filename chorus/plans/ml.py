@@ -165,19 +165,20 @@ def batch_losses(triples: DataFrame, epochs: int = 3, batches: int = 8) -> DataF
     r = ep.select("epoch", "batch", sq.alias("sq"), F.size("z_pred").alias("d"),
                   F.greatest(F.lit(0.0), VC.pairwise_distance("z_pred", "z_target") - VC.pairwise_distance("z_pred", "z_negative")
                              + F.lit(R.CONTRASTIVE_MARGIN)).alias("m"))
-    from chorus.functions.agg import DEC
+    from chorus.functions.agg import DEC_SQ
     g = r.groupBy("epoch", "batch").agg(
-        (F.sum(F.col("sq").cast(DEC)).cast("double") / F.sum("d")).alias("invariance"),
-        (F.sum(F.col("m").cast(DEC)).cast("double") / F.count(F.lit(1))).alias("contrastive"))
+        (F.sum(F.col("sq").cast(DEC_SQ)).cast("double") / F.sum("d")).alias("invariance"),
+        (F.sum(F.col("m").cast(DEC_SQ)).cast("double") / F.count(F.lit(1))).alias("contrastive"))
     w = dict(R.LOSS_WEIGHTS)
     return g.withColumn("total", F.col("invariance") * w["invariance"] + F.col("contrastive") * w["contrastive"])
 
 
 def epoch_means(losses: DataFrame) -> DataFrame:
     """Mean of each loss over the batches of an epoch (no batches: no row)."""
-    from chorus.functions.agg import exact_avg
+    from chorus.functions.agg import DEC_SQ
+    mean = lambda c: F.sum(F.col(c).cast(DEC_SQ)).cast("double") / F.count(c)
     return losses.groupBy("epoch").agg(F.count(F.lit(1)).alias("n_batches"),
-                                       *[exact_avg(c).alias(c) for c in ("invariance", "contrastive", "total")])
+                                       *[mean(c).alias(c) for c in ("invariance", "contrastive", "total")])
 
 
 def best_epoch(means: DataFrame) -> DataFrame:

@@ -518,7 +518,7 @@ VAR = """dims AS (
  SELECT 'p' AS side, CAST(generate_subscripts(zp, 1) AS INTEGER) AS dim, CAST(unnest(zp) AS DOUBLE) AS v FROM tri
  UNION ALL SELECT 't', CAST(generate_subscripts(zt, 1) AS INTEGER), CAST(unnest(zt) AS DOUBLE) FROM tri),
 vl AS (SELECT side, {avg} AS v FROM (SELECT side, dim, {std} AS s FROM dims GROUP BY 1, 2) t GROUP BY 1)""".format(
-    avg=exact_avg("greatest(0.0, 1.0 - s)"), std=exact_std("v"))
+    avg="avg(greatest(0.0, 1.0 - s))", std="coalesce(stddev_samp(v), 0.0)")
 SQL["variance_loss"] = with_fixture(TRIPLES, VAR, select="SELECT sum(v) AS variance FROM vl")
 COV = """cv AS (
  SELECT a.side, a.dim AS i, b.dim AS j, covar_samp(a.v, b.v) AS c
@@ -533,10 +533,10 @@ COV = """cv AS (
 cl AS (SELECT side, avg(c * c) AS v FROM cv GROUP BY 1)"""
 SQL["covariance_loss"] = with_fixture(TRIPLES, COV, select="SELECT sum(v) AS covariance FROM cl")
 CON = f"""pr AS (SELECT triple, {_dist('zp', 'zt')} AS pos_dist, {_dist('zp', 'zn')} AS neg_dist FROM tri)"""
-SQL["contrastive_loss"] = with_fixture(TRIPLES, CON, select=f"SELECT {exact_avg('greatest(0.0, pos_dist - neg_dist + 1.0)')} AS contrastive FROM pr")
+SQL["contrastive_loss"] = with_fixture(TRIPLES, CON, select="SELECT avg(greatest(0.0, pos_dist - neg_dist + 1.0)) AS contrastive FROM pr")
 SQL["collapse_report"] = with_fixture(TRIPLES, INV, VAR, COV, CON, """lo AS (
  SELECT (SELECT {inv} FROM sq) AS invariance, (SELECT sum(v) FROM vl) AS variance, (SELECT sum(v) FROM cl) AS covariance,
-  (SELECT {con} FROM pr) AS contrastive)""".format(inv="avg(v)", con=exact_avg("greatest(0.0, pos_dist - neg_dist + 1.0)")),
+  (SELECT {con} FROM pr) AS contrastive)""".format(inv="avg(v)", con="avg(greatest(0.0, pos_dist - neg_dist + 1.0))"),
     select="SELECT invariance, variance, covariance, contrastive, invariance * 25.0 + variance * 25.0 + covariance * 1.0 + contrastive * 10.0 AS total FROM lo")
 SQL["mean_pool"] = with_fixture("""tok AS (
  SELECT label, CAST(CASE WHEN vec_id % 5 <> 0 THEN 1 ELSE 0 END AS DOUBLE) AS m, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,

@@ -54,9 +54,21 @@ def test_losses_with_empty_partitions_and_empty_tables(spark):
     assert report.contrastive == pytest.approx(VC.contrastive_loss(tr).first().contrastive, abs=1e-7)
     empty = tr.limit(0)
     assert VC.covariance_loss(empty).first().covariance is None
+    assert VC.contrastive_loss(empty).first().contrastive is None
     assert VC.collapse_report(empty).first().invariance is None
 
 
+def test_losses_of_huge_and_tiny_values(spark):
+    row = lambda k, scale: (k, [scale * (k + 1.0), 0.0], [0.0, 0.0], [0.0, 0.0])
+    schema = "triple long, z_pred array<float>, z_target array<float>, z_negative array<float>"
+    huge = spark.createDataFrame([row(k, 1e12) for k in range(4)], schema)
+    assert VC.contrastive_loss(huge).first().contrastive == pytest.approx(1.0)
+    assert VC.variance_loss(huge).first().variance == pytest.approx(1.5)
+    tiny = spark.createDataFrame([row(k, 1e-11) for k in range(4)], schema)
+    first = VC.dim_std(tiny, "z_pred").orderBy("dim").first()
+    assert first["std"] == pytest.approx(1e-11 * np.std([1, 2, 3, 4], ddof=1), rel=1e-5)
+
+
 def _fields_read(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return set(re.findall(r"(\w+):", " ".join(re.findall(r"ReadSchema: (struct<.*)", plan))))
