@@ -14,9 +14,9 @@ Two documents are linked if the Jaccard similarity of their sets is at least 0.8
    values, 32 at a time: with a flat prior the similarity given m matches of n is Beta(m + 1,
    n - m + 1), and a pair is dropped once the posterior chance of reaching 0.8 is below 1e-6.
    Every pair that is left is verified exactly on its full sets.
-4. Blocks give back, per representative, the number of linked documents, and of the verified links
-   a spanning forest (fewer edges than members), never a row per pair. A pair that meets under
-   several hubs counts under the smallest only. Components of the forests are the classes.
+4. Blocks give back, per representative, the number of linked documents, and for the members that
+   verified links connect a star around the smallest (fewer edges than members), never a row per pair. A pair that meets under
+   several hubs counts under the smallest only. Components of the stars are the classes.
 
 Defined results: null and empty texts have no set; each such row is a class of its own without
 links, except that rows with equal doc_id share it. Repeated rows are copies of each other. A null
@@ -188,9 +188,10 @@ def dense_overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
-def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the same members as all of (rows, cols), at most n - 1 of them."""
-    root = list(range(n))
+def forest(reps: list[int], rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
+    """Stars that join the same members as all of (rows, cols): each joined member with the smallest
+    ``reps`` among those it is joined to, at most one edge per member."""
+    root = list(range(len(reps)))
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -198,17 +199,17 @@ def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
         x, y = top(i), top(j)
         if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+            if reps[x] > reps[y]:
+                x, y = y, x
+            root[y] = x
+    return [(c, x) for x in range(len(reps)) if (c := top(x)) != x]
 
 
 def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, other): per block and representative the linked documents; forest edges (rep, other).
+    """(rep, links, other): per block and representative the linked documents; star edges (rep, other).
 
     ``members`` has (hub, i, j, right, rep, hubs, weight, shingles). Rows of a block arrive sorted; a
     task holds one block at a time."""
@@ -235,8 +236,8 @@ def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
         every = left if right is None else left + right
         weight = np.array([r[2] for r in every], np.int64)
         count = np.bincount(a, weight[b + shift], len(every)) + np.bincount(b + shift, weight[a], len(every))
-        edges = forest(len(every), a, b + shift)
         reps = [r[0] for r in every]
+        edges = forest(reps, a, b + shift)
         some = np.flatnonzero(count)
         return pa.RecordBatch.from_arrays(
             [pa.array([reps[x] for x in some.tolist()] + [reps[x] for x, _ in edges], pa.int64()),
