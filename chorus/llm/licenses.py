@@ -6,6 +6,13 @@ template has enter the length of the vector with the largest weight. Document fr
 passages of all files. A passage whose best cosine reaches ``LEAST`` carries that template's licence;
 a file's own licence is that of its best passage.
 
+Templates are short notices, the usual headers of several lines and whole licence texts. Since notices wrap and
+stand among other words, every text is also read in windows: for each template of n words, runs of n words (fewer
+at the end of the text) across line breaks, without comment marks, beginning at every ``n // STEPS`` words. A window counts
+only where its cosine with its template reaches ``LEAST``. Among the passages and windows that reach it, a template of
+twice the words goes before a cosine that is higher by less than ``DOUBLE``, so a whole licence text goes before the
+sentence it shares with another licence.
+
 A directory's licence is that of its licence file (the best scored, then the first by name). A file
 without a licence of its own takes that of the nearest directory above it, found by joining the
 ancestors of each distinct directory with the licensed directories.
@@ -14,13 +21,16 @@ Defined results: null and empty texts have no passage; a null path lies in no di
 inherit from the root; ties go to the first template; equal files are scored alike and repeated rows
 stay repeated; an empty table gives an empty result; very long texts are read whole.
 
-Scale: two passes over the texts (frequencies, scores), both without moving text; what is shuffled are
+Scale: two passes over the texts (frequencies, scores), both without moving text; windows cost a few running sums per
+template, and counts only where those sums allow a cosine of ``LEAST``; what is shuffled are
 per-task sums over the fixed vocabulary, distinct directories and one narrow row per file. Hot directories
 are one row on the joined side.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,8 +41,22 @@ from chorus.llm.shared import stored
 from chorus.llm.textarrays import ALNUM, Words, chunks_of, map_texts
 
 LEAST = 0.75
+STEPS = 16                          # windows begin at so many places per length of their template
+DOUBLE = 0.02
+SLICE = 1 << 18                     # words of windows that are counted at a time
+
+_GNU = ("{0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the "
+        "Free Software Foundation; either version {2} of the License, or (at your option) any later version. {0} is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU {1} General Public License for more details.")
+_TITLE = "GNU {0} GENERAL PUBLIC LICENSE Version {1} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
 
-# Usual short notices of well-known licences.
+def _full(name: str) -> str:
+    return pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode("utf-8")
+
+
+# Usual short notices and headers of well-known licences, then whole licence texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -47,6 +71,26 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
+    *[(name, _GNU.format(work, kind, version)) for work in ("This program", "This library")
+      for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))],
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"),
+    ("GPL-2.0", _TITLE.format("", "2, June 1991")),
+    ("GPL-3.0", _TITLE.format("", "3, 29 June 2007")),
+    ("LGPL-2.1", _TITLE.format("LESSER", "2.1, February 1999")),
+    ("LGPL-3.0", _TITLE.format("LESSER", "3, 29 June 2007")),
+    ("AGPL-3.0", _TITLE.format("AFFERO", "3, 19 November 2007")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *[(name, _full(name)) for name in ("0BSD", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")],
 ]
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$"
 
@@ -79,6 +123,44 @@ def passages(buf: np.ndarray, offs: np.ndarray, whole: np.ndarray, terms: np.nda
     return term, unit, text[first]
 
 
+def window_hits(term: np.ndarray, first: np.ndarray, weight: np.ndarray, rare: float, matrix: np.ndarray, lengths: list[int], least: float):
+    """(text, template, cosine) of the windows that reach ``least``; ``term`` has the term of each word or -1,
+    text t has the words ``first[t]`` to ``first[t + 1]``.
+
+    The products of all windows with a template are differences of one running sum. Counted one by one, words
+    give a vector no longer than its true one, so the same sums bound the cosine from above and only windows
+    that may reach ``least`` are counted."""
+    size, found = len(weight), []
+    held = np.where(term >= 0, term, 0)
+    unknown = np.concatenate(([0], np.cumsum(term < 0)))
+    square = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, weight[held] ** 2, rare**2))))
+    grids = {}
+    for k, n in enumerate(lengths):
+        if n not in grids:
+            step = max(1, n // STEPS)
+            per = -(-np.diff(first) // step)
+            text = np.repeat(np.arange(len(per)), per)
+            start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * step
+            end = np.minimum(start + n, first[text + 1])
+            grids[n] = text, start, end, np.sqrt(square[end] - square[start]) + 1e-12
+        text, start, end, length = grids[n]
+        run = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, (weight * matrix[:, k])[held], 0.0))))
+        product = run[end] - run[start]
+        maybe = np.flatnonzero(product >= (least - 1e-6) * length)
+        some = max(1, SLICE // n)
+        for at in range(0, len(maybe), some):
+            pick = maybe[at : at + some]
+            sizes = end[pick] - start[pick]
+            owner = np.repeat(np.arange(len(pick)), sizes)
+            word = term[np.repeat(start[pick] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            pair, count = np.unique(owner[word >= 0] * size + word[word >= 0], return_counts=True)
+            exact = np.bincount(pair // size, (count * weight[pair % size]) ** 2, len(pick)) + (unknown[end[pick]] - unknown[start[pick]]) * rare**2
+            cosine = product[pick] / np.sqrt(exact)
+            hit = cosine >= least
+            found.append((text[pick[hit]], np.full(hit.sum(), k), cosine[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 def frequencies(files: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """(passages, passages with each term) over all texts; tasks send one row per term."""
     size = len(terms)
@@ -112,6 +194,9 @@ def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     ids = [np.searchsorted(terms, _words(t)) for _, t in templates]
     matrix = np.stack([np.bincount(i, minlength=len(terms)) * weight for i in ids], 1)
     matrix = matrix / np.linalg.norm(matrix, axis=0)
+    lengths = [len(i) for i in ids]
+    worth = DOUBLE * np.log2(lengths)
+    marks = np.unique(_words("dnl rem"))
     names = [n for n, _ in templates]
     keep = [c for c in named.columns if c not in ("text", "whole")]
     # the flag travels as the first byte of the text, so that a chunk has both
@@ -131,10 +216,21 @@ def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
             of, t = pair // len(terms), pair % len(terms)
             value = count * weight[t]
             square = np.bincount(of, value**2, len(owner)) + np.bincount(unit[~known], minlength=len(owner)) * rare**2
-            cosine = np.stack([np.bincount(of, value * matrix[t, k], len(owner)) for k in range(matrix.shape[1])], 1) / np.sqrt(np.maximum(square, 1e-30))[:, None]
-            top = cosine.argmax(1)
-            high = np.round(cosine[np.arange(len(owner)), top], 9)
-            order = np.lexsort((top, -high, owner))
+            cosine = np.zeros((len(owner), matrix.shape[1]))
+            head = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(of):
+                cosine[of[head]] = np.add.reduceat(value[:, None] * matrix[t], head, axis=0)
+            cosine /= np.sqrt(np.maximum(square, 1e-30))[:, None]
+            top = np.where(cosine >= least, cosine + worth, cosine - 1).round(9).argmax(1)
+            high = cosine[np.arange(len(owner)), top]
+            words = Words(body, offs, ALNUM)
+            line = np.concatenate(([0], np.cumsum(body == 10)))[words.starts] + words.text_of_word()
+            code = ~(np.isin(words.hashes, marks) & (np.diff(line, prepend=-1) > 0))
+            first = np.concatenate(([0], np.cumsum(code)))[words.first]
+            w_text, w_top, w_high = window_hits(term[: len(code)][code], first, weight, rare, matrix, lengths, least)
+            owner, top, high = np.concatenate((owner, w_text)), np.concatenate((top, w_top)), np.round(np.concatenate((high, w_high)), 9)
+            rank = np.where(high >= least, high + worth[top], high - 1).round(9)
+            order = np.lexsort((top, -rank, owner))
             head = order[np.unique(owner[order], return_index=True)[1]]
             best[owner[head]], place[owner[head]] = high[head], top[head]
         hit = best >= least

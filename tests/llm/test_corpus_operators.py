@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -362,6 +363,25 @@ def test_licence_cosine_matches_direct_computation(spark):
         assert got[f"f{i}"] == pytest.approx(best.get(i, 0), abs=1e-6)
 
 
+def test_licences_of_wrapped_headers_and_whole_texts(spark):
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+           "Foundation, either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY "
+           "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.")
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    code, more = "#!/bin/sh\nCopyright (c) 2001 Jane Doe\n\n", "\n\n" + "\n".join(random_texts(60))
+    files = [("a/x.py", code + wrap(gpl.format(3), "# ") + more, "GPL-3.0"), ("a/y.c", code + wrap(gpl.format(2), " * ") + more, "GPL-2.0"), ("a/z.m4", code + wrap(gpl.format(2), "dnl ") + more, "GPL-2.0"),
+             ("a/l.c", code + wrap(gpl.format(3).replace("General", "Lesser General"), "// ") + more, "LGPL-3.0"), ("a/f.c", code + wrap(gpl.format(3).replace("General", "Affero General"), "// ") + more, "AGPL-3.0"),
+             ("a/b.c", code + wrap(bsd, " * ") + more, "BSD-3-Clause"), ("a/plain.c", more, None),
+             ("a/long.md", "word " * 50 + "Released under the MIT License " + "other " * 50, "MIT"),
+             *[(f"{n}/LICENSE", "Title of the project\nCopyright (c) 2001 Jane Doe\n\n" + licenses._full(n), n)
+               for n in ("0BSD", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")]]
+    inner = [(f"{f[0].split('/')[0]}/src/x.c", "int main", f[2]) for f in files if f[0].endswith("LICENSE")]
+    df = spark.createDataFrame([f[:2] for f in files + inner], "path string, text string")
+    got = {r.path: r.license for r in licenses.scan(df).collect()}
+    assert got == {p: n for p, _, n in files + inner}
+
+
 # 8 quality -------------------------------------------------------------------------------------
 
 
