@@ -1,6 +1,6 @@
 """Operator 4, sharding: a uniform shuffle into shards of exact sizes.
 
-Rows are dealt into partitions by a hash of the row. For the counts of rows in each partition, the
+Rows are dealt into partitions by a hash of the row and of its number among identical rows. For the counts of rows in each partition, the
 communication matrix (how many rows of partition p go to shard s) is drawn from the multivariate
 hypergeometric law that a uniformly random shuffle has. Each partition orders its rows by a seeded
 hash (the local permutation) and cuts them by its row of the matrix; the pieces are exchanged; every
@@ -8,7 +8,8 @@ shard orders what it got by a second seeded hash, which fixes the slots. Shard s
 differ by at most one.
 
 The law is ``rows``: sizes in rows at most one apart. Equal texts are separate rows and are spread
-like any others, so a large group of copies cannot fill a shard.
+like any others, so a large group of copies cannot fill a shard. Identical rows are numbered in runs of at most
+2^``RUN_BITS`` rows, whose sizes are summed up, so no task holds all copies of a row; the numbers enter every hash.
 
 Defined results: an empty table gives no rows; fewer rows than shards leave the last shards empty;
 nulls in any column are ordinary values; identical rows are interchangeable, each gets its own
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.llm.shared import folder, stored
@@ -36,6 +37,7 @@ SHARDS = 24
 PER_PARTITION = 20_000
 FAN = 256                           # groups of partitions; the driver draws one row of the matrix for each
 SEED = 20_260
+RUN_BITS = 12                       # identical rows are numbered in runs of at most 2^12 rows
 
 
 def communication_matrix(counts: list[int], room: list[int], seed: int | list[int]) -> np.ndarray:
@@ -85,6 +87,24 @@ def cut_positions(counts: DataFrame, shards: int, seed: int, fan: int = FAN) ->
     return grouped.groupBy("team").applyInPandas(split, "part int, ends array<bigint>")
 
 
+def numbered(df: DataFrame, plain: list[Column], copy: str, seed: int) -> DataFrame:
+    """``df`` with ``copy``: the number of each row among identical ones, from 0. Rows that occur once have 0.
+
+    Rows are stored in hash order within their input partitions, so that a row's copies there are neighbours; they
+    are cut into runs, and a run starts at the number of copies in the runs before it."""
+    mark, spot, run = (fresh(df, n) for n in ("copy_mark", "copy_spot", "copy_run"))
+    marked = df.withColumn(mark, F.xxhash64(*plain, F.lit(seed + 4)))
+    often = stored(marked.groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(mark), "often")
+    if often.isEmpty():
+        return df.withColumn(copy, F.lit(0).cast("long"))
+    held = stored(marked.sortWithinPartitions(mark).withColumn(spot, F.monotonically_increasing_id()).withColumn(run, F.shiftright(spot, RUN_BITS)), "marked")
+    runs = held.select(mark, spot, run).join(often, mark, "left_semi").groupBy(mark, run).agg(F.min(spot).alias("start"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(mark).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    moved = fresh(held, "copy_moved")
+    table = stored(runs.select(mark, run, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("start")).alias(moved)), "runs")
+    return held.join(table, [mark, run], "left").withColumn(copy, F.coalesce(F.col(spot) + F.col(moved), F.lit(0).cast("long"))).select(*[quoted(c) for c in df.columns], copy)
+
+
 def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partition: int = PER_PARTITION, fan: int = FAN) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within a shard)."""
     if shards < 1:
@@ -93,6 +113,9 @@ def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partitio
     plain = [F.to_json(F.struct(quoted(c))) if t.startswith(("map", "variant")) else F.col(quoted(c)) for c, t in df.dtypes]
     total = df.count()
     parts = max(1, -(-total // per_partition))
+    copy, given = fresh(df, "copy_number"), df.columns
+    df = numbered(df, plain, copy, seed)
+    plain = [*plain, F.col(copy)]
     dealt = df.withColumn(part, F.pmod(F.xxhash64(*plain, F.lit(seed)), F.lit(parts)).cast("int"))
     counts = stored(dealt.groupBy(F.col(quoted(part)).alias("part")).agg(F.count(F.lit(1)).alias("n")), "counts")
     ends = fresh(df, "ends")
@@ -110,12 +133,12 @@ def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partitio
     sent = sent.withColumn(part, F.shiftright(F.shiftrightunsigned(F.col(second), 32) * ranges, 32).cast("int")).drop(ends)
     if ranges == 1:
         order = Window.partitionBy(shard).orderBy(second, first)
-        return sent.withColumn(slot, F.row_number().over(order).cast("long") - 1).select(*df.columns, shard, slot)
+        return sent.withColumn(slot, F.row_number().over(order).cast("long") - 1).select(*[quoted(c) for c in given], shard, slot)
     tally = sent.groupBy(shard, part).agg(F.count(F.lit(1)).alias("n"))
     before = tally.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     order = Window.partitionBy(shard, part).orderBy(second, first)
     ranked = sent.withColumn(slot, F.row_number().over(order))
-    return ranked.join(before, [shard, part]).withColumn(slot, F.col(slot) + F.col("before") - 1).select(*df.columns, shard, slot)
+    return ranked.join(before, [shard, part]).withColumn(slot, F.col(slot) + F.col("before") - 1).select(*[quoted(c) for c in given], shard, slot)
 
 
 def manifest(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

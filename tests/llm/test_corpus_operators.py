@@ -225,6 +225,18 @@ def test_shards_are_exact_and_slots_gapless(spark, n, per):
     assert sorted((len(slots.get(s, [])) for s in range(24)), reverse=True) == [n // 24 + (s < n % 24) for s in range(24)]
 
 
+def test_identical_rows_are_spread_over_partitions_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(shards, "RUN_BITS", 4)
+    df = spark.createDataFrame([(1, "same")] * 1200 + [(i, None) for i in range(2, 1000)] * 2, "doc_id long, text string").repartition(7)
+    out = shards.shuffled(df, 24, per_partition=50)
+    per = {r.shard: r.n for r in out.where("doc_id = 1").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    assert len(per) == 24 and max(per.values()) < 90 and sum(per.values()) == 1200
+    pairs = out.where("doc_id > 1").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("apart")).collect()
+    assert all(r.n == 2 for r in pairs) and sum(r.apart == 2 for r in pairs) > 900
+    numbers = shards.numbered(df, [F.col("doc_id"), F.col("text")], "copy", 1).groupBy("doc_id").agg(F.sort_array(F.collect_list("copy")).alias("c")).collect()
+    assert all(r.c == list(range(1200 if r.doc_id == 1 else 2)) for r in numbers)
+
+
 def test_manifest_measures_whole_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, "é" * 1000), (2, "é" * 1000), (3, "")], "doc_id long, text string")
     got = sorted((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in shards.manifest(docs).collect())
