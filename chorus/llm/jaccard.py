@@ -5,7 +5,8 @@ Words are runs of characters other than white space, A-Z lower-cased; a document
 Two documents are linked if the Jaccard similarity of their sets is at least 0.8.
 
 1. Documents with equal sets form one class, found by a digest of the set. Everything after works
-   on one representative per class, so exact copies never meet each other in a join.
+   on one number per class, so exact copies never meet each other in a join, and sets that share a
+   doc_id or have none stay apart.
 2. Candidates: 160 MinHash values in 32 bands of 5. Two sets of similarity 0.8 miss all bands with a
    chance of 3e-6, sets of 0.9 with 4e-13. Per band value only stars are made: each member points
    to the smallest representative, its hub; a pair that shares a band value shares that hub.
@@ -16,12 +17,13 @@ Two documents are linked if the Jaccard similarity of their sets is at least 0.8
    Every pair that is left is verified exactly on its full sets.
 4. Blocks give back, per representative, the number of linked documents, and for the members that
    verified links connect a star around the smallest (fewer edges than members), never a row per pair. A pair that meets under
-   several hubs counts under the smallest only. Components of the stars are the classes.
+   several hubs counts under the smallest only. Components of the stars are the classes; the smallest doc_id of a
+   class is found when they are known.
 
 Defined results: null and empty texts have no set; each such row is a class of its own without
 links, except that rows with equal doc_id share it. Repeated rows are copies of each other. A null
 doc_id takes part with no name of its own: it counts as the largest name when the smallest document of a class
-is chosen. An empty table gives an empty result; very long texts are read whole.
+is chosen, and a class of such rows only has a null name. Rows of equal doc_id and different sets are separate documents. An empty table gives an empty result; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,20 +266,20 @@ def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     return wide.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (smallest doc_id of all documents that links
-    connect), ``copy_id`` (smallest doc_id with an equal set), ``n_copies`` (documents with an equal
-    set, itself included) and ``n_links`` (other documents of similarity at least ``threshold``,
-    copies included)."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_key) of every row, and per distinct set: ``set_key``, ``name`` (its smallest doc_id),
+    ``weight`` (rows with it), ``n_links``, ``root`` (number of its class) and ``class_id`` (smallest doc_id of the class).
+
+    A set's number ``rep`` is unique and stored with it; it says nothing about the doc_ids."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     seen = stored(profiles(docs, width), "profiles")
-    equal = stored(seen.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("bands").alias("bands")), "classes")
-    named = equal.where("rep is not null")
-    star = stored(stars(named.select("rep", "bands")), "stars")
+    equal = seen.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("weight"), F.min("bands").alias("bands"))
+    equal = stored(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    star = stored(stars(equal.select("rep", "bands")), "stars")
     hubs = star.groupBy("rep").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
-    wanted = named.select("rep", "weight", "set_key").join(hubs, "rep")
+    wanted = equal.select("rep", "name", "weight", "set_key").join(hubs, "rep")
 
-    fields = [T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("key", T.BinaryType())]
+    fields = [T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("set_key", T.BinaryType())]
 
     def again(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         sets = sets_of(buf, offs, width)
@@ -286,34 +288,64 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bl
         keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(keys, pa.binary())]
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    read = map_texts(texts, "text", fields, again, ["doc_id"]).withColumnsRenamed({"doc_id": "rep", "key": "set_key"})
-    sets = read.join(wanted, ["rep", "set_key"]).dropDuplicates(["rep"]).drop("set_key")
+    # one row of each wanted set: by its smallest doc_id, or from the rows without one
+    texts = docs.join(wanted.select(F.col("name").alias("doc_id")), "doc_id", "left_semi")
+    if not equal.where("name is null").isEmpty():
+        texts = texts.unionByName(docs.where("doc_id is null"))
+    read = map_texts(texts, "text", fields, again, [])
+    sets = read.where("set_key is not null").dropDuplicates(["set_key"]).join(wanted.drop("name"), "set_key").drop("set_key")
     members = block_rows(star, block).join(sets, "rep")
     found = stored(links_in_blocks(members, threshold), "links")
     counts = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("other is not null").select("rep", "other"), "rep", "other")
-    groups = (equal.select("set_key", "rep", "weight").join(counts, "rep", "left")
-              .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("set_key", "rep", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-                      F.coalesce("component", "rep").alias("class_id")))
-    return (seen.select("doc_id", "set_key").join(groups, "set_key", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"),
+    groups = (equal.select("set_key", "rep", "name", "weight").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+              .select("set_key", "name", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("component"), F.coalesce("component", "rep").alias("root")))
+    groups = stored(groups, "groups")
+    names = groups.where("component is not null").groupBy("component").agg(F.min("name").alias("smallest"))
+    return seen.select("doc_id", "set_key"), groups.join(names, "component", "left").select(
+        "set_key", "name", "weight", "n_links", "root", F.when(F.col("component").isNull(), F.col("name")).otherwise(F.col("smallest")).alias("class_id"))
+
+
+def named(seen: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``join`` from ``classes``."""
+    return (seen.join(groups.withColumn("known", F.lit(True)), "set_key", "left")
+            .select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+                    F.when(F.col("known"), F.col("name")).otherwise(F.col("doc_id")).alias("copy_id"),
                     F.coalesce("weight", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
 
+def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row per document: ``doc_id``, ``class_id`` (smallest doc_id of all documents that links
+    connect), ``copy_id`` (smallest doc_id with an equal set), ``n_copies`` (documents with an equal
+    set, itself included) and ``n_links`` (other documents of similarity at least ``threshold``,
+    copies included)."""
+    return named(*classes(docs, threshold, width, block))
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents in their own columns, one per class: the one whose doc_id names it.
 
-    Rows that repeat a doc_id stay only once among copies (equal sets); rows of equal doc_id and
-    different sets are judged apart; rows without a set or without a doc_id stay."""
-    joined = join(docs, threshold)
-    gone = joined.where("doc_id <> class_id").select("doc_id").distinct()
-    more = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if more.isEmpty():
-        return left
-    rank, text = fresh(docs, "rank"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    order = Window.partitionBy("doc_id", F.xxhash64(text)).orderBy(F.length(text))
-    ranked = left.withColumn(rank, F.row_number().over(order))
-    return ranked.where((F.col(rank) == 1) | F.col("doc_id").isNull()).select(*[F.col(quoted(c)) for c in docs.columns])
+    Rows of equal doc_id and different sets are judged apart: each set belongs to its own class, and of a class one row
+    of the set with the smallest doc_id stays, also where no row has a doc_id. Of rows without a set one per
+    doc_id stays, and all that have no doc_id either."""
+    seen, groups = classes(docs, threshold)
+    shared = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if shared.isEmpty():
+        gone = named(seen, groups).where("doc_id <> class_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key, own = fresh(docs, "set_key"), fresh(docs, "own_id")
+
+    def keys(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        return [pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets_of(buf, offs, SHINGLE)], pa.binary())]
+
+    number = F.col("doc_id").cast("long")
+    keyed = map_texts(docs, "text", [T.StructField(key, T.BinaryType())], keys).withColumn(own, F.when(F.col(key).isNull(), number))
+    text = F.col("text").cast("string")
+    rest = F.to_json(F.struct(*[quoted(c) for c in docs.columns if c != "text"]))
+    order = F.struct(number.isNull(), number, F.length(text), text, rest)
+    kept = (keyed.where(F.col(key).isNotNull() | F.col(own).isNotNull()).groupBy(key, own)
+            .agg(F.min_by(F.struct(*[quoted(c) for c in docs.columns]), order).alias("row")))
+    first = groups.groupBy("root").agg(F.min_by("set_key", F.struct(F.col("name").isNull(), "name", "set_key")).alias(key)).select(key)
+    whole = kept.where(F.col(key).isNotNull()).join(first, key, "left_semi").unionByName(kept.where(F.col(key).isNull()))
+    bare = keyed.where(F.col(key).isNull() & F.col(own).isNull()).select(*[quoted(c) for c in docs.columns])
+    return whole.select("row.*").unionByName(bare)

@@ -534,6 +534,24 @@ def test_join_edge_cases(spark):
     assert jaccard.one_of_each(docs).where("doc_id = 1").count() == 1
 
 
+def test_join_keeps_sets_apart_that_share_a_doc_id_or_have_none(spark):
+    def text(mark, changed=0):
+        return " ".join(f"{mark}{k}" if k >= changed else f"{mark}new{k}" for k in range(60))
+
+    rows = [(1, text("a")), (2, text("a", 1)), (1, text("b")), (3, text("b", 1)), (3, text("c")), (None, text("d")), (None, text("d", 1)), (None, text("d", 1)),
+            (4, text("e")), (None, text("e", 1)), (None, text("e", 2)), (5, ""), (5, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, {"k": "v"}) for d, t in rows], "doc_id long, text string, set_key map<string,string>")
+    got = sorted(map(tuple, jaccard.join(docs).collect()), key=str)
+    assert got == sorted([(1, 1, 1, 1, 1), (2, 1, 2, 1, 1), (1, 1, 1, 1, 1), (3, 1, 3, 1, 1), (3, 3, 3, 1, 0), (None, None, None, 1, 2), (None, None, None, 2, 2), (None, None, None, 2, 2),
+                          (4, 4, 4, 1, 2), (None, 4, None, 1, 2), (None, 4, None, 1, 2), (5, 5, 5, 1, 0), (5, 5, 5, 1, 0), (None, None, None, 1, 0), (None, None, None, 1, 0)], key=str)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    one = [x for x in left if x[0] is None and (x[1] or "").startswith("d")]
+    assert len(one) == 1
+    assert left == sorted([(1, text("a")), (1, text("b")), (3, text("c")), one[0], (4, text("e")), (5, ""), (None, ""), (None, None)], key=str)
+
+
 def test_pruning_bounds_are_the_beta_tail():
     draw = np.random.default_rng(1).beta(21, 13, 200_000)
     assert jaccard.beta_above(21, 13, 0.7) == pytest.approx((draw > 0.7).mean(), abs=0.005)
