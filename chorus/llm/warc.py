@@ -256,21 +256,25 @@ def lookup(keys: DataFrame, blocks: DataFrame, directory: DataFrame) -> DataFram
 
 
 def _placed_by_ranges(wanted: DataFrame, directory: DataFrame) -> DataFrame:
-    """(key, block) for a directory too large to broadcast: keys and first keys are merged in key order
-    inside ranges, and each key takes the last first key before it; a range's first keys also enter
-    through the last block of the range before, found from one row per range."""
-    both = wanted.select(F.col("key"), F.lit(None).cast("string").alias("block")).unionByName(directory.select(F.col("first").alias("key"), "block"))
-    both = both.repartitionByRange("key").sortWithinPartitions("key", F.col("block").asc_nulls_last())
+    """(key, block) for a directory too large to broadcast: every block that begins with the key, found by an equal
+    join, and the last block that begins before it. For the latter keys and distinct first keys are merged in key order
+    inside ranges; a range's first keys also enter through the last block of the range before, found from one row per range."""
+    same = wanted.join(directory.select(F.col("first").alias("key"), "block"), "key")
+    begins = directory.groupBy(F.col("first").alias("key")).agg(F.max("block").alias("block"))
+    both = wanted.select(F.col("key"), F.lit(None).cast("string").alias("block")).unionByName(begins)
+    both = both.repartitionByRange("key").sortWithinPartitions("key", F.col("block").asc_nulls_first())
     both = stored(both.withColumn("part", F.spark_partition_id()), "merged")
     last = {r.part: r.block for r in both.where("block is not null").groupBy("part").agg(F.max_by("block", F.struct("key", "block")).alias("block")).collect()}
+    filled = sorted(r.part for r in both.select("part").distinct().collect())
     carried, now = [], None
-    for p in sorted(last):
+    for p in filled:
         carried.append((p, now))
-        now = last[p]
-    starts = wanted.sparkSession.createDataFrame(carried + [(max(last, default=0) + 1, now)], "part int, before string")
-    order = Window.partitionBy("part").orderBy("key", F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        now = last.get(p, now)
+    starts = wanted.sparkSession.createDataFrame(carried, "part int, before string")
+    order = Window.partitionBy("part").orderBy("key", F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     own = both.withColumn("found", F.last("block", ignorenulls=True).over(order)).where("block is null")
-    return own.join(starts, "part", "left").select("key", F.coalesce("found", "before").alias("block")).where("block is not null")
+    before = own.join(starts, "part", "left").select("key", F.coalesce("found", "before").alias("block")).where("block is not null")
+    return before.unionByName(same)
 
 
 def _type(name: str) -> T.DataType:

@@ -299,6 +299,20 @@ def test_index_lookup_and_range_reads(spark, monkeypatch):
     assert sorted(r.page_id for r in warc.lookup(keys, blocks, directory).collect()) == wanted
 
 
+def test_lookup_by_ranges_reads_every_block_of_a_repeated_key(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 7)
+    rows = [(i, f"http://h{i % 9}.org/p{i}", f"<p>{i}") for i in range(200)] + [(None, "http://h4.org/p1", f"<p>none {i}") for i in range(40)] + [(500, "http://h7.org/x", f"<p>same {i}") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    blocks, directory = warc.build_index(warc.read_archives(spark, warc.write_archives(pages)))
+    assert directory.groupBy("first").count().agg(F.max("count")).first()[0] > 3
+    keys = pages.select(warc.sort_key(warc.url_key(F.col("url")), F.col("page_id")).alias("key"))
+    digests = lambda: sorted((r.page_id or -1, r.payload_digest) for r in warc.lookup(keys, blocks, directory).collect())
+    want = sorted((p or -1, hashlib.sha1(h.encode()).hexdigest()) for p, _, h in rows)
+    assert [d.split(":")[-1] for _, d in digests()] == [d for _, d in want]
+    monkeypatch.setattr(warc, "DIRECTORY_BYTES", 1)
+    assert [d.split(":")[-1] for _, d in digests()] == [d for _, d in want]
+
+
 # 6 url filter ----------------------------------------------------------------------------------
 
 
