@@ -25,6 +25,8 @@ placed by their hashes, so a lost executor's tasks give the same rows again.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,12 +59,42 @@ def communication_matrix(counts: list[int], room: list[int], seed: int | list[in
 
 
 def _hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric draw; beyond the generator's range, its normal limit rounded into the support."""
-    if good + bad < 10**9:
-        return int(draw.hypergeometric(good, bad, n))
-    share = good / (good + bad)
-    spread = (n * share * (1 - share) * (good + bad - n) / max(1, good + bad - 1)) ** 0.5
-    return int(min(max(round(draw.normal(n * share, spread)), n - bad, 0), good, n))
+    """Hypergeometric draw; beyond the generator's range by rejection, with the same law."""
+    return int(draw.hypergeometric(good, bad, n)) if good + bad < 10**9 else _by_rejection(draw, good, bad, n)
+
+
+def _by_rejection(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Hypergeometric draw by the ratio of uniforms (Stadlober's HRUA), for populations of any size."""
+    total, few, m = good + bad, min(good, bad), min(n, good + bad - n)
+    low, high = max(0, m - max(good, bad)), min(m, few)
+    if low == high:
+        k = low
+    else:
+        mean = m * (few / total) + 0.5
+        spread = ((total - m) / (total - 1) * m * (few / total) * (1 - few / total) + 0.5) ** 0.5
+        wide = 1.7155277699214135 * spread + 0.8989161620588988
+        mode = (m + 1) * (few + 1) // (total + 2)
+        while True:
+            x, y = 1 - draw.random(), draw.random()
+            k = math.floor(mean + wide * (y - 0.5) / x)
+            if not low <= k <= high:
+                continue
+            d = k - mode
+            # log of P(k) / P(mode)
+            ratio = -(_growth(mode, d) + _growth(few - mode, -d) + _growth(m - mode, -d) + _growth(total - few - m + mode, d))
+            if 2 * math.log(x) <= ratio:
+                break
+    if good > bad:
+        k = m - k
+    return k if m == n else good - k
+
+
+def _growth(a: int, d: int) -> float:
+    """log((a + d)! / a!), by differences where the factorials are too large for their own logarithms."""
+    if min(a, a + d) < 1000:
+        return math.lgamma(a + d + 1) - math.lgamma(a + 1)
+    rest = lambda z: 1 / (12 * z) - 1 / (360 * z**3)
+    return (a + d + 0.5) * math.log1p(d / a) + d * math.log(a) - d + rest(a + d) - rest(a)
 
 
 def cut_positions(counts: DataFrame, shards: int, seed: int, fan: int = FAN) -> DataFrame:

@@ -194,6 +194,19 @@ def test_matrix_has_exact_margins_and_the_right_mean():
     assert np.allclose(total[0] / 400, 5 * np.array([4, 4, 3, 3]) / 14, atol=0.15)
 
 
+def test_draws_from_large_populations_have_the_hypergeometric_law():
+    draw = np.random.default_rng(3)
+    for good, bad, n in ((30, 50, 20), (50, 30, 20), (9, 40, 45), (4000, 9000, 6000), (3, 2, 4)):
+        mine = np.array([shards._by_rejection(draw, good, bad, n) for _ in range(20_000)])
+        theirs = draw.hypergeometric(good, bad, n, 20_000)
+        points = np.quantile(theirs, [0.05, 0.2, 0.4, 0.6, 0.8, 0.95])
+        assert np.allclose((mine[:, None] <= points).mean(0), (theirs[:, None] <= points).mean(0), atol=0.025)
+    few = np.array([shards._hypergeometric(draw, 2, 3 * 10**9, 10**9) for _ in range(5000)])
+    assert abs((few == 0).mean() - 0.444) < 0.03 and abs((few == 2).mean() - 0.111) < 0.03
+    big = np.array([shards._hypergeometric(draw, 10**11, 23 * 10**11, 10**10) for _ in range(5000)]) - 10**10 / 24
+    assert abs(big.mean()) < 1500 and abs(big.std() / (10**10 / 24 * 23 / 24 * (1 - 1 / 240)) ** 0.5 - 1) < 0.05
+
+
 def test_cut_positions_drawn_in_groups_have_exact_margins(spark):
     given = [(p, (p * 7) % 11) for p in range(60)]
     counts = spark.createDataFrame(given, "part int, n long")
