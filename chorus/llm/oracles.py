@@ -78,4 +78,45 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
        CASE WHEN first <> page_id THEN first END AS refers_to, true AS sound
 FROM d LEFT JOIN f USING (payload_digest)"""
 
-ORACLES = {"op5_warc_index": OP5, "op3_quality_rules": OP3, "op6_bloom_url_filter": OP6, "op9_benchmark_decontamination": OP9, "op10_ngram_jaccard_join": OP10}
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+        FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+halves AS MATERIALIZED (SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS tail
+         FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM cand)),
+cuts AS (SELECT c.lang, c.k, c.phrase, a, h.f AS l, t.f AS r, cut, 1000000::HUGEINT * a * a // (CAST(h.f AS HUGEINT) * t.f) AS score
+         FROM halves c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer x ON x.lang = b.lang AND x.part = b.phrase AND b.k = 2 WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+                  row_number() OVER () AS r FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS n FROM o GROUP BY lang, t HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, t, count(*) AS n FROM o JOIN kept USING (lang, t) GROUP BY lang, source, t),
+gn AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, gn.source, t, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (gn.n + v.v) AS p, coalesce(c.n, 0) AS n
+      FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t)),
+q AS (SELECT lang, t, 1 + 1000000000::HUGEINT * (kept.n + 1) // (v.n + v.v) AS q FROM kept JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+         UNION ALL
+         SELECT lang, source, 'term', t, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM part)
+SELECT lang, source, part, item, value, CAST(k AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR k <= 200"""
+
+ORACLES = {"op5_warc_index": OP5, "op3_quality_rules": OP3, "op6_bloom_url_filter": OP6, "op9_benchmark_decontamination": OP9, "op10_ngram_jaccard_join": OP10,
+           "op12_quotient_collocations": OP12, "op13_source_divergence": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chorus.llm import decontam, html, jaccard, licenses, mixing, quality, rules, shards, urlfilter, warc
+from chorus.llm import decontam, divergence, html, jaccard, licenses, mixing, personal, phrases, quality, rules, shards, urlfilter, warc
 from chorus.sources.tables import read_table
 
 
@@ -60,7 +60,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents"))
 
 
+def op11_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those that boosted trees add."""
+    return personal.personal(read_table(spark, sf_dir, "documents"))
+
+
+def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First phrases of every lang by collocation score, counted in quotient filters."""
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its lang, and the terms it uses more than its lang."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_entropy_balanced_mix, op2_html_rendering, op3_quality_rules, op4_hypergeometric_shards, op5_warc_index,
     op6_bloom_url_filter, op7_license_scan, op8_quality_trees,
-    op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+    op9_benchmark_decontamination, op10_ngram_jaccard_join, op11_boosted_personal_data, op12_quotient_collocations, op13_source_divergence)}
