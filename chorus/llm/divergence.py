@@ -1,11 +1,11 @@
 """Operator 13, source divergence audit: exact sparse document vectors, summed by group, compared in pairs.
 
-1. Count vectorizer per lang: the vocabulary holds the terms that occur in at least ``min_df`` documents of
+1. Documents become sparse vectors (term, count) inside their chunk, exact because terms are compared by their bytes. They are summed
+   by (lang, source), like a summarizer's sums: each chunk sums its own documents, Spark combines the partial sums map-side and
+   once more after the shuffle. Documents per term are summed along, so one pass and one shuffle serve the next step as well.
+2. Count vectorizer per lang: the vocabulary holds the terms that occur in at least ``min_df`` documents of
    the lang, at most ``vocab_size`` of them (by default the largest integer, so none is left out). It is a
-   table with dense term numbers, not a list on the driver; documents become sparse vectors (term
-   numbers, counts) against it, exact because words are compared by their bytes.
-2. The sparse vectors are summed by (lang, source), like a summarizer's sums: each chunk sums its own
-   documents, Spark combines the partial sums map-side and once more after the shuffle.
+   table with dense term numbers, not a list on the driver; the group sums keep its terms by a join.
 3. Pairs: blocks of ``TERMS`` term numbers and two tiles of ``TILE`` sources are compared as arrays. Terms
    that neither source has contribute a constant that is added by count, so a block holds only terms
    that occur.
@@ -20,7 +20,7 @@ rows count each time; very long texts are read whole; an empty table gives no ro
 their names, are not read.
 
 Scale: pairs of sources are the result (S^2 per lang); the work is V * S^2 in blocks of bounded size, whose number
-grows with both. A hot source is one row per term after map-side sums. ``document_vectors`` never leave their chunk.
+grows with both. A hot source is one row per term and task after map-side sums, and the vectors never leave their chunk.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.llm.shared import stored
-from chorus.llm.textarrays import lowered
-from chorus.llm.wordchunks import VOCABULARY, Coded, chunked, encoded, lookup, numbered, totals, with_ids
+from chorus.llm.textarrays import chunks_of, lowered, quoted
+from chorus.llm.wordchunks import CHUNK_BYTES, Coded, encoded, numbered
 
 # Term characters: letters A-Z (lower-cased) and everything beyond ASCII.
 TERM = lowered(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
@@ -43,92 +43,87 @@ SCALE = 1_000_000_000
 TERMS, TILE = 4096, 32
 TOP_TERMS = 200
 
-CHUNK = f"groups array<struct<lang:string,source:string>>, doc_group binary, doc_end binary, code binary, count binary, {VOCABULARY}"
+CELLS = "lang string, source string, word string, count bigint, docs bigint"
 
 
 def filled(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def _list(rows: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+class Vectors:
+    """The documents of a chunk as exact sparse vectors over the chunk's own terms: ``doc``, ``code``, ``count`` per cell, in
+    the order of the documents, and per document its ``group``, one of ``langs`` and ``sources``."""
 
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, keys: list[pa.Array]):
+        lang, langs = encoded(keys[0])
+        source, sources = encoded(keys[1])
+        self.terms = Coded(buf, offs, lang, len(langs), TERM)
+        width = max(len(self.terms.counts), 1)
+        cell, self.count = np.unique(self.terms.text * width + self.terms.codes, return_counts=True)
+        self.doc, self.code = cell // width, cell % width
+        group, self.group = np.unique(lang * len(sources) + source, return_inverse=True)
+        self.langs, self.sources = langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources)))
 
-def _sparse(buf: np.ndarray, offs: np.ndarray, keys: list[pa.Array]) -> list[pa.Array]:
-    """One chunk: its documents as sparse vectors over the chunk's own codes, and the codes' vocabulary."""
-    lang, langs = encoded(keys[0])
-    source, sources = encoded(keys[1])
-    chunk = Coded(buf, offs, lang, len(langs), TERM)
-    width = max(len(chunk.counts), 1)
-    cell, count = np.unique(chunk.text * width + chunk.codes, return_counts=True)
-    doc, code = cell // width, (cell % width).astype(np.int32)
-    end = np.searchsorted(doc, np.arange(len(lang)), side="right")
-    group, doc_group = np.unique(lang * len(sources) + source, return_inverse=True)
-    names = pa.StructArray.from_arrays([langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources)))], ["lang", "source"])
-    raw = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (doc_group, end, code, count)]
-    return [_list(names), *raw, chunk.vocabulary(langs, np.bincount(code, minlength=len(chunk.counts)))]
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(group, code, sum of counts, documents): the vectors of each group summed up."""
+        width = max(len(self.terms.counts), 1)
+        cell, inverse, docs = np.unique(self.group[self.doc] * width + self.code, return_inverse=True, return_counts=True)
+        return cell // width, cell % width, np.bincount(inverse, self.count, len(cell)).astype(np.int64), docs
 
 
-def _ints(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.int32)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"), filled("lang").alias("lang"), filled("source").alias("source"))
 
 
-def count_vectorizer(chunks: DataFrame, min_df: int = MIN_DF, vocab_size: int = VOCAB_SIZE) -> DataFrame:
-    """The vocabulary, stored: (lang, word, n, docs, id). Of a lang with more terms than ``vocab_size`` the
-    most frequent are kept, ties by term."""
-    kept = totals(chunks).where(F.col("docs") >= min_df)
+def _chunks(batch: pa.RecordBatch, chunk_bytes: int):
+    for lo, hi, buf, offs in chunks_of(batch.column(0), chunk_bytes):
+        yield Vectors(buf, offs, [batch.column(i).slice(lo, hi - lo) for i in (1, 2)])
+
+
+def group_sums(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(lang, source, word, count, docs): the document vectors of every group summed up. Chunks sum their own documents, Spark
+    combines their sums before and after the shuffle. A group without terms has one row whose word is null."""
+    def run(batches):
+        for batch in batches:
+            for chunk in _chunks(batch, chunk_bytes):
+                group, code, count, number = chunk.summed()
+                yield pa.RecordBatch.from_arrays([chunk.langs.take(pa.array(group)), chunk.sources.take(pa.array(group)), chunk.terms.spelled.take(pa.array(code)), pa.array(count), pa.array(number)],
+                                                 ["lang", "source", "word", "count", "docs"])
+                every, zero = len(chunk.langs), np.zeros(len(chunk.langs), np.int64)
+                yield pa.RecordBatch.from_arrays([chunk.langs, chunk.sources, pa.nulls(every, pa.string()), pa.array(zero), pa.array(zero)], ["lang", "source", "word", "count", "docs"])
+
+    return _keyed(docs).mapInArrow(run, CELLS).groupBy("lang", "source", "word").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+
+
+def count_vectorizer(sums: DataFrame, min_df: int = MIN_DF, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """The vocabulary, stored: (lang, word, n, docs, id) with dense numbers ``id`` from 1 over all langs. Of a lang with more terms
+    than ``vocab_size`` the most frequent are kept, ties by term."""
+    kept = sums.where("word is not null").groupBy("lang", "word").agg(F.sum("count").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_df)
     if vocab_size < VOCAB_SIZE:
         order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
         kept = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= vocab_size).drop("place")
     return numbered(kept, "vocabulary")
 
 
-def _vectors(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group of each document, first cell of each document and the end, ids, counts) of one chunk's documents; ids of
-    terms outside the vocabulary are 0."""
-    at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-    code, count, end = _ints(at["code"][row]), _ints(at["count"][row]), _ints(at["doc_end"][row])
-    ids = lookup(at["known"], at["ids"], row, int(code.max()) + 1 if len(code) else 0)[code] if at["ids"][row].is_valid else np.zeros(len(code), np.int64)
-    return _ints(at["doc_group"][row]), np.concatenate(([0], end)), ids, count
-
-
-def document_vectors(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """One row per document: ``lang``, ``source``, ``ids`` and ``counts`` (sparse vector, ids rising)."""
-    wide = chunks.drop("vocabulary").join(with_ids(chunks, vocabulary).select("chunk", "known", "ids"), "chunk", "left")
+def document_vectors(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per document that has a term of the vocabulary: ``doc_id``, ``lang``, ``source``, ``vector``, an array of (id, count) by
+    rising id. For users of the vectors themselves; the audit sums them before terms meet the vocabulary."""
+    keyed = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col("text").cast("string").alias("text"), filled("lang").alias("lang"), filled("source").alias("source"))
+    held = stored(keyed.withColumn("doc", F.monotonically_increasing_id()), "documents")
 
     def run(batches):
         for batch in batches:
-            names = batch.column(batch.schema.get_field_index("groups"))
-            for row in range(batch.num_rows):
-                group, spots, ids, counts = _vectors(batch, row)
-                doc = np.repeat(np.arange(len(group)), np.diff(spots))
-                keep = ids > 0
-                order = np.lexsort((ids[keep], doc[keep]))
-                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[keep], minlength=len(group))))).astype(np.int32))
-                named = names[row].values.take(pa.array(group))
-                yield pa.RecordBatch.from_arrays(
-                    [named.field(0), named.field(1), pa.ListArray.from_arrays(ends, pa.array(ids[keep][order])),
-                     pa.ListArray.from_arrays(ends, pa.array(counts[keep][order].astype(np.int64)))], ["lang", "source", "ids", "counts"])
-
-    return wide.mapInArrow(run, "lang string, source string, ids array<bigint>, counts array<bigint>")
-
-
-def group_sums(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(lang, source, id, count): the document vectors summed by group, each chunk's own sums first."""
-    def run(batches):
-        for batch in batches:
-            names = batch.column(batch.schema.get_field_index("groups"))
-            for row in range(batch.num_rows):
-                group, spots, ids, counts = _vectors(batch, row)
-                keep = ids > 0
-                wide = int(ids.max(initial=0)) + 1
-                cell, inverse = np.unique(np.repeat(group, np.diff(spots))[keep] * wide + ids[keep], return_inverse=True)
-                total = np.bincount(inverse, counts[keep], len(cell)).astype(np.int64)
-                named = names[row].values.take(pa.array(cell // wide))
-                yield pa.RecordBatch.from_arrays([named.field(0), named.field(1), pa.array(cell % wide), pa.array(total)], ["lang", "source", "id", "count"])
+            at = 0
+            for chunk in _chunks(batch, chunk_bytes):
+                n = len(chunk.group)
+                rows = batch.column(3).slice(at, n).take(pa.array(chunk.doc))
+                at += n
+                yield pa.RecordBatch.from_arrays([rows, chunk.langs.take(pa.array(chunk.group[chunk.doc])), chunk.terms.spelled.take(pa.array(chunk.code)), pa.array(chunk.count.astype(np.int64))],
+                                                 ["doc", "lang", "word", "count"])
 
-    cells = with_ids(chunks, vocabulary).mapInArrow(run, "lang string, source string, id bigint, count bigint")
-    return cells.groupBy("lang", "source", "id").agg(F.sum("count").alias("count"))
+    cells = held.select("text", "lang", "source", "doc").mapInArrow(run, "doc bigint, lang string, word string, count bigint")
+    known = cells.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("id", "count"))).alias("vector"))
+    return held.drop("text").join(known, "doc").select("doc_id", "lang", "source", "vector")
 
 
 def share(count: Column, total: Column, size: Column) -> Column:
@@ -196,10 +191,10 @@ def pair_values(cells: DataFrame, facts: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, min_df: int = MIN_DF, vocab_size: int = VOCAB_SIZE, top: int = TOP_TERMS) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value``, ``rank``: part ``pair`` has every other source of the lang by
     divergence from it, part ``term`` the ``top`` terms that the source uses more than its lang does."""
-    chunks = chunked(docs, F.col("text"), [filled("lang"), filled("source")], CHUNK, _sparse)
-    vocabulary = count_vectorizer(chunks, min_df, vocab_size)
-    sums = stored(group_sums(chunks, vocabulary), "sums")
-    groups = chunks.select(F.inline("groups")).distinct()
+    every = stored(group_sums(docs), "sums")
+    vocabulary = count_vectorizer(every, min_df, vocab_size)
+    groups = every.where("word is null").select("lang", "source")
+    sums = stored(every.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("lang", "source", "id", "count"), "counts")
     facts = stored(group_facts(groups, sums, vocabulary), "facts")
     cells = stored(sums.join(facts, ["lang", "source"]).select("lang", "source", "number", "tile", "tiles", "id", share(F.col("count"), F.col("total"), F.col("size")).alias("p")), "cells")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chorus.llm.shared import stored
 from chorus.llm.textarrays import Words, chunks_of
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 VOCABULARY = "vocabulary array<struct<lang:string,word:string,n:bigint,docs:bigint>>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -28,7 +28,7 @@ _LOWER[65:91] += 32
 
 
 class Coded:
-    """Words of a chunk as codes: ``codes`` per word, and per code ``langs``, ``words`` and ``counts``."""
+    """Words of a chunk as codes, the most frequent first: ``codes`` per word, and per code ``langs``, ``spelled`` and ``counts``."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, text_lang: np.ndarray, n_langs: int, table: np.ndarray):
         self.words = Words(buf, offs, table)
@@ -43,12 +43,16 @@ class Coded:
         if room <= 8 * len(pair):
             count = np.bincount(pair, minlength=room)
             seen = np.flatnonzero(count)
+            seen = seen[np.argsort(-count[seen], kind="stable")]
             number = np.zeros(room, np.int32)
             number[seen] = np.arange(len(seen))
             self.codes, self.counts = number[pair], count[seen]
         else:
-            seen, inverse, self.counts = np.unique(pair, return_inverse=True, return_counts=True)
-            self.codes = inverse.astype(np.int32)
+            seen, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            number = np.zeros(len(seen), np.int32)
+            number[order] = np.arange(len(seen))
+            seen, self.codes, self.counts = seen[order], number[inverse], counts[order]
         self.langs = seen % n_langs
         self.spelled = every.dictionary.take(pa.array(seen // n_langs)).cast(pa.string())
 
@@ -59,6 +63,15 @@ class Coded:
         return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
 
 
+def planes(codes: np.ndarray) -> bytes:
+    """Codes byte by byte, all lowest bytes first: small codes leave long runs of zeros, which compress."""
+    return codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def encoded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(code per row, distinct values) of a string column without nulls."""
     column = column.dictionary_encode()
@@ -66,15 +79,16 @@ def encoded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def chunked(df: DataFrame, text: Column, keys: list[Column], fields: str, work: Callable[[np.ndarray, np.ndarray, list[pa.Array]], list[pa.Array]],
-            chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+            chunk_bytes: int | None = None) -> DataFrame:
     """Stored rows, one per chunk: ``chunk`` (a number) and the columns ``fields`` that ``work`` makes
     of the chunk's bytes, offsets and key columns. Null texts count as empty; keys must not be null."""
     own = df.select(text.cast("string").alias("text"), *[k.alias(f"key_{i}") for i, k in enumerate(keys)])
+    size = chunk_bytes or CHUNK_BYTES
     names, width = [f.split()[0] for f in fields.split(", ")], len(keys)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offs in chunks_of(batch.column(0), chunk_bytes):
+            for lo, hi, buf, offs in chunks_of(batch.column(0), size):
                 made = work(buf, offs, [batch.column(1 + i).slice(lo, hi - lo) for i in range(width)])
                 yield pa.RecordBatch.from_arrays(made, names)
 
