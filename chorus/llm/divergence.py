@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorus.llm.shared import stored
+from chorus.llm.shared import first_ranked, stored
 from chorus.llm.textarrays import chunks_of, lowered, quoted
 from chorus.llm.wordchunks import CHUNK_BYTES, Coded, encoded, numbered
 
@@ -209,5 +209,5 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, vocab_size: int = VOCAB_SIZE, t
     used = used.select("lang", "source", F.lit("term").alias("part"), "item", divergence(F.col("p"), F.col("q")).alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = used.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = first_ranked(used, ["lang", "source", "part"], [F.desc("value"), "item"], top, ["item"], 16)
     return pairs.withColumn("rank", F.row_number().over(order)).unionByName(ranked)

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chorus.llm import urlfilter
 from chorus.llm.components import connected_components
 from chorus.llm.shared import stored
 from chorus.llm.textarrays import SPACED, Words, fresh, map_texts, mix64, quoted, shingle_hashes
@@ -47,6 +48,8 @@ BANDS, ROWS = 32, 5
 TOLERANCE = 1e-6
 STEP = 32
 BLOCK = 256
+BROADCAST_IDS = 1 << 21             # 16 MB of ids
+BLOOM_BLOCKS = 1 << 21              # 32 MB as a table of blocks and bits
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,6 +325,28 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bl
     return named(*classes(docs, threshold, width, block))
 
 
+def without(docs: DataFrame, gone: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among the stored, distinct ids ``gone``; texts that may stay do not move.
+
+    At most ``most`` ids are broadcast. More go into a Bloom filter of a fixed number of bits: rows that miss it stay where they are,
+    the few that hit it meet the exact ids in a shuffled join."""
+    ids = gone.select(F.col("doc_id").cast("long").alias("gone_id"))
+    n, number = ids.count(), fresh(docs, "doc_number")
+    if n <= most:
+        return docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    blocks = min(BLOOM_BLOCKS, n * urlfilter.BITS_PER_KEY // 64 + 1)
+    key = F.col(number).cast("string")
+    filter_ = urlfilter.bloom_filter(ids.select(F.col("gone_id").cast("string").alias("key")), "key", blocks)
+    block, bits = (fresh(docs, c) for c in ("bloom_block", "bloom_bits"))
+    filter_ = filter_.select(F.col("bloom_block").alias(block), F.col("bloom_bits").alias(bits))
+    keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(block, urlfilter.bloom_block(key, blocks))
+    met = keyed.join(F.broadcast(filter_), block, "left")             # at most BLOOM_BLOCKS rows
+    hit = F.coalesce(F.col(bits).bitwiseAND(urlfilter.bloom_bits(key)) == urlfilter.bloom_bits(key), F.lit(False))
+    given = [quoted(c) for c in docs.columns]
+    unsure = met.where(hit).join(ids, F.col(number) == F.col("gone_id"), "left_anti")
+    return met.where(~hit).select(*given).unionByName(unsure.select(*given))
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents in their own columns, one per class: the one whose doc_id names it.
 
@@ -331,8 +356,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     seen, groups = classes(docs, threshold)
     shared = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if shared.isEmpty():
-        gone = named(seen, groups).where("doc_id <> class_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return without(docs, stored(named(seen, groups).where("doc_id <> class_id").select("doc_id"), "gone"))
     key, own = fresh(docs, "set_key"), fresh(docs, "own_id")
 
     def keys(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:

@@ -4,7 +4,8 @@ Rows are dealt into partitions by a hash of the row and of its number among iden
 communication matrix (how many rows of partition p go to shard s) is drawn from the multivariate
 hypergeometric law that a uniformly random shuffle has. Each partition orders its rows by a seeded
 hash (the local permutation) and cuts them by its row of the matrix; the pieces are exchanged; every
-shard orders what it got by a second seeded hash, which fixes the slots. Shard sizes are exact: counts
+shard orders what it got by a second seeded hash, which fixes the slots. All this is done with a row's number and two hashes of it;
+whole rows are stored once and move once. Shard sizes are exact: counts
 differ by at most one.
 
 The law is ``rows``: sizes in rows at most one apart. Equal texts are separate rows and are spread
@@ -119,58 +120,81 @@ def cut_positions(counts: DataFrame, shards: int, seed: int, fan: int = FAN) ->
     return grouped.groupBy("team").applyInPandas(split, "part int, ends array<bigint>")
 
 
-def numbered(df: DataFrame, plain: list[Column], copy: str, seed: int) -> DataFrame:
-    """``df`` with ``copy``: the number of each row among identical ones, from 0. Rows that occur once have 0.
+def copy_numbers(rows: DataFrame) -> DataFrame:
+    """``rows`` (spot, a, b) with ``copy``: the number of each row among those of equal (a, b), from 0.
 
-    Rows are stored in hash order within their input partitions, so that a row's copies there are neighbours; they
-    are cut into runs, and a run starts at the number of copies in the runs before it."""
-    mark, spot, run = (fresh(df, n) for n in ("copy_mark", "copy_spot", "copy_run"))
-    marked = df.withColumn(mark, F.xxhash64(*plain, F.lit(seed + 4)))
-    often = stored(marked.groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(mark), "often")
+    Rows that occur more than once are stored in the order of their hashes within their partitions, so that copies there are
+    neighbours; they are cut into runs, and a run starts at the number of copies in the runs before it."""
+    often = stored(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "often")
     if often.isEmpty():
-        return df.withColumn(copy, F.lit(0).cast("long"))
-    held = stored(marked.sortWithinPartitions(mark).withColumn(spot, F.monotonically_increasing_id()).withColumn(run, F.shiftright(spot, RUN_BITS)), "marked")
-    runs = held.select(mark, spot, run).join(often, mark, "left_semi").groupBy(mark, run).agg(F.min(spot).alias("start"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy(mark).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
-    moved = fresh(held, "copy_moved")
-    table = stored(runs.select(mark, run, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("start")).alias(moved)), "runs")
-    return held.join(table, [mark, run], "left").withColumn(copy, F.coalesce(F.col(spot) + F.col(moved), F.lit(0).cast("long"))).select(*[quoted(c) for c in df.columns], copy)
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    again = rows.join(often, ["a", "b"], "left_semi").sortWithinPartitions("a", "b").withColumn("at", F.monotonically_increasing_id())
+    held = stored(again.withColumn("run", F.shiftright("at", RUN_BITS)), "copies")
+    earlier = Window.partitionBy("a", "b").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = held.groupBy("a", "b", "run").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
+    moved = stored(runs.select("a", "b", "run", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("start")).alias("moved")), "runs")
+    copies = held.join(moved, ["a", "b", "run"]).select("spot", (F.col("at") + F.col("moved")).alias("copy"))
+    return rows.join(copies, "spot", "left").withColumn("copy", F.coalesce("copy", F.lit(0).cast("long")))
 
 
-def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partition: int = PER_PARTITION, fan: int = FAN) -> DataFrame:
-    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within a shard)."""
-    if shards < 1:
-        raise ValueError("at least one shard is needed")
-    part, first, second, shard, slot = (fresh(df, n) for n in ("part", "first_order", "second_order", "shard", "slot"))
-    plain = [F.to_json(F.struct(quoted(c))) if t.startswith(("map", "variant")) else F.col(quoted(c)) for c, t in df.dtypes]
-    total = df.count()
+def hashed(df: DataFrame, plain: list[Column], seed: int, names: tuple[str, str, str]) -> DataFrame:
+    """``df``, stored, with a number for each row and two hashes of ``plain``, under ``names``."""
+    spot, a, b = names
+    return stored(df.withColumns({a: F.xxhash64(*plain, F.lit(seed)), b: F.xxhash64(*plain, F.lit(seed + 4))}).withColumn(spot, F.monotonically_increasing_id()), "rows")
+
+
+def numbered(df: DataFrame, plain: list[Column], copy: str, seed: int) -> DataFrame:
+    """``df`` with ``copy``: the number of each row among those equal in ``plain``, from 0. Rows that occur once have 0."""
+    spot, a, b = names = tuple(fresh(df, n) for n in ("row_spot", "row_a", "row_b"))
+    held = hashed(df, plain, seed, names)
+    numbers = copy_numbers(held.select(F.col(spot).alias("spot"), F.col(a).alias("a"), F.col(b).alias("b"))).select(F.col("spot").alias(spot), F.col("copy").alias(copy))
+    return held.join(numbers, spot).select(*[quoted(c) for c in df.columns], copy)
+
+
+def placed(rows: DataFrame, shards: int, seed: int, per_partition: int, fan: int) -> DataFrame:
+    """(spot, shard, slot) of narrow rows (spot, a, b, copy): the two permutations and the exchange between them."""
+    key = [F.col(c) for c in ("a", "b", "copy")]
+    total = rows.count()
     parts = max(1, -(-total // per_partition))
-    copy, given = fresh(df, "copy_number"), df.columns
-    df = numbered(df, plain, copy, seed)
-    plain = [*plain, F.col(copy)]
-    dealt = df.withColumn(part, F.pmod(F.xxhash64(*plain, F.lit(seed)), F.lit(parts)).cast("int"))
-    counts = stored(dealt.groupBy(F.col(quoted(part)).alias("part")).agg(F.count(F.lit(1)).alias("n")), "counts")
-    ends = fresh(df, "ends")
-    table = stored(cut_positions(counts, shards, seed, fan), "cuts").select(F.col("part").alias(part), F.col("ends").alias(ends))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(parts)).cast("int"))
+    counts = stored(dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "counts")
+    table = stored(cut_positions(counts, shards, seed, fan), "cuts")
 
     # the cut positions of each partition join its rows; small by measured size, they are broadcast
-    local = Window.partitionBy(part).orderBy(F.xxhash64(*plain, F.lit(seed + 1)), F.xxhash64(*plain, F.lit(seed + 2)))
-    place = dealt.withColumn(first, F.row_number().over(local))
-    sent = place.join(F.broadcast(table) if parts * shards < 1 << 20 else table, part)
-    sent = sent.withColumn(shard, F.size(F.filter(ends, lambda e: e < F.col(first))))
+    local = Window.partitionBy("part").orderBy(F.xxhash64(*key, F.lit(seed + 1)), *key)
+    sent = dealt.withColumn("first", F.row_number().over(local)).join(F.broadcast(table) if parts * shards < 1 << 20 else table, "part")
+    sent = sent.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("first"))))
 
-    # slots: order within a shard by ranges of the second hash; the counts of the ranges need no text
+    # slots: order within a shard by ranges of the second hash
     ranges = max(1, -(-(total // shards) // per_partition))
-    sent = sent.withColumn(second, F.xxhash64(*plain, F.col(part), F.col(first), F.lit(seed + 3)))
-    sent = sent.withColumn(part, F.shiftright(F.shiftrightunsigned(F.col(second), 32) * ranges, 32).cast("int")).drop(ends)
-    if ranges == 1:
-        order = Window.partitionBy(shard).orderBy(second, first)
-        return sent.withColumn(slot, F.row_number().over(order).cast("long") - 1).select(*[quoted(c) for c in given], shard, slot)
-    tally = sent.groupBy(shard, part).agg(F.count(F.lit(1)).alias("n"))
-    before = tally.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    order = Window.partitionBy(shard, part).orderBy(second, first)
-    ranked = sent.withColumn(slot, F.row_number().over(order))
-    return ranked.join(before, [shard, part]).withColumn(slot, F.col(slot) + F.col("before") - 1).select(*[quoted(c) for c in given], shard, slot)
+    sent = sent.withColumn("second", F.xxhash64(*key, F.lit(seed + 3)))
+    sent = sent.withColumn("range", F.shiftright(F.shiftrightunsigned(F.col("second"), 32) * ranges, 32).cast("int")).select("spot", *key, "shard", "second", "range")
+    if ranges > 1:
+        sent = stored(sent, "sent")
+    ranked = sent.withColumn("slot", F.row_number().over(Window.partitionBy("shard", "range").orderBy("second", *key)).cast("long") - 1)
+    if ranges > 1:
+        tally = sent.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        tally = tally.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        ranked = ranked.join(tally, ["shard", "range"]).withColumn("slot", F.col("slot") + F.col("before"))
+    return ranked.select("spot", "shard", "slot")
+
+
+def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partition: int = PER_PARTITION, fan: int = FAN) -> DataFrame:
+    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within a shard).
+
+    The rows are stored once under a number; numbering copies, dealing, cutting and ordering all work on that number and two hashes
+    of the row, and whole rows move once, when they meet their shard and slot."""
+    if shards < 1:
+        raise ValueError("at least one shard is needed")
+    shard, slot = fresh(df, "shard"), fresh(df, "slot")
+    spot, a, b = names = tuple(fresh(df, n) for n in ("row_spot", "row_a", "row_b"))
+    plain = [F.to_json(F.struct(quoted(c))) if t.startswith(("map", "variant")) else F.col(quoted(c)) for c, t in df.dtypes]
+    held = hashed(df, plain, seed, names)
+    rows = copy_numbers(held.select(F.col(spot).alias("spot"), F.col(a).alias("a"), F.col(b).alias("b")))
+    places = stored(placed(stored(rows, "numbered"), shards, seed, per_partition, fan), "places")
+    places = places.select(F.col("spot").alias(spot), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    return held.join(places, spot).select(*[quoted(c) for c in df.columns], shard, slot)
 
 
 def manifest(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

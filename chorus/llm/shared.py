@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from chorus.session import ensure_checkpoint_dir
 
@@ -24,3 +25,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def first_ranked(df: DataFrame, keys: list[str], order: list[Column | str], top: int, spread: list[str], buckets: int = 64) -> DataFrame:
+    """``df`` with ``rank`` (from 1 per ``keys``, by ``order``), up to ``top``. Rows are ranked by bucket of ``spread`` first, so
+    the last window sees at most ``buckets`` * ``top`` rows of a key, however many tasks had some."""
+    bucket = F.pmod(F.xxhash64(*spread), F.lit(buckets))
+    near = df.withColumn("rank_bucket", bucket)
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "rank_bucket").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "rank_bucket")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
