@@ -280,7 +280,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
     equal = stored(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
     star = stored(stars(equal.select("rep", "bands")), "stars")
     hubs = star.groupBy("rep").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
-    wanted = equal.select("rep", "name", "weight", "set_key").join(hubs, "rep")
+    wanted = stored(equal.select("rep", "name", "weight", "set_key").join(hubs, "rep"), "wanted")
 
     fields = [T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("set_key", T.BinaryType())]
 
@@ -292,7 +292,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(keys, pa.binary())]
 
     # one row of each wanted set: by its smallest doc_id, or from the rows without one
-    texts = docs.join(wanted.select(F.col("name").alias("doc_id")), "doc_id", "left_semi")
+    texts = by_ids(docs, wanted.select(F.col("name").alias("doc_id")).distinct(), inside=True)
     if not equal.where("name is null").isEmpty():
         texts = texts.unionByName(docs.where("doc_id is null"))
     read = map_texts(texts, "text", fields, again, [])
@@ -325,26 +325,24 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bl
     return named(*classes(docs, threshold, width, block))
 
 
-def without(docs: DataFrame, gone: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among the stored, distinct ids ``gone``; texts that may stay do not move.
+def by_ids(docs: DataFrame, ids: DataFrame, inside: bool, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (``inside``) or is not among the stored, distinct ``ids``; most texts do not move.
 
-    At most ``most`` ids are broadcast. More go into a Bloom filter of a fixed number of bits: rows that miss it stay where they are,
-    the few that hit it meet the exact ids in a shuffled join."""
-    ids = gone.select(F.col("doc_id").cast("long").alias("gone_id"))
-    n, number = ids.count(), fresh(docs, "doc_number")
+    At most ``most`` ids are broadcast. More go into a Bloom filter of a bounded number of bits: rows that miss it are not among
+    them for certain, the rows that hit it meet the exact ids in a shuffled join. A null doc_id is never among them."""
+    number, own, block, bits = (fresh(docs, c) for c in ("doc_number", "listed_id", "bloom_block", "bloom_bits"))
+    ids = ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(own))
+    n, given, how = ids.count(), [quoted(c) for c in docs.columns], "left_semi" if inside else "left_anti"
+    keyed = docs.withColumn(number, F.col("doc_id").cast("long"))
     if n <= most:
-        return docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+        return keyed.join(F.broadcast(ids), F.col(number) == F.col(own), how).select(*given)
     blocks = min(BLOOM_BLOCKS, n * urlfilter.BITS_PER_KEY // 64 + 1)
     key = F.col(number).cast("string")
-    filter_ = urlfilter.bloom_filter(ids.select(F.col("gone_id").cast("string").alias("key")), "key", blocks)
-    block, bits = (fresh(docs, c) for c in ("bloom_block", "bloom_bits"))
-    filter_ = filter_.select(F.col("bloom_block").alias(block), F.col("bloom_bits").alias(bits))
-    keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(block, urlfilter.bloom_block(key, blocks))
-    met = keyed.join(F.broadcast(filter_), block, "left")             # at most BLOOM_BLOCKS rows
+    table = urlfilter.bloom_filter(ids.select(F.col(own).cast("string").alias("key")), "key", blocks).select(F.col("bloom_block").alias(block), F.col("bloom_bits").alias(bits))
+    met = keyed.withColumn(block, urlfilter.bloom_block(key, blocks)).join(F.broadcast(table), block, "left")        # at most BLOOM_BLOCKS rows
     hit = F.coalesce(F.col(bits).bitwiseAND(urlfilter.bloom_bits(key)) == urlfilter.bloom_bits(key), F.lit(False))
-    given = [quoted(c) for c in docs.columns]
-    unsure = met.where(hit).join(ids, F.col(number) == F.col("gone_id"), "left_anti")
-    return met.where(~hit).select(*given).unionByName(unsure.select(*given))
+    sure = met.where(hit).join(ids, F.col(number) == F.col(own), how).select(*given)
+    return sure if inside else met.where(~hit).select(*given).unionByName(sure)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -356,7 +354,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     seen, groups = classes(docs, threshold)
     shared = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if shared.isEmpty():
-        return without(docs, stored(named(seen, groups).where("doc_id <> class_id").select("doc_id"), "gone"))
+        return by_ids(docs, stored(named(seen, groups).where("doc_id <> class_id").select("doc_id"), "gone"), inside=False)
     key, own = fresh(docs, "set_key"), fresh(docs, "own_id")
 
     def keys(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:

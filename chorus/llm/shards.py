@@ -194,7 +194,8 @@ def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, per_partitio
     rows = copy_numbers(held.select(F.col(spot).alias("spot"), F.col(a).alias("a"), F.col(b).alias("b")))
     places = stored(placed(stored(rows, "numbered"), shards, seed, per_partition, fan), "places")
     places = places.select(F.col("spot").alias(spot), F.col("shard").alias(shard), F.col("slot").alias(slot))
-    return held.join(places, spot).select(*[quoted(c) for c in df.columns], shard, slot)
+    # the exchange of whole rows: by a merge join at every size
+    return held.hint("merge").join(places, spot).select(*[quoted(c) for c in df.columns], shard, slot)
 
 
 def manifest(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -68,12 +68,13 @@ def test_pipeline_without_documents(spark, folder, tmp_path):
 
 
 def test_ids_go_by_broadcast_and_by_bloom_filter_alike(spark):
-    docs = spark.range(5000).select((F.col("id") % 3000).cast("int").alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("gone_id"), F.lit(2).alias("bloom_block"))
+    docs = spark.range(5000).select((F.col("id") % 3000).cast("int").alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("listed_id"), F.lit(2).alias("bloom_block"))
     docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("int")))
-    gone = spark.range(0, 3000, 7).withColumnRenamed("id", "doc_id")
-    want = sorted(map(str, docs.where("doc_id is null or doc_id % 7 <> 0").collect()))
-    assert sorted(map(str, jaccard.without(docs, gone).collect())) == want
-    assert sorted(map(str, jaccard.without(docs, gone, most=10).collect())) == want
+    ids = spark.range(0, 3000, 7).withColumnRenamed("id", "doc_id").unionByName(spark.range(1).select(F.lit(None).cast("long").alias("doc_id")))
+    for inside, rule in ((False, "doc_id is null or doc_id % 7 <> 0"), (True, "doc_id % 7 = 0")):
+        want = sorted(map(str, docs.where(rule).collect()))
+        assert sorted(map(str, jaccard.by_ids(docs, ids, inside).collect())) == want
+        assert sorted(map(str, jaccard.by_ids(docs, ids, inside, most=10).collect())) == want
 
 
 def test_many_identical_rows_spread_over_shards(spark):
