@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorus import schemas as S
+from chorus.functions import defaults as D
 from chorus.functions import rules as R
 
 
@@ -92,7 +93,7 @@ def validate_request(requests: DataFrame) -> DataFrame:
 
 
 def request_defaults(requests: DataFrame, config_strategy: str | None = None,
-                     system_prompt: str = R.DEFAULT_SYSTEM_TEXT) -> DataFrame:
+                     system_prompt: str = D.SYSTEM_TEXT) -> DataFrame:
     """Missing strategy from config (else weighted_merge), missing system prompt from a
     constant."""
     return requests.withColumn("strategy", F.coalesce("strategy", F.lit(config_strategy or R.DEFAULT_STRATEGY))).withColumn(

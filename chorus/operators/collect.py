@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions import agg as AG
+from chorus.functions import defaults as D
 from chorus.functions import rules as R
 from chorus.functions import text as TX
 from chorus.operators.logview import n_responses, response_fields
@@ -30,7 +31,7 @@ def training_pair_filter(log: DataFrame, **kw) -> DataFrame:
     return log.filter(pair_eligible(**kw))
 
 
-def training_pairs(log: DataFrame, system: str = R.DEFAULT_SYSTEM_TEXT, **kw) -> DataFrame:
+def training_pairs(log: DataFrame, system: str = D.SYSTEM_TEXT, **kw) -> DataFrame:
     """P5: instruction/output pairs with metadata; the best answer is the argmax of total_score,
     the first on ties. Shape: id, timestamp, system, instruction, output, metadata{...}."""
     best = best_response(response_fields("model_name", "total_score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chorus.functions import agg as AG
 from chorus.functions import rules as R
+from chorus.operators import selection as SEL
 
 
 def quality_filter(pairs: DataFrame, min_confidence: float = R.PAIR_MIN_CONFIDENCE,
@@ -50,38 +51,26 @@ def to_sharegpt(pairs: DataFrame) -> DataFrame:
     ).alias("conversations"))
 
 
+def split_hash(key, seed: int = R.SPLIT_SEED):
+    """The place of a row in the shuffled order: MD5 of seed and key, 32 hexadecimal digits."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
 def shuffle_split(df: DataFrame, key: str = "seq", val_ratio: float = R.VAL_RATIO, seed: int = R.SPLIT_SEED,
                   bucket_bits: int = 16) -> DataFrame:
     """Seeded shuffle, then the first max(1, int(n * (1 - ratio))) rows go to ``train`` and
-    the rest to ``val``. Exact sizes, disjoint, reproducible for a seed; ``key`` must be unique.
-
-    The shuffle order is (xxhash64(seed, key), key). No global sort and no shuffle of whole rows:
-    pass 1 counts rows per hash bucket (the top ``bucket_bits`` bits; at most 2^bits small rows),
-    whose running counts locate the bucket holding the cut; pass 2 ranks the rows of that one
-    bucket to find the cut itself; pass 3 labels every row by comparing it with the cut (three
-    scalars). Python's own permutation is not reproduced; sizes and disjointness are."""
-    shift = 64 - bucket_bits
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    bucket = F.shiftright("_h", shift)
-    counts = h.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_bn"))
-    w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # over <= 2^bits rows
-    stats = counts.select("_b", "_bn", F.coalesce(F.sum("_bn").over(w_all), F.lit(0)).alias("_before"),
-                          F.sum("_bn").over(Window.partitionBy()).alias("_n"))
-    k = F.greatest(F.lit(1), F.floor(F.col("_n").cast("double") * F.lit(1.0 - val_ratio))).cast("long")
-    cut = stats.withColumn("_k", k).filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_bn") >= F.col("_k")))
-    row = cut.select("_b", (F.col("_k") - F.col("_before")).alias("_kk")).first()
-    if row is None:   # no rows at all
+    the rest to ``val``. Exact sizes, disjoint, reproducible for a seed; ``key`` must be unique and not null.
+
+    The shuffle order is ``split_hash``. The hashes are pinned in a narrow table, the last one of the training rows is
+    selected there by refined histograms (``selection``), and every row is labelled by comparing its own hash with it: no
+    sort, no window, no shuffle of whole rows. Python's own permutation is not reproduced; sizes and disjointness are."""
+    place = split_hash(F.col(key), seed)
+    hashes = SEL.pinned(df.select(place.alias("place")), "split")
+    n = hashes.count()
+    if not n:
         return df.withColumn("split", F.lit(None).cast("string"))
-    b_cut, kk = row["_b"], row["_kk"]
-    inside = h.filter(bucket == F.lit(b_cut)).select("_h", key)
-    ranked = inside.withColumn("_rn", F.row_number().over(Window.orderBy("_h", key)))   # one bucket only
-    t = ranked.filter(F.col("_rn") == F.lit(kk)).select("_h", key).first()
-    h_cut, key_cut = t["_h"], t[key]
-    train = (bucket < F.lit(b_cut)) | ((bucket == F.lit(b_cut)) & (
-        (F.col("_h") < F.lit(h_cut)) | ((F.col("_h") == F.lit(h_cut)) & (F.col(key) <= F.lit(key_cut)))))
-    return h.withColumn("split", F.when(train, "train").otherwise("val")).drop("_h")
+    cut = SEL.kth_digits(hashes, "place", max(1, int(n * (1.0 - val_ratio))), max(1, min(4, bucket_bits // 4)))
+    return df.withColumn("split", F.when(place <= F.lit(cut), "train").otherwise("val"))
 
 
 def split_counts(split_df: DataFrame) -> DataFrame:

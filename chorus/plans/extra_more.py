@@ -162,7 +162,7 @@ def q_best_by_reward(spark, sf):
 
 @query("rejection_filter")
 def q_rejection(spark, sf):
-    return ML.rejection_filter(_rewards(spark, sf)).select("seq", "response_pos", "reward")
+    return ML.rejection_filter(_rewards(spark, sf).select("seq", "response_pos", "reward"))
 
 
 def _losses(spark, sf):
@@ -184,8 +184,7 @@ def q_best_epoch(spark, sf):
 
 @query("shuffle_split")
 def q_shuffle_split(spark, sf):
-    """The seeded train/validation assignment of every loaded pair (sizes are checked by
-    ``split_counts``; membership follows the seed's hash order)."""
+    """The seeded train/validation assignment of every loaded pair."""
     return PP.shuffle_split(_loaded(spark, sf)).select("seq", "split")
 
 

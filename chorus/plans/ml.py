@@ -8,6 +8,8 @@ grounding, and a pairwise (Bradley-Terry style) logistic model for rewards.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from chorus.functions import rules as R
 from chorus.operators import catalog as CAT
 from chorus.operators import scoring as SC
+from chorus.operators import selection as SEL
 from chorus.operators import vectors as VC
 
 DIMS = [n for n, _ in R.SCORE_WEIGHTS]
@@ -147,10 +150,15 @@ def best_of_n_by_reward(scored: DataFrame, group: str = "seq", idx: str = "respo
 
 
 def rejection_filter(scored: DataFrame, quantile: float = 0.5) -> DataFrame:
-    """M7: answers whose reward is at least the quantile. The quantile is one number from a
-    distributed approximate aggregate; it is then a literal of the filter."""
-    thr = scored.agg(F.percentile_approx("reward", quantile, 10000).alias("t")).first()["t"]
-    return scored.filter(F.col("reward") >= F.lit(thr)) if thr is not None else scored.limit(0)
+    """M7: answers whose reward is at least the quantile: the ceil(quantile * n)-th smallest reward, selected exactly.
+
+    ``scored`` is pinned, so that rewards are computed once; keep only the columns that are needed. A null or NaN reward is
+    never kept and does not count."""
+    held = SEL.pinned(scored, "rewards").where(F.col("reward").isNotNull() & ~F.isnan("reward"))
+    n = held.count()
+    if not n:
+        return held
+    return held.where(F.col("reward") >= F.lit(SEL.kth_double(held, "reward", max(1, math.ceil(quantile * n)))))
 
 
 # --- training metrics (A20, A21) ---------------------------------------------------------------

@@ -3,6 +3,7 @@ tables, independently of the Spark code (only the fixed rule data is shared)."""
 
 from __future__ import annotations
 
+from chorus.functions import defaults as D
 from chorus.functions import rules as R
 from chorus.oracle_base import with_fixture
 
@@ -267,7 +268,7 @@ SELECT tp AS training_pairs,
  CASE WHEN tp >= 1000 THEN 'ready' WHEN tp >= 500 THEN 'almost_ready' WHEN tp >= 100 THEN 'collecting' ELSE 'early' END AS training_readiness,
  least(100.0, CAST(printf('%.1f', CAST(tp AS DOUBLE) / 1000.0 * 100.0) AS DOUBLE)) AS training_readiness_pct FROM rc""")
 SQL["export_chat_log"] = Q(PAIRS, select=f"""
-SELECT seq, 0 AS turn, 'system' AS role, {_lit(R.DEFAULT_SYSTEM_TEXT)} AS content FROM tp
+SELECT seq, 0 AS turn, 'system' AS role, {_lit(D.SYSTEM_TEXT)} AS content FROM tp
 UNION ALL SELECT seq, 1, 'user', instruction FROM tp
 UNION ALL SELECT seq, 2, 'assistant', output FROM tp""")
 
@@ -422,17 +423,20 @@ SELECT count(*) FILTER (WHERE coalesce(confidence, 0.0) >= 0.7 AND coalesce(num_
  count(*) FILTER (WHERE NOT (coalesce(confidence, 0.0) >= 0.7 AND coalesce(num_models, 0) >= 3)) AS skipped FROM tp""")
 LOADED = """ld AS (SELECT * FROM tp WHERE coalesce(confidence, 0.0) >= 0.6 AND coalesce(num_models, 0) >= 2)"""
 SQL["to_chatml"] = Q(PAIRS, LOADED, select=f"""
-SELECT seq, 0 AS turn, 'system' AS role, {_lit(R.DEFAULT_SYSTEM_TEXT)} AS content FROM ld
+SELECT seq, 0 AS turn, 'system' AS role, {_lit(D.SYSTEM_TEXT)} AS content FROM ld
 UNION ALL SELECT seq, 1, 'user', instruction FROM ld UNION ALL SELECT seq, 2, 'assistant', output FROM ld""")
 SQL["to_sharegpt"] = Q(PAIRS, LOADED, select=f"""
-SELECT seq, 0 AS turn, 'system' AS "from", {_lit(R.DEFAULT_SYSTEM_TEXT)} AS value FROM ld
+SELECT seq, 0 AS turn, 'system' AS "from", {_lit(D.SYSTEM_TEXT)} AS value FROM ld
 UNION ALL SELECT seq, 1, 'human', instruction FROM ld UNION ALL SELECT seq, 2, 'gpt', output FROM ld""")
 SQL["to_alpaca"] = Q(PAIRS, LOADED, select=f"""
-SELECT seq, instruction, '' AS input, output, {_lit(R.DEFAULT_SYSTEM_TEXT)} AS system FROM ld""")
+SELECT seq, instruction, '' AS input, output, {_lit(D.SYSTEM_TEXT)} AS system FROM ld""")
 SQL["split_counts"] = Q(PAIRS, LOADED, """k AS (
  SELECT count(*) AS n, greatest(1, CAST(floor(CAST(count(*) AS DOUBLE) * 0.9) AS BIGINT)) AS k FROM ld)""", select="""
 SELECT 'train' AS split, k AS n, k < 50 AS small_train_set FROM k
 UNION ALL SELECT 'val', n - k, k < 50 FROM k WHERE n - k > 0""")
+SQL["shuffle_split"] = Q(PAIRS, LOADED, select="""
+SELECT seq, CASE WHEN row_number() OVER (ORDER BY md5(concat('42:', CAST(seq AS VARCHAR)))) <= greatest(1, CAST(floor(CAST(count(*) OVER () AS DOUBLE) * 0.9) AS BIGINT))
+ THEN 'train' ELSE 'val' END AS split FROM ld""")
 SQL["dataset_summary"] = Q(PAIRS, LOADED, select=f"""
 SELECT count(*) AS n_pairs, CAST(sum(length(instruction)) AS DOUBLE) / count(*) AS avg_instruction_chars,
  CAST(sum(length(output)) AS DOUBLE) / count(*) AS avg_output_chars, {exact_avg('confidence')} AS avg_confidence FROM ld""")
@@ -461,7 +465,7 @@ SELECT CASE WHEN max(CAST(provider = 'prov_2' AS INT)) = 1 THEN 'prov_2' ELSE ar
  CASE WHEN max(CAST(provider = 'prov_2' AS INT)) = 1 THEN 'm2' ELSE arg_min(model_id, config_order) END AS judge_model
 FROM act HAVING count(*) > 0""")
 SQL["request_defaults"] = Q(select=f"""
-SELECT seq, coalesce(strategy, 'weighted_merge') AS strategy, {_lit(R.DEFAULT_SYSTEM_TEXT)} AS system_prompt FROM e""")
+SELECT seq, coalesce(strategy, 'weighted_merge') AS strategy, {_lit(D.SYSTEM_TEXT)} AS system_prompt FROM e""")
 SQL["validate_request"] = Q("""br AS (
  SELECT seq, min(pos) AS p FROM resp WHERE model_id NOT IN ('m0', 'm1', 'm2', 'm3', 'm4') GROUP BY seq)""", select="""
 SELECT e.seq, br.seq IS NULL AS valid, CASE WHEN br.seq IS NOT NULL THEN 'Invalid role: unknown' END AS reject_reason
@@ -485,12 +489,19 @@ SELECT seq, CAST(list_position(['trivial', 'easy', 'medium', 'hard', 'expert'],
 
 # --- embedding space ---------------------------------------------------------------------------------------
 
-TRIPLES = """tri AS (
+def _triples(vector: str = "embedding") -> str:
+    return f"""slots AS (
  SELECT vec_id // 3 AS triple,
-  any_value(embedding) FILTER (WHERE vec_id % 3 = 0) AS zp,
-  any_value(embedding) FILTER (WHERE vec_id % 3 = 1) AS zt,
-  any_value(embedding) FILTER (WHERE vec_id % 3 = 2) AS zn
- FROM embeddings GROUP BY 1 HAVING zp IS NOT NULL AND zt IS NOT NULL AND zn IS NOT NULL)"""
+  any_value({vector}) FILTER (WHERE vec_id % 3 = 0) AS r0,
+  any_value({vector}) FILTER (WHERE vec_id % 3 = 1) AS r1,
+  any_value({vector}) FILTER (WHERE vec_id % 3 = 2) AS r2
+ FROM embeddings GROUP BY 1),
+tri AS (SELECT triple, coalesce(r0, r1, r2) AS zp, coalesce(r1, r0, r2) AS zt, coalesce(r2, r1, r0) AS zn FROM slots)"""
+
+
+TRIPLES = _triples()
+# The same vectors far from zero, where differences of large sums would lose the spread.
+SHIFTED = _triples("list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 1e6)")
 
 
 def _dsum(expr: str) -> str:
@@ -532,6 +543,8 @@ COV = """cv AS (
  GROUP BY 1, 2, 3),
 cl AS (SELECT side, avg(c * c) AS v FROM cv GROUP BY 1)"""
 SQL["covariance_loss"] = with_fixture(TRIPLES, COV, select="SELECT sum(v) AS covariance FROM cl")
+SQL["covariance_loss_shifted"] = with_fixture(SHIFTED, COV, select="SELECT sum(v) AS covariance FROM cl")
+SQL["variance_loss_shifted"] = with_fixture(SHIFTED, VAR, select="SELECT sum(v) AS variance FROM vl")
 CON = f"""pr AS (SELECT triple, {_dist('zp', 'zt')} AS pos_dist, {_dist('zp', 'zn')} AS neg_dist FROM tri)"""
 SQL["contrastive_loss"] = with_fixture(TRIPLES, CON, select="SELECT avg(greatest(0.0, pos_dist - neg_dist + 1.0)) AS contrastive FROM pr")
 SQL["collapse_report"] = with_fixture(TRIPLES, INV, VAR, COV, CON, """lo AS (

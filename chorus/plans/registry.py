@@ -512,6 +512,24 @@ def q_cov(spark, sf):
     return VC.covariance_loss(_triples(spark, sf))
 
 
+def _shifted(spark, sf):
+    """The triples with every value moved far from zero."""
+    e = read_table(spark, sf, "embeddings")
+    return VC.triples(e.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + 1e6)))
+
+
+@query("covariance_loss_shifted")
+def q_cov_shifted(spark, sf):
+    """V4 on vectors far from zero."""
+    return VC.covariance_loss(_shifted(spark, sf))
+
+
+@query("variance_loss_shifted")
+def q_var_shifted(spark, sf):
+    """V3 on vectors far from zero."""
+    return VC.variance_loss(_shifted(spark, sf))
+
+
 @query("contrastive_loss")
 def q_contrastive(spark, sf):
     return VC.contrastive_loss(_triples(spark, sf))
