@@ -9,6 +9,7 @@ from chorus.operators import collect as COL
 from chorus.operators import logview as LV
 from chorus.operators import pairs as PR
 from chorus.operators import prepare as PP
+from chorus.operators import reward as RW
 from chorus.operators import routing as RT
 from chorus.operators import vectors as VC
 from chorus.plans import ml as ML
@@ -105,10 +106,22 @@ def q_router_perf(spark, sf):
 
 @query("quality_regressor")
 def q_quality_regressor(spark, sf):
-    _, pred = ML.quality_regressor(ML.embedding_features(read_table(spark, sf, "embeddings")))
+    pred = ML.quality_regressor(ML.embedding_features(read_table(spark, sf, "embeddings")))
     return pred.select("vec_id", *[f"pred_{n}" for n in ML.DIMS])
 
 
+@query("quality_report")
+def q_quality_report(spark, sf):
+    """M1: held-out error per dimension beside a constant predictor's."""
+    return ML.quality_report(ML.embedding_features(read_table(spark, sf, "embeddings")))
+
+
+@query("grounding_report")
+def q_grounding_report(spark, sf):
+    """M4: held-out accuracy beside the larger class."""
+    return ML.grounding_report(VC.triples(read_table(spark, sf, "embeddings")))
+
+
 @query("difficulty_classifier")
 def q_difficulty_classifier(spark, sf):
     p = ML.difficulty_classifier(log_of(spark, sf).select("seq", "query"))
@@ -139,15 +152,34 @@ def q_embedding_evaluate(spark, sf):
     return ML.embedding_evaluate(read_table(spark, sf, "embeddings"))
 
 
+_REWARD_MODELS: dict = {}       # (application, folder) to the pinned differences and the path of the stored weights
+
+
+def _reward_model(spark, sf):
+    """The stored differences and weights of one folder's log, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _REWARD_MODELS:
+        rows = RW.pair_rows(PR.preference_pairs(log_of(spark, sf)).select("seq", "chosen", "rejected"))
+        _REWARD_MODELS[key] = (rows, RW.save(spark, RW.fit(rows)))
+    rows, path = _REWARD_MODELS[key]
+    return rows, RW.load(spark, path)
+
+
 def _rewards(spark, sf):
     log = log_of(spark, sf)
-    model = ML.reward_model(PR.preference_pairs(log))
+    _, weights = _reward_model(spark, sf)
     # the valid answers with their texts: one explode of the needed fields, no join
     from chorus.operators.scoring import is_valid
     ex = log.select("seq", F.posexplode(LV.response_fields("model_name", "content", "error", "total_score", "rank"))
                     .alias("response_pos", "r"))
     answers = ex.filter(is_valid(F.col("r"))).select("seq", "response_pos", "r.model_name", "r.content", "r.total_score", "r.rank")
-    return ML.reward_scores(model, answers)
+    return RW.rewards(answers, weights)
+
+
+@query("reward_report")
+def q_reward_report(spark, sf):
+    """M5: pairs learned from and held out, and the share of held-out pairs that the model orders rightly."""
+    return RW.report(*_reward_model(spark, sf))
 
 
 @query("reward_model")

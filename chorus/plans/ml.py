@@ -1,9 +1,9 @@
 """Learned scorers on Spark ML (M1-M7, V8, P9) and training-metric rollups.
 
-The reference trains small neural heads on one machine; here the same questions are answered by
-distributed Spark ML models fitted on the same tables: linear regressions for the four quality
-scores, multinomial logistic regressions for difficulty and strategy, a binary one for
-grounding, and a pairwise (Bradley-Terry style) logistic model for rewards.
+Small neural heads on one machine elsewhere; here the same questions are answered by distributed models
+fitted on the same tables: cross-fitted ridge regressions for the four quality scores (``operators.ridge``), multinomial
+logistic regressions for difficulty and strategy, a binary one for grounding, scored by the half that did not see the row, and a
+Bradley-Terry model for rewards (``operators.reward``).
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions import rules as R
 from chorus.operators import catalog as CAT
+from chorus.operators import ridge as RG
 from chorus.operators import scoring as SC
 from chorus.operators import selection as SEL
 from chorus.operators import vectors as VC
@@ -36,23 +36,32 @@ def _tf(df: DataFrame, col: str, out: str) -> DataFrame:
     return HashingTF(inputCol=out + "_tok", outputCol=out, numFeatures=HASH_FEATURES).transform(tok).drop(out + "_tok")
 
 
-def quality_regressor(labeled: DataFrame, features: str = "features", target: str = "quality_target") -> tuple:
-    """M1: one linear regression per quality dimension on embedding features; targets are the
-    pseudo-quality vector (F20). Returns (models, predictions clipped to [0, 1])."""
-    df = labeled.withColumn("_t", CAT.pseudo_quality_targets(F.col(target)))
-    models, pred = [], df
-    for i, name in enumerate(DIMS):
-        d = df.withColumn("label", F.col("_t")[i])
-        m = LinearRegression(featuresCol=features, labelCol="label", predictionCol=f"p_{name}", regParam=0.01).fit(d)
-        models.append(m)
-        pred = m.transform(pred)
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
-    return models, pred.select("*", *[clip(f"p_{n}").alias(f"pred_{n}") for n in DIMS]).drop(*[f"p_{n}" for n in DIMS], "_t")
+def quality_regressor(labeled: DataFrame, features: str = "embedding", target: str = "quality_target", key: str = "vec_id") -> DataFrame:
+    """M1: one ridge regression for the four quality dimensions on embedding features (``ridge``); targets are the
+    pseudo-quality vector (F20). Every row is scored by the folds that did not see it, clipped to [0, 1] as ``pred_<dim>``; the
+    unclipped score and the constant of the same fit are ``raw_<dim>`` and ``raw_<dim>_mean``."""
+    fold = RG.fold_of(F.col(key))
+    coefficients = RG.cross_fit(labeled, features, quality_targets(target), fold)
+    scored = RG.predicted(labeled, features, coefficients, fold, [f"raw_{n}" for n in DIMS])
+    return scored.select("*", *[_clip(f"raw_{n}").alias(f"pred_{n}") for n in DIMS])
+
+
+def quality_targets(target: str = "quality_target") -> list:
+    return [CAT.pseudo_quality_targets(F.col(target))[i] for i in range(len(DIMS))]
+
+
+def quality_report(labeled: DataFrame) -> DataFrame:
+    """Held-out error of M1 per dimension beside that of a constant."""
+    scored = quality_regressor(labeled)
+    return RG.held_out(scored, {f"raw_{n}": t for n, t in zip(DIMS, quality_targets(), strict=True)}).withColumn("target", F.substring("target", 5, 100))
+
+
+def _clip(c: str):
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
 
 
 def embedding_features(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select("vec_id", "label", array_to_vector("embedding").alias("features"),
-                             (F.col("label") / F.lit(9.0)).alias("quality_target"))
+    return embeddings.select("vec_id", (F.col("vec_id") / 3).cast("long").alias("triple"), "label", "embedding", (F.col("label") / F.lit(9.0)).alias("quality_target"))
 
 
 def difficulty_classifier(questions: DataFrame, query_col: str = "query") -> DataFrame:
@@ -96,53 +105,55 @@ def apply_grounding(model, df: DataFrame, question: str, answer: str) -> DataFra
         "features", "rawPrediction", "probability", "prediction")
 
 
+HALVES = 2
+
+
+def _by_other_half(triples: DataFrame, rows: DataFrame, answer: str) -> DataFrame:
+    """``rows`` of triples scored by a grounding model that was fitted on the triples of the other half."""
+    half = RG.fold_of(F.col("triple"), HALVES)
+    out = None
+    for k in range(HALVES):
+        other = triples.where(half != k)
+        if other.isEmpty():
+            continue
+        scored = apply_grounding(fit_grounding(other), rows.where(half == k), "z_pred", answer)
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        out = rows.limit(0).withColumn("hallucination_probability", F.lit(0.0)).withColumn("is_grounded", F.lit(False))
+    return out
+
+
 def grounding_classifier(triples: DataFrame) -> DataFrame:
-    """M4 + P9 on the (question, target) and (question, negative) pairs of each triple."""
-    model = fit_grounding(triples)
+    """M4 + P9 on the (question, target) and (question, negative) pairs of each triple; the triples of each half are scored by
+    the model of the other half, so no pair is scored by a model that saw it."""
     pos = triples.select("triple", "z_pred", F.col("z_target").alias("z_answer"), F.lit(1.0).alias("label"))
     neg = triples.select("triple", "z_pred", F.col("z_negative").alias("z_answer"), F.lit(0.0).alias("label"))
-    return apply_grounding(model, pos.unionByName(neg), "z_pred", "z_answer")
+    return _by_other_half(triples, pos.unionByName(neg), "z_answer")
+
+
+def grounding_report(triples: DataFrame) -> DataFrame:
+    """Held-out accuracy of M4 at probability 0.5 beside the share of the larger class."""
+    right = (F.col("hallucination_probability") < 0.5) == (F.col("label") == 1.0)
+    share = F.avg("label")
+    return grounding_classifier(triples).agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("accuracy"), F.greatest(share, 1 - share).alias("majority"))
 
 
 def embedding_evaluate(embeddings: DataFrame) -> DataFrame:
     """V8: overall score (A1 weights over the predicted quality of the answer embedding), the
-    grounded flag (M4, P9) and the reasoning similarity (V1) of each (question, answer) triple.
-    The fitted models are applied to one frame of triples, so the results need no join."""
-    models, _ = quality_regressor(embedding_features(embeddings))
+    grounded flag (M4, P9) and the reasoning similarity (V1) of each (question, answer) triple. All models are cross-fitted by
+    triple: none has seen a vector of the triple that it scores."""
+    labeled = embedding_features(embeddings)
+    fold = RG.fold_of(F.col("triple"))
+    coefficients = RG.cross_fit(labeled, "embedding", quality_targets(), fold)
     tri = VC.triples(embeddings)
-    ground = fit_grounding(tri)
-    x = tri.withColumn("features", array_to_vector("z_target"))
-    for m in models:
-        x = m.transform(x)
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
-    x = x.select("*", *[clip(f"p_{n}").alias(f"pred_{n}") for n in DIMS]).drop("features", *[f"p_{n}" for n in DIMS])
-    x = apply_grounding(ground, x, "z_pred", "z_target")
+    x = RG.predicted(tri, "z_target", coefficients, fold, [f"raw_{n}" for n in DIMS])
+    x = x.select(*tri.columns, *[_clip(f"raw_{n}").alias(f"pred_{n}") for n in DIMS])
+    x = _by_other_half(tri, x, "z_target")
     overall = SC.weighted_total(*[F.col(f"pred_{n}") for n in DIMS])
     return x.select("triple", overall.alias("overall_score"), *[f"pred_{n}" for n in DIMS], "hallucination_probability",
                     "is_grounded", VC.cosine_similarity("z_pred", "z_target").alias("reasoning_similarity"))
 
 
-def reward_model(pairs: DataFrame):
-    """M5: pairwise logistic model on hashed words of (chosen, rejected), trained on both orders
-    (label 1 for chosen-first, 0 for the swap), no intercept. The reward of a text is the margin
-    of the model on (text, empty)."""
-    d = _tf(_tf(pairs, "chosen", "f_c"), "rejected", "f_r")
-    fwd = VectorAssembler(inputCols=["f_c", "f_r"], outputCol="features").transform(d).withColumn("label", F.lit(1.0))
-    rev = VectorAssembler(inputCols=["f_r", "f_c"], outputCol="features").transform(d).withColumn("label", F.lit(0.0))
-    train = fwd.select("features", "label").unionByName(rev.select("features", "label"))
-    return LogisticRegression(fitIntercept=False, maxIter=30, regParam=0.01).fit(train)
-
-
-def reward_scores(model, answers: DataFrame, text_col: str = "content") -> DataFrame:
-    """Reward of each answer text under a fitted M5 model."""
-    d = _tf(answers.withColumn("_empty", F.lit("")), text_col, "f_c")
-    d = _tf(d, "_empty", "f_r")
-    d = VectorAssembler(inputCols=["f_c", "f_r"], outputCol="features").transform(d)
-    out = model.transform(d)
-    return out.withColumn("reward", vector_to_array("rawPrediction")[1]).drop(
-        "f_c", "f_r", "features", "rawPrediction", "probability", "prediction", "_empty")
-
-
 def best_of_n_by_reward(scored: DataFrame, group: str = "seq", idx: str = "response_pos") -> DataFrame:
     """M6: the answer with the highest reward per question (first by position on ties)."""
     w = Window.partitionBy(group).orderBy(F.col("reward").desc(), F.col(idx))
