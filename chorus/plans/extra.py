@@ -53,10 +53,10 @@ def q_judge_fields(spark, sf):
 
 @query("build_score_prompt")
 def q_score_prompt(spark, sf):
-    """the judge's scoring prompt of every logged question (length and model count)."""
+    """the judge's scoring prompt of every logged question, whole, with its model count."""
     raw = FX.raw_entries(spark, sf)
     p = raw.select("seq", JD.score_prompt(F.col("query"), F.col("responses")).alias("prompt"))
-    return p.select("seq", F.length("prompt").alias("prompt_chars"),
+    return p.select("seq", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"),
                     (F.size(F.split("prompt", "\n--- Model ")) - 1).alias("n_blocks"))
 
 
@@ -66,17 +66,17 @@ def q_merge_prompt(spark, sf):
     log = log_of(spark, sf)
     p = log.select("seq", JD.merge_prompt(F.col("query"), F.col("responses"), F.col("consensus_points"),
                                           F.col("disagreement_points")).alias("prompt"))
-    return p.select("seq", F.length("prompt").alias("prompt_chars"),
+    return p.select("seq", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"),
                     F.col("prompt").contains(R.NONE_IDENTIFIED).alias("has_none_identified"))
 
 
 @query("build_debate_prompt")
 def q_debate_prompt(spark, sf):
-    """debate prompts over the J4 pairing and verification prompts of the final answers."""
+    """debate prompts over the J4 pairing, whole."""
     from chorus.operators import pairs as PR
     d = PR.debate_pairs(log_of(spark, sf))
     p = d.select("seq", "debater", JD.debate_prompt(F.col("model_name"), F.col("own_answer"), F.col("other_answer")).alias("prompt"))
-    return p.select("seq", "debater", F.length("prompt").alias("prompt_chars"))
+    return p.select("seq", "debater", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
 @query("normalize_payload")

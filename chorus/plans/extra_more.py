@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chorus.operators import collect as COL
+from chorus.operators import ids as ID
 from chorus.operators import logview as LV
 from chorus.operators import pairs as PR
 from chorus.operators import prepare as PP
@@ -84,12 +85,13 @@ def q_write_train_val(spark, sf):
 
 @query("write_reward_set")
 def q_write_reward(spark, sf):
-    """K8: chosen / rejected / margin written as JSON lines and read back."""
+    """K8: both chats and the margin written as JSON lines and read back."""
     path = scratch_path(spark, "reward")
     m = PR.margin(PR.preference_pairs(log_of(spark, sf)))
     IO.write_reward_set(m, path)
-    back = spark.read.schema("seq long, pair_no int, margin double").json(path)
-    return back.select("seq", "pair_no", "margin")
+    turns = "array<struct<role:string,content:string>>"
+    back = spark.read.schema(f"seq long, pair_no int, chosen_messages {turns}, rejected_messages {turns}, margin double").json(path)
+    return PR.with_turns(back)
 
 
 @query("write_router_perf")
@@ -222,9 +224,17 @@ def q_shuffle_split(spark, sf):
 
 @query("short_id")
 def q_short_id(spark, sf):
-    """an 8-character display id per logged question (random, never a join key)."""
+    """a stable id per logged question, from its text and time."""
+    log = log_of(spark, sf).select("seq", "query", "timestamp")
+    return ID.stable_ids(log, F.concat("query", "timestamp")).select("seq", "short_id")
+
+
+@query("build_verify_prompt")
+def q_verify_prompt(spark, sf):
+    """the verification prompt of every final answer, whole."""
     from chorus.operators import judge as JD
-    return log_of(spark, sf).select("seq", JD.short_id().alias("short_id"))
+    p = log_of(spark, sf).select("seq", JD.verify_prompt(F.col("query"), F.col("final_answer")).alias("prompt"))
+    return p.select("seq", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
 @query("file_size_mb")

@@ -58,7 +58,7 @@ _SCORE_BLOCKS = """sb AS (
    '' ORDER BY response_index) AS blocks
  FROM r GROUP BY entry_id)"""
 SQL["build_score_prompt"] = Q(_SCORE_BLOCKS, select=f"""
-SELECT e.seq, CAST(length(p) AS INTEGER) AS prompt_chars, CAST(len(string_split(p, chr(10) || '--- Model ')) - 1 AS INTEGER) AS n_blocks
+SELECT e.seq, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5, CAST(len(string_split(p, chr(10) || '--- Model ')) - 1 AS INTEGER) AS n_blocks
 FROM (SELECT e.seq, replace(replace({_lit(_JD.SCORE_TEMPLATE)}, '{{{{QUERY}}}}', e.query), '{{{{RESPONSES}}}}', coalesce(sb.blocks, '')) AS p
       FROM e LEFT JOIN sb ON sb.entry_id = e.entry_id) e""")
 
@@ -72,7 +72,7 @@ pts AS (
   CASE WHEN n_disagreements > 0 THEN array_to_string(list_transform(range(1, n_disagreements + 1), lambda i: '- disagreement point ' || CAST(i AS VARCHAR)), chr(10)) ELSE 'None identified' END AS dis
  FROM e)"""
 SQL["build_merge_prompt"] = Q(_MERGE_BLOCKS, select=f"""
-SELECT seq, CAST(length(p) AS INTEGER) AS prompt_chars, contains(p, 'None identified') AS has_none_identified FROM (
+SELECT seq, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5, contains(p, 'None identified') AS has_none_identified FROM (
  SELECT e.seq, replace(replace(replace(replace({_lit(_JD.MERGE_TEMPLATE)}, '{{{{QUERY}}}}', e.query), '{{{{RANKED_RESPONSES}}}}', coalesce(mb.blocks, '')),
    '{{{{CONSENSUS}}}}', pts.cons), '{{{{DISAGREEMENTS}}}}', pts.dis) AS p
  FROM e LEFT JOIN mb ON mb.seq = e.seq JOIN pts ON pts.seq = e.seq) t""")
@@ -80,7 +80,14 @@ SELECT seq, CAST(length(p) AS INTEGER) AS prompt_chars, contains(p, 'None identi
 SQL["build_debate_prompt"] = Q("""ok AS (
  SELECT seq, model_name, content, CAST(row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS INTEGER) AS i,
   count(*) OVER (PARTITION BY seq) AS n FROM resp WHERE coalesce(error, '') = '')""", select=f"""
-SELECT a.seq, a.i AS debater,
- CAST(length(replace(replace(replace({_lit(_JD.DEBATE_TEMPLATE)}, '{{{{MODEL_NAME}}}}', coalesce(a.model_name, '')),
-   '{{{{YOUR_RESPONSE}}}}', coalesce(a.content, '')), '{{{{OTHER_RESPONSE}}}}', coalesce(b.content, ''))) AS INTEGER) AS prompt_chars
-FROM ok a JOIN ok b ON b.seq = a.seq AND b.i = (a.i + 1) % a.n WHERE a.n >= 2""")
+SELECT seq, debater, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5 FROM (SELECT a.seq, a.i AS debater,
+ replace(replace(replace({_lit(_JD.DEBATE_TEMPLATE)}, '{{{{MODEL_NAME}}}}', coalesce(a.model_name, '')),
+   '{{{{YOUR_RESPONSE}}}}', coalesce(a.content, '')), '{{{{OTHER_RESPONSE}}}}', coalesce(b.content, '')) AS p
+FROM ok a JOIN ok b ON b.seq = a.seq AND b.i = (a.i + 1) % a.n WHERE a.n >= 2)""")
+SQL["build_verify_prompt"] = Q(select=f"""
+SELECT seq, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5
+FROM (SELECT seq, replace(replace({_lit(_JD.VERIFY_TEMPLATE)}, '{{{{QUERY}}}}', query), '{{{{ANSWER}}}}', coalesce(final_answer, '')) AS p FROM lg)""")
+SQL["short_id"] = Q("""h AS (SELECT seq, sha256(query || timestamp) AS h FROM lg),
+c8 AS (SELECT substr(h, 1, 8) AS p FROM h GROUP BY 1 HAVING min(h) <> max(h)),
+c12 AS (SELECT substr(h, 1, 12) AS p FROM h GROUP BY 1 HAVING min(h) <> max(h))""", select="""
+SELECT seq, substr(h, 1, CASE WHEN substr(h, 1, 8) NOT IN (SELECT p FROM c8) THEN 8 WHEN substr(h, 1, 12) NOT IN (SELECT p FROM c12) THEN 12 ELSE 16 END) AS short_id FROM h""")

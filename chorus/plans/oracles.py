@@ -367,7 +367,11 @@ SELECT (SELECT count(*) FROM patk) AS total_weaknesses_found, (SELECT count(*) F
  t.category AS top_vulnerability, CAST(printf('%.3f', t.severity) AS DOUBLE) AS top_severity,
  CAST(printf('%.3f', t.avg_score) AS DOUBLE) AS top_avg_score,
  CASE WHEN t.severity IS NULL THEN 'need_data' WHEN t.severity > 0.7 THEN 'critical' WHEN t.severity > 0.4 THEN 'notable'
-  ELSE 'reasonable' END AS recommendation_tier
+  ELSE 'reasonable' END AS recommendation_tier,
+ CASE WHEN t.severity IS NULL THEN 'Too few logged answers to judge; collect more first.'
+  WHEN t.severity > 0.7 THEN t.category || ': answers score ' || printf('%.0f', t.avg_score * 100) || '% on average, mend this category first.'
+  WHEN t.severity > 0.4 THEN t.category || ': weak enough to deserve adversarial examples.'
+  ELSE 'No category stands out; look at questions on which the models disagree.' END AS recommendation
 FROM (SELECT 1 AS one) d LEFT JOIN (SELECT * FROM patk ORDER BY severity DESC, first_seen LIMIT 1) t ON true""")
 
 # --- pairs -----------------------------------------------------------------------------------------
@@ -397,7 +401,10 @@ PAIRSEL = "SELECT seq, CAST(pair_no AS INTEGER) AS pair_no, pair_kind, coalesce(
 SQL["preference_pairs"] = Q(SV, PREF, select=PAIRSEL)
 SQL["best_vs_worst"] = Q(SV, PREF, select=PAIRSEL + " WHERE pair_kind = 'best_worst'")
 SQL["adjacent_pairs"] = Q(SV, PREF, select=PAIRSEL + " WHERE pair_kind = 'adjacent'")
-SQL["margin"] = Q(SV, PREF, select="SELECT seq, CAST(pair_no AS INTEGER) AS pair_no, chosen_score - rejected_score AS margin FROM pp")
+SQL["margin"] = Q(SV, PREF, select="""
+SELECT pp.seq, CAST(pair_no AS INTEGER) AS pair_no, md5('user: ' || e.query || chr(10) || 'assistant: ' || chosen) AS chosen_turns,
+ md5('user: ' || e.query || chr(10) || 'assistant: ' || rejected) AS rejected_turns, chosen_score - rejected_score AS margin
+FROM pp JOIN e ON e.seq = pp.seq""")
 SQL["triplets"] = Q(SV, select="""
 SELECT b.seq, CAST(row_number() OVER (PARTITION BY b.seq ORDER BY w.k) - 1 AS INTEGER) AS triplet_no,
  coalesce(b.model_name, '') AS good_model, coalesce(w.model_name, '') AS bad_model, b.total_score AS good_score,

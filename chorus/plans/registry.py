@@ -364,7 +364,7 @@ def q_report_entries(spark, sf):
 
 @query("weakness_report")
 def q_report(spark, sf):
-    return WK.weakness_report(log_of(spark, sf)).drop("recommendation")
+    return WK.weakness_report(log_of(spark, sf))
 
 
 def _adversarial(spark, sf):
@@ -429,7 +429,7 @@ def q_adjacent(spark, sf):
 
 @query("margin")
 def q_margin(spark, sf):
-    return PR.margin(_pref(spark, sf)).select("seq", "pair_no", "margin")
+    return PR.with_turns(PR.margin(_pref(spark, sf)))
 
 
 @query("triplets")
