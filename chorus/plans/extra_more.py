@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chorus.operators import collect as COL
 from chorus.operators import ids as ID
 from chorus.operators import logview as LV
+from chorus.operators import nearest as NN
 from chorus.operators import pairs as PR
 from chorus.operators import prepare as PP
 from chorus.operators import reward as RW
@@ -276,3 +277,9 @@ def q_stream_source(spark, sf):
     q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("nearest_answers")
+def q_nearest(spark, sf):
+    """W8's candidates: the ten nearest of all vectors for every vector whose id 20 divides."""
+    return NN.nearest(read_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)

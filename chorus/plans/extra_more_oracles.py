@@ -91,3 +91,9 @@ SQL["short_id"] = Q("""h AS (SELECT seq, sha256(query || timestamp) AS h FROM lg
 c8 AS (SELECT substr(h, 1, 8) AS p FROM h GROUP BY 1 HAVING min(h) <> max(h)),
 c12 AS (SELECT substr(h, 1, 12) AS p FROM h GROUP BY 1 HAVING min(h) <> max(h))""", select="""
 SELECT seq, substr(h, 1, CASE WHEN substr(h, 1, 8) NOT IN (SELECT p FROM c8) THEN 8 WHEN substr(h, 1, 12) NOT IN (SELECT p FROM c12) THEN 12 ELSE 16 END) AS short_id FROM h""")
+SQL["nearest_answers"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.z, b.z), 6) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM s)
+SELECT id, rank, other, score FROM k WHERE rank <= 10"""
