@@ -106,8 +106,12 @@ def performance_by_type(log: DataFrame) -> DataFrame:
     rank order with their averages, best strategy, and number of questions (D10). One scan of
     the log; everything after the first aggregate works on at most types x strategies x models
     rows."""
-    t = performance_table(log)
-    return t.groupBy(QTYPE).agg(
+    return folded(performance_table(log))
+
+
+def folded(table: DataFrame) -> DataFrame:
+    """The rows of ``performance_table`` as one row per question type."""
+    return table.groupBy(QTYPE).agg(
         F.sum("questions").alias("type_count"),
         F.collect_list(F.when(F.col("n") > 0, F.struct("model_name", "n", "s", "first_seen"))).alias("_m"),
         F.collect_list(F.when(F.col("questions") > 0, F.struct("strategy", "questions", "conf_sum", "strategy_first_seen"))).alias("_st"),

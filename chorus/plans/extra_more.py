@@ -12,6 +12,7 @@ from chorus.operators import nearest as NN
 from chorus.operators import pairs as PR
 from chorus.operators import prepare as PP
 from chorus.operators import reward as RW
+from chorus.operators import router_store as RS
 from chorus.operators import routing as RT
 from chorus.operators import vectors as VC
 from chorus.plans import ml as ML
@@ -105,6 +106,18 @@ def q_router_perf(spark, sf):
                        F.size("ranked_models").alias("n_models"), F.get("ranked_models", 0)["model_name"].alias("best_model"))
 
 
+@query("refresh_router_perf")
+def q_refresh_router_perf(spark, sf):
+    """K4: the table refreshed after each of two appends to the stored log."""
+    path, store = scratch_path(spark, "router_log"), scratch_path(spark, "router_store")
+    log = log_of(spark, sf)
+    for part in (F.col("seq") % 3 == 0, F.col("seq") % 3 != 0):
+        log.where(part).write.mode("append").parquet(path)
+        RS.refresh(spark, path, store)
+    return RS.performance(spark, store).select("question_type", "best_strategy", "type_count",
+                                               F.size("ranked_models").alias("n_models"), F.get("ranked_models", 0)["model_name"].alias("best_model"))
+
+
 # --- learned scorers (rows-only checks) ----------------------------------------------
 
 @query("quality_regressor")

@@ -97,3 +97,4 @@ s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.z
       FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM s)
 SELECT id, rank, other, score FROM k WHERE rank <= 10"""
+SQL["refresh_router_perf"] = SQL["write_router_perf"]
