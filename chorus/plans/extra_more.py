@@ -16,6 +16,7 @@ from chorus.operators import router_store as RS
 from chorus.operators import routing as RT
 from chorus.operators import vectors as VC
 from chorus.plans import ml as ML
+from chorus.plans import projection as PJ
 from chorus.plans.extra import scratch_path
 from chorus.plans.registry import _loaded, _pairs, log_of, query
 from chorus.sources import io as IO
@@ -217,6 +218,22 @@ def _losses(spark, sf):
     return ML.batch_losses(VC.triples(read_table(spark, sf, "embeddings")))
 
 
+def _trained(spark, sf):
+    return PJ.train(spark, VC.triples(read_table(spark, sf, "embeddings")), scratch_path(spark, "projection"))
+
+
+@query("trained_epoch_means")
+def q_trained_epochs(spark, sf):
+    """A20 over a real training run: mean losses of each epoch of the projection."""
+    return ML.epoch_means(_trained(spark, sf))
+
+
+@query("trained_best_epoch")
+def q_trained_best(spark, sf):
+    """A21 over a real training run."""
+    return ML.best_epoch(ML.epoch_means(_trained(spark, sf)))
+
+
 @query("epoch_means")
 def q_epoch_means(spark, sf):
     return ML.epoch_means(_losses(spark, sf))
