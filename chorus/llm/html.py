@@ -4,12 +4,13 @@
 parts) and implied rows; ``render`` walks it without recursion and writes what a reader would see:
 
 * hidden: head, script, style, template and other unrendered elements, the ``hidden`` attribute, ``display:none``,
-  ``visibility:hidden`` (a visible descendant shows again), closed ``details`` except their summary, options
-  other than the selected one;
+  ``visibility:hidden`` (a visible descendant shows again; other values inherit), ``content-visibility:hidden``, closed ``details``
+  except their summary, options other than the selected one; only style attributes are read, not the page's style sheets;
+* the text of formulas and drawings, ``xmp`` and the value of text inputs are visible;
 * blocks start on a new line; paragraphs, headings, lists and tables are set off by one blank line;
-* list items begin with ``- `` or their number and are indented; quotes begin with ``> ``;
+* list items begin with ``- `` or their number and are indented, to a depth of ``DEEPEST``; quotes begin with ``> ``;
 * table cells are padded to the width of their column (cells beyond ``WIDEST`` characters do not count for
-  the width), rows and columns that span keep their place; ``pre`` keeps its spaces and breaks.
+  the width, columns beyond ``WIDEST_TABLE`` are not aligned), rows and columns that span keep their place; ``pre`` keeps its spaces and breaks.
 
 Defined results: null and empty pages give the empty text; text outside any element counts; unclosed,
 crossed and unknown tags are repaired as above; a tag without its closing ``>`` is text; very long and
@@ -21,21 +22,28 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chorus.llm.textarrays import fresh, quoted
+
 WIDEST = 80
+WIDEST_TABLE = 10_000               # columns beyond this one follow the cell before them, two blanks apart
+DEEPEST = 64                        # nested lists, definitions and quotes beyond this depth are not indented further
 
 # Element classes of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe title meta link base object audio video canvas svg math datalist area param source track".split())
+UNSEEN = frozenset("""head script style template noscript noembed noframes iframe title meta link base object audio video canvas datalist area param source track
+annotation annotation-xml desc metadata defs symbol clippath""".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
-h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption option optgroup""".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr fieldset".split())
+h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption option optgroup xmp""".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre xmp table figure hr fieldset".split())
 CLOSE_P = BLOCKS - frozenset("dd dt li body html caption option optgroup legend summary".split()) | frozenset(["dd", "dt", "li", "summary"])
 TABLE_PARTS = frozenset("caption colgroup thead tbody tfoot tr td th".split())
 HEAD_ONLY = frozenset("title meta link base style script template noscript head html".split())
@@ -52,6 +60,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+
 |<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<odd>[a-zA-Z][^\s/>]*+)(?P<loose>[^>]*+)>""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_NO_TEXT = frozenset("hidden checkbox radio file image range color password".split())     # inputs that show no text of their own
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RAW}
 
 
@@ -155,8 +165,8 @@ def parse(page: str) -> Node:
                 raw = page[at : stop.start()] if stop else page[at:]
                 at = stop.end() if stop else len(page)
                 builder.start(tag, attrs)
-                if tag == "textarea":
-                    builder.text(raw)
+                if tag in ("textarea", "xmp"):
+                    builder.text(raw if tag == "textarea" else raw.replace("&", "&amp;"))
                 builder.end(tag)
             else:
                 builder.start(tag, attrs)
@@ -248,6 +258,8 @@ class Grid:
             if across == 1:
                 width[column] = max([width.get(column, 0), *wide])
         out = list(self.caption)
+        known = sorted(width)
+        upto = list(accumulate((width[c] for c in known), initial=0))
         at = 0
         while at < len(self.cells):
             row = []
@@ -257,7 +269,7 @@ class Grid:
             for k in range(max(len(c[3]) for c in row) if row else 0):
                 text, place = "", 0
                 for _, column, _, lines in row:
-                    start = sum(width.get(c, 0) + 2 for c in range(column)) if column < 1000 else place
+                    start = upto[bisect_left(known, column)] + 2 * column if column <= WIDEST_TABLE else place
                     piece = lines[k] if k < len(lines) else ""
                     if piece:
                         text = text.ljust(start) if len(text) < start else text + "  " if text else text
@@ -274,21 +286,52 @@ def _seen(node: Node, shown: bool) -> tuple[bool, bool]:
     attrs = node.attrs
     if node.tag in UNSEEN or "hidden" in attrs:
         return False, False
-    style = _SPACE.sub("", attrs.get("style", "").lower()) if "style" in attrs else ""
-    if "display:none" in style:
-        return False, False
-    if "visibility:" in style:
-        shown = "visibility:visible" in style
+    if "style" in attrs:
+        style = _declarations(attrs["style"])
+        if style.get("display") == "none":
+            return False, False
+        if style.get("visibility") in ("hidden", "collapse"):
+            shown = False
+        elif style.get("visibility") in ("visible", "initial"):
+            shown = True
+        elif style.get("content-visibility") == "hidden":
+            return False, False
     return True, shown
 
 
+def _declarations(style: str) -> dict[str, str]:
+    """Property names and values of a style attribute, lower-cased; the last of equal names counts, ``!important`` ones before others."""
+    out: dict[str, str] = {}
+    fixed: dict[str, str] = {}
+    for part in _COMMENT.sub("", style).split(";"):
+        name, colon, value = part.partition(":")
+        if colon:
+            value = value.strip().lower()
+            plain = value.removesuffix("important").rstrip()
+            if plain != value and plain.endswith("!"):
+                fixed[name.strip().lower()] = plain[:-1].rstrip()
+            else:
+                out[name.strip().lower()] = value
+    return out | fixed
+
+
 def _number(value: str | None, most: int) -> int:
     m = re.match(r"\s*(\d+)", value or "")
     return max(1, min(int(m[1]), most)) if m else 1
 
 
+def _mark(node: Node, lists: list) -> str:
+    """The mark of a list item; numbered lists go on counting."""
+    if not lists or lists[-1][0] != "ol":
+        return "- "
+    here = _number(node.attrs.get("value"), 10**9) if "value" in node.attrs else lists[-1][1]
+    lists[-1][1] = here + 1
+    return f"{here}. "
+
+
 def render(root: Node) -> str:
     """Lines of the visible text of a tree."""
+    flat: set[int] = set()               # items too deep to be indented
     flows, grids, lists, pre = [Flow()], [], [], 0
     work: list[tuple] = [("in", root, True)]
     while work:
@@ -312,7 +355,7 @@ def render(root: Node) -> str:
                     flows[-1].gap = 1
                 continue
             if tag == "input":
-                if shown and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+                if shown and node.attrs.get("type", "").strip().lower() not in _NO_TEXT:
                     flows[-1].inline(node.attrs.get("value", ""))
                 continue
             if tag in VOID and tag != "hr":
@@ -329,6 +372,11 @@ def render(root: Node) -> str:
                 flows.append(Flow())
             elif tag == "tr" and grids:
                 grids[-1].next_row()
+            elif tag in ("li", "blockquote", "dd") and len(flows) > DEEPEST:
+                flows[-1].block(1 if tag == "blockquote" else 0)
+                flat.add(id(node))
+                if tag == "li":
+                    flows[-1].inline(_mark(node, lists))
             elif tag in ("li", "blockquote", "caption", "dd") or tag in ("td", "th") and grids:
                 flows[-1].block(1 if tag == "blockquote" else 0)
                 flows.append(Flow())
@@ -339,12 +387,12 @@ def render(root: Node) -> str:
                 flows[-1].inline(" ")
             elif tag in BLOCKS:
                 flows[-1].block(1 if tag in SPACED else 0)
-            if tag == "pre":
+            if tag in ("pre", "xmp"):
                 pre += 1
             work.append(("out", node, shown))
             work += [("in" if isinstance(c, Node) else "text", c, shown) for c in reversed(children)]
             continue
-        if tag == "pre":
+        if tag in ("pre", "xmp"):
             pre -= 1
         if tag == "table":
             stray, grid = flows.pop().done(), grids.pop()
@@ -360,13 +408,11 @@ def render(root: Node) -> str:
                 grids[-1].caption += lines
             else:
                 flows[-1].embed(lines, "", "")
+        elif id(node) in flat:
+            flows[-1].block(1 if tag == "blockquote" else 0)
         elif tag == "li":
             lines = flows.pop().done()
-            mark = "- "
-            if lists and lists[-1][0] == "ol":
-                lists[-1][1] = _number(node.attrs.get("value"), 10**9) if "value" in node.attrs else lists[-1][1]
-                mark = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+            mark = _mark(node, lists)
             if lines:
                 flows[-1].embed(lines, mark, " " * len(mark))
         elif tag == "dd":
@@ -389,9 +435,11 @@ def visible_text(page: str | None) -> str:
 
 
 def extracted(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keep`` columns with ``text``, ``n_lines`` and ``n_words`` of every page's visible text."""
-    given = pages.select(*keep, F.col(html).cast("string").alias("page_html"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_words", T.LongType())])
+    """``keep`` columns with ``text``, ``n_lines`` and ``n_words`` of every page's visible text; a name that ``keep`` has as well gets a
+    trailing underscore."""
+    given = pages.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(html)).cast("string").alias("page_html"))
+    own = pages.select(*[F.col(quoted(c)) for c in keep])
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(fresh(own, "text"), T.StringType()), T.StructField(fresh(own, "n_lines"), T.LongType()), T.StructField(fresh(own, "n_words"), T.LongType())])
 
     def run(batches):
         for batch in batches:

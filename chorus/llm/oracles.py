@@ -44,8 +44,8 @@ s AS (SELECT page_id, coalesce(translate(split_part(rest, '/', 1), 'ABCDEFGHIJKL
              coalesce(substr(rest, length(split_part(rest, '/', 1)) + 1), '') AS path FROM c),
 fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
         FROM s JOIN {_RULES} ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN path LIKE '/%'
-       AND regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', ''),
+       '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM s LEFT JOIN fit USING (page_id)"""
 
 _STOP = "['the', 'of', 'and', 'to', 'a', 'in', 'is', 'that', 'for', 'on', 'with', 'as', 'this', 'was', 'it', 'der', 'die', 'das', 'und', 'den', 'von', 'zu', 'mit', 'ist', 'ein', 'eine', 'im', 'nicht', 'des', 'le', 'la', 'les', 'de', 'et', 'un', 'une', 'que', 'dans', 'pour', 'est', 'du', 'en', 'au', 'el', 'los', 'las', 'y', 'por', 'con', 'una', 'para', 'se', 'del']"

@@ -52,11 +52,11 @@ def parts_of(url: Column) -> tuple[Column, Column]:
     return (F.when(has, lowered(host)).otherwise(""), F.when(has, rest.substr(F.length(host) + 1, F.length(rest) + 1)).otherwise(""))
 
 
-def canonical(url: Column) -> Column:
-    """The key under which a listed URL is stored: host and path, without scheme, query and fragment;
-    a missing path is ``/``."""
-    host, path = parts_of(url)
-    return F.concat(host, F.when(path == "", "/").otherwise(path))
+def canonical(host: Column, path: Column) -> tuple[Column, Column]:
+    """The host and path under which a site is listed and looked up: without user, port and the host's closing dots; a missing
+    path is ``/``."""
+    bare = F.regexp_replace(F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", ""), r"\.+$", "")
+    return bare, F.when(path == "", "/").otherwise(path)
 
 
 def list_of(spark: SparkSession, entries: list[tuple[str, str, str]]) -> DataFrame:
@@ -118,25 +118,29 @@ def longest_fits(urls: DataFrame, entries: DataFrame) -> DataFrame:
     return exact.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.verdict")
 
 
+def fitted(df: DataFrame, entries: DataFrame, host: str, path: str, names: tuple[str, str]) -> DataFrame:
+    """``df`` with rule and verdict of the longest entry that fits its host and path columns, under ``names``."""
+    urls = df.select(F.col(quoted(host)).alias("host"), F.col(quoted(path)).alias("path")).distinct()
+    fits = longest_fits(urls, entries).select(*[F.col(c).alias(f"fit_{c}") for c in ("host", "path", "rule", "verdict")])
+    out = df.join(fits, (F.col(quoted(host)) == F.col("fit_host")) & (F.col(quoted(path)) == F.col("fit_path")), "left")
+    return out.select(*[F.col(quoted(c)) for c in df.columns], F.col("fit_rule").alias(names[0]), F.col("fit_verdict").alias(names[1]))
+
+
 def screened(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` (null where no entry fits); a name that
     clashes gets a trailing underscore."""
     names = [fresh(pages, n) for n in ("host", "path", "rule", "verdict")]
     host, path = parts_of(F.col(quoted(url)))
-    own = pages.withColumn(names[0], host).withColumn(names[1], path)
-    urls = own.select(F.col(quoted(names[0])).alias("host"), F.col(quoted(names[1])).alias("path")).distinct()
-    fits = longest_fits(urls, entries).select(*[F.col(c).alias(f"fit_{c}") for c in ("host", "path", "rule", "verdict")])
-    out = own.join(fits, (F.col(quoted(names[0])) == F.col("fit_host")) & (F.col(quoted(names[1])) == F.col("fit_path")), "left")
-    return out.select(*[F.col(quoted(c)) for c in own.columns], F.col("fit_rule").alias(names[2]), F.col("fit_verdict").alias(names[3]))
+    return fitted(pages.withColumn(names[0], host).withColumn(names[1], path), entries, names[0], names[1], (names[2], names[3]))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, listed: list[tuple[str, str]] = LISTED) -> DataFrame:
     """Per page: ``page_id``, ``host``, ``path``, ``rule`` and ``verdict``: the longest rule's, else block for
-    a listed site, else allow. Rules and list go through one filter; a rule always comes before a listed site."""
+    a listed site, else allow. Rules meet the URL as it is written; the list, which is in canonical form, meets its canonical form.
+    Each goes through a filter of its own, and a rule always comes before a listed site."""
     spark = pages.sparkSession
-    narrow = pages.select("page_id", F.col("url").cast("string"))
-    by_rule = screened(narrow, list_of(spark, rules))
-    by_list = screened(by_rule.select("page_id", "url", *[F.col(c).alias(f"rule_{c}") for c in ("host", "path", "rule", "verdict")]),
-                       list_of(spark, [("block", h, p) for h, p in listed]))
-    return by_list.select("page_id", "host", "path", F.col("rule_rule").alias("rule"),
-                          F.coalesce("rule_verdict", "verdict", F.lit("allow")).alias("verdict"))
+    by_rule = screened(pages.select("page_id", F.col("url").cast("string")), list_of(spark, rules))
+    host, path = canonical(F.col("host"), F.col("path"))
+    sites = by_rule.withColumn("site_host", host).withColumn("site_path", path)
+    by_list = fitted(sites, list_of(spark, [("block", h, p) for h, p in listed]), "site_host", "site_path", ("site_rule", "site_verdict"))
+    return by_list.select("page_id", "host", "path", "rule", F.coalesce("verdict", "site_verdict", F.lit("allow")).alias("verdict"))

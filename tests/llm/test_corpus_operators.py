@@ -343,7 +343,8 @@ def test_url_rules_match_brute_force(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         if fits:
             return host, path, max(fits)[1], max(fits)[2]
-        listed = any((host == h or host.endswith("." + h)) and path.startswith(p) for h, p in urlfilter.LISTED)
+        site = re.sub(r"\.+$", "", re.sub(r":[0-9]*$", "", host.rpartition("@")[2]))      # the list meets the canonical form
+        listed = any((site == h or site.endswith("." + h)) and (path or "/").startswith(p) for h, p in urlfilter.LISTED)
         return host, path, None, "block" if listed else "allow"
 
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls + urls)], "page_id long, url string, host string")
