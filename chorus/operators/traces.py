@@ -8,37 +8,6 @@ from pyspark.sql import functions as F
 
 from chorus.functions import text as TX
 
-STAGES = ["decompose", "reason", "critique", "verify", "refine"]
-STEPS_TYPE = ("array<struct<step_no:int,stage:string,output_text:string,confidence:double,"
-              "issues_found:array<string>>>")
-
-# Stand-in critique and verification texts, chosen by seq % 6 and seq % 4 (input shape only).
-CRITIQUE_TEXTS = [
-    "Issue (critical): the second step divides by zero.\nConfidence: 35",
-    "Major issue: units are missing.\r\nMinor: wording could be tighter.",
-    "No major issues found.\nThe answer is sound.",
-    "Confidence 40 because the sources are thin.",
-    "Looks right to me.\nconfidence: 90",
-    "Confidence: 60\nAfter checking again, confidence: 75\nNo significant issues remain.",
-]
-VERIFY_TEXTS = [
-    "Verified against the question. Confidence: 92",
-    "Confidence 70\nRemaining concern: none\nFinal confidence: 88",
-    "Nothing to add.",
-    "Confidence: 120 (very sure)",
-]
-
-
-def _pick(seq, texts):
-    k = (seq % len(texts)).cast("int")
-    return F.element_at(F.array(*[F.lit(t) for t in texts]), k + 1)
-
-
-def standin_texts(log: DataFrame, *keep: str) -> DataFrame:
-    """Critique and verification texts per logged question (plus the ``keep`` columns)."""
-    return log.select("seq", *keep, _pick(F.col("seq"), CRITIQUE_TEXTS).alias("critique"),
-                      _pick(F.col("seq"), VERIFY_TEXTS).alias("verification"))
-
 
 def parsed(texts: DataFrame) -> DataFrame:
     """F16 + F17 + F18 on critique and verification texts."""
@@ -49,43 +18,37 @@ def parsed(texts: DataFrame) -> DataFrame:
         "needs_refinement", TX.needs_refinement(F.col("verification_confidence"), F.col("issues")))
 
 
-def standin_steps(log: DataFrame) -> DataFrame:
-    """Trace steps per question (D17 rows): decompose, reason, critique, verify, then seq % 3
-    refinements, each but the last followed by a new critique and verification."""
-    p = parsed(standin_texts(log, "query", "final_answer"))
-    n_ref = (F.col("seq") % 3).cast("int")
+def conversation_steps(turns: DataFrame) -> DataFrame:
+    """Trace steps (D17 rows) of reviewed turns: ``conv_id``, ``turn``, ``role``, ``text``, ``critique``, ``verification``.
 
-    def step(no, stage, out, conf, issues=None):
-        return F.struct(no.cast("int").alias("step_no"), F.lit(stage).alias("stage"), out.alias("output_text"),
-                        conf.cast("double").alias("confidence"),
-                        (issues if issues is not None else F.array().cast("array<string>")).alias("issues_found"))
-
-    base = F.array(
-        step(F.lit(1), "decompose", F.concat(F.lit("Plan for: "), F.col("query")), F.lit(None)),
-        step(F.lit(2), "reason", F.col("final_answer"), F.lit(None)),
-        step(F.lit(3), "critique", F.col("critique"), F.col("critique_confidence"), F.col("issues")),
-        step(F.lit(4), "verify", F.col("verification"), F.col("verification_confidence")),
-    )
-    # refinement i (0-based) is step 5 + 3i; after it, unless it is the last, a critique and a
-    # verification whose confidence drops by 0.05 per round
-    extra = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n_ref - 1, F.lit(0))), lambda i: F.when(
-        i < n_ref,
-        F.when(i < n_ref - 1, F.array(
-            step(5 + 3 * i, "refine", F.format_string("Refined answer %d", i + 1), F.lit(None)),
-            step(6 + 3 * i, "critique", F.col("critique"), F.col("critique_confidence"), F.col("issues")),
-            step(7 + 3 * i, "verify", F.col("verification"), F.col("verification_confidence") - 0.05 * (i + 1)),
-        )).otherwise(F.array(step(5 + 3 * i, "refine", F.format_string("Refined answer %d", i + 1), F.lit(None))))
-    ).otherwise(F.array().cast(STEPS_TYPE))))
-    steps = p.select(F.col("seq").alias("query_id"), F.explode(F.concat(base, extra)).alias("s"))
-    return steps.select("query_id", "s.*")
+    A conversation is a trace. Its opening turns decompose the question, an assistant's turn reasons, or refines after
+    turn 2, and is verified; later user turns are critiques. Step 2 * turn is the turn itself, the odd one its verification."""
+    p = parsed(turns)
+    late, no = F.col("turn") > 2, (2 * F.col("turn")).cast("int")
+    answers = F.col("role") == "assistant"
+    criticised = late & (F.col("role") == "user")
+    none = F.array().cast("array<string>")
+    stage = F.when(answers, F.when(late, "refine").otherwise("reason")).when(criticised, "critique").otherwise("decompose")
+    own = p.select(F.col("conv_id").alias("query_id"), no.alias("step_no"), stage.alias("stage"),
+                   F.when(criticised, F.col("critique")).otherwise(F.col("text")).alias("output_text"),
+                   F.when(criticised, F.col("critique_confidence")).alias("confidence"),
+                   F.when(criticised, F.col("issues")).otherwise(none).alias("issues_found"))
+    checks = p.filter(answers).select(F.col("conv_id").alias("query_id"), (no + 1).alias("step_no"), F.lit("verify").alias("stage"),
+                                      F.col("verification").alias("output_text"), F.col("verification_confidence").alias("confidence"),
+                                      none.alias("issues_found"))
+    return own.unionByName(checks)
 
 
 def trace_rollup(steps: DataFrame) -> DataFrame:
     """T-8: per question, the last answer (latest reason or refine step), the confidence of the
-    latest verification, and the number of refinements."""
-    ans = F.max(F.when(F.col("stage").isin("reason", "refine"), F.struct("step_no", "output_text")))
-    ver = F.max(F.when(F.col("stage") == "verify", F.struct("step_no", "confidence")))
-    g = steps.groupBy("query_id").agg(ans.alias("_a"), ver.alias("_v"),
+    latest verification, and the number of refinements. Step numbers are unique in a trace.
+
+    Latest steps are maxima of numbers in a hash aggregate; the one answer a question needs is
+    fetched by its step afterwards, so texts are neither sorted nor aggregated."""
+    answers, checks = F.col("stage").isin("reason", "refine"), F.col("stage") == "verify"
+    g = steps.groupBy("query_id").agg(F.max(F.when(answers, F.col("step_no"))).alias("_answer"), F.max(F.when(checks, F.col("step_no"))).alias("_check"),
                                       F.count_if(F.col("stage") == "refine").alias("num_refinements"))
-    return g.select("query_id", F.col("_a.output_text").alias("final_answer"),
-                    F.col("_v.confidence").alias("overall_confidence"), "num_refinements")
+    texts = steps.filter(answers).select("query_id", F.col("step_no").alias("_answer"), F.col("output_text").alias("final_answer"))
+    sure = steps.filter(checks).select("query_id", F.col("step_no").alias("_check"), F.col("confidence").alias("overall_confidence"))
+    return g.join(texts, ["query_id", "_answer"], "left").join(sure, ["query_id", "_check"], "left").select(
+        "query_id", "final_answer", "overall_confidence", "num_refinements")

@@ -109,28 +109,28 @@ def q_normalize(spark, sf):
 # --- critique, verification, traces ------------------------------------------------------------------
 
 def _parsed(spark, sf):
-    return TR.parsed(TR.standin_texts(log_of(spark, sf)))
+    return TR.parsed(FX.reviewed_turns(spark, sf))
 
 
 @query("parse_critique")
 def q_parse_critique(spark, sf):
     p = _parsed(spark, sf)
-    return p.select("seq", "critique_confidence", F.size("issues").alias("n_issues"), F.array_join("issues", "|").alias("issues"))
+    return p.select("conv_id", "turn", "critique_confidence", F.size("issues").alias("n_issues"), F.array_join("issues", "|").alias("issues"))
 
 
 @query("parse_verification")
 def q_parse_verification(spark, sf):
-    return _parsed(spark, sf).select("seq", "verification_confidence")
+    return _parsed(spark, sf).select("conv_id", "turn", "verification_confidence")
 
 
 @query("needs_refinement")
 def q_needs_refinement(spark, sf):
-    return _parsed(spark, sf).select("seq", "needs_refinement")
+    return _parsed(spark, sf).select("conv_id", "turn", "needs_refinement")
 
 
 @query("trace_rollup")
 def q_trace_rollup(spark, sf):
-    return TR.trace_rollup(TR.standin_steps(log_of(spark, sf)))
+    return TR.trace_rollup(TR.conversation_steps(FX.reviewed_turns(spark, sf)))
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------

@@ -160,3 +160,16 @@ def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw ensemble log (D7 + seq): stand-in answers scored, ranked and recorded by the library."""
     return scoring.to_raw_record(scoring.score_entries(raw_entries(spark, sf_dir)))
+
+
+def reviewed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn with a critique and a verification (FIXTURES ``rv``): its whole text,
+    followed by lines that its length decides."""
+    t = F.coalesce("text", F.lit(""))
+    n = F.length(t)
+    sure = lambda every, lead, top: F.when(every, F.concat(F.lit("\n" + lead), (n % top).cast("string")))
+    return read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text",
+        F.concat_ws("", t, F.when(n % 3 == 0, F.concat(F.lit("\n  Major gap after: "), F.substring_index(t, "\n", 1))),
+                    sure(n % 5 < 3, "Confidence: ", 131), F.when(n % 7 == 0, F.lit("\nNo major issues found."))).alias("critique"),
+        F.concat_ws("", t, sure(n % 5 < 3, "Confidence ", 121), sure(n % 4 == 0, "Final confidence: ", 97)).alias("verification"))

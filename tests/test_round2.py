@@ -17,6 +17,7 @@ from chorus.session import ensure_checkpoint_dir
 from chorus.sources import fixtures as FX
 from chorus.sources import io as IO
 from tests.conftest import SF_SMALL, entry, resp
+from tests.standin import standin_generate
 
 TRIPLE = "triple long, z_pred array<double>, z_target array<double>, z_negative array<double>"
 
@@ -27,7 +28,7 @@ def test_debate_keeps_the_original_answers_latency(spark):
     shape = ("question_id long, query string, strategy string, responses array<struct<model_id string, model_name string, provider string,"
              " content string, reasoning_trace string, latency_ms double, error string>>")
     q = spark.createDataFrame([(1, "q", "debate", answers), (2, "q", "best_of_n", answers)], shape)
-    rec = {r.seq: r for r in DP.synthesize(q, DP.standin_generate, {"model_id": "m0", "provider": "p"}, debate=1).collect()}
+    rec = {r.seq: r for r in DP.synthesize(q, standin_generate, {"model_id": "m0", "provider": "p"}, debate=1).collect()}
     assert rec[1].total_latency_ms >= 3000 and rec[2].total_latency_ms >= 3000
     assert rec[1].responses[0].content != rec[2].responses[0].content
 
