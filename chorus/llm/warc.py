@@ -5,7 +5,9 @@
 keep the HTTP header and name the response they refer to. ``read_archives`` parses the files again.
 ``build_index`` sorts the captures by reversed-host URL key into compressed blocks, with a sparse
 directory of the blocks' first keys; ``lookup`` finds the block of every key by binary search in the
-directory and reads those blocks only (a few are pushed into the scan as a filter); ``read_records`` then reads the records' byte ranges.
+directory and reads those blocks only (a few are pushed into the scan as a filter); ``records_at`` then seeks into the
+archives and reads the found records' byte ranges, neighbours in one read. The query takes digests and lengths from what these
+range reads return; the pass that finds the records' places for the index hashes nothing.
 
 Files are plain WARC: Spark's text writer stores each record as one line whose line break is the last
 byte of the record's closing CR LF CR LF. So any file system that Spark reaches will do, and Spark's commit
@@ -21,7 +23,8 @@ rows of a digest are counted with partial sums, so a hot payload is no single ta
 of records in a file follows their size (``FILES``), so that a file, which one task parses whole, stays below
 about 130 MB, or holds one larger record. Index blocks are sorted by ranges of keys with equal keys split by
 page, and the directory has one row per ``BLOCK`` captures; it is broadcast to a search only below a
-measured size, otherwise joined by key ranges of its partitions.
+measured size, otherwise joined by key ranges of its partitions. Range reads are dealt by file and ``STRETCH`` of it, so
+neither a file nor a record that many entries name is gathered; a read holds at most ``READ`` bytes or one record.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ import bisect
 import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +50,9 @@ LEAST = 1000
 FILES = ((64 << 10, 2000), (2 << 20, 64), (None, 1))
 BLOCK = 2000
 DIRECTORY_BYTES = 64 << 20
+STRETCH = 32 << 20                  # bytes of a file whose wanted records are one group
+READ = 4 << 20                      # bytes that one read takes from neighbouring records
+GAP = 64 << 10                      # bytes between two records that are read over
 FEW = 200                           # up to so many blocks are named in the scan's filter
 DATE = "2026-01-01T00:00:00Z"       # one crawl time for all records of an archive
 
@@ -133,11 +142,21 @@ def _page(name: str | None) -> int | None:
     return int(number[1]) if number else None
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def facts(head: dict[str, str], http: dict[str, str], payload: memoryview, hashed: bool) -> tuple[str, int, str, bool]:
+    """(type, payload length, payload digest, sound) of a record. A revisit has length and digest from its headers, a
+    response from its payload if ``hashed``; ``sound`` says whether those agree with the headers."""
+    kind, said, length = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
+    if kind != "response":
+        return kind, length, said, True
+    digest = hashlib.sha1(payload).hexdigest() if hashed else said
+    return kind, len(payload), digest, digest == said and len(payload) == length
+
+
+def read_archives(spark: SparkSession, path: str, hashed: bool = True) -> DataFrame:
     """One row per record: names, type, payload length and digest, file and byte range.
 
-    A response's digest and length are taken from its payload; ``sound`` says whether they agree with
-    the header. A revisit has them from its headers."""
+    A response's digest is taken from its payload, or from its header where not ``hashed``; ``sound``
+    says whether payload and headers agree."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
     def run(batches):
@@ -146,10 +165,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 data, name, rows, at = content.as_buffer().to_pybytes(), file.as_py(), [], 0
                 while at < len(data):
                     head, http, payload, end = parse(data, at)
-                    kind, said = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                    size, sha = (len(payload), hashlib.sha1(payload).hexdigest()) if kind == "response" else (int(http["content-length"]), said)
+                    kind, size, sha, sound = facts(head, http, payload, hashed)
                     rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), kind, size, sha, _page(head.get("warc-refers-to")),
-                                 sha == said and size == int(http["content-length"]), name, at, end - at))
+                                 sound, name, at, end - at))
                     at = end
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (
@@ -281,35 +299,92 @@ def _type(name: str) -> T.DataType:
     return next(f.dataType for f in CAPTURE.fields if f.name == name)
 
 
-def read_records(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    """(page_id, payload) of index entries, from their byte ranges; a revisit has an empty payload.
+def archive_file(uri: str) -> pa.NativeFile:
+    """An archive file opened for reads at any offset, by the file system that its URI, as Spark gives it, names."""
+    system, path = pyarrow.fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", uri), safe=":/@[]"))
+    return system.open_input_file(path)
+
+
+def neighbours(rows: list[tuple], most: int | None = None, gap: int | None = None) -> Iterator[list[tuple]]:
+    """Rows (file, offset, length, ...), ordered by file and offset, in runs that one read serves."""
+    most, gap = READ if most is None else most, GAP if gap is None else gap
+    run, end = [], 0
+    for row in rows:
+        file, offset, length = row[:3]
+        if run and (file != run[0][0] or offset > end + gap or max(end, offset + length) - run[0][1] > most):
+            yield run
+            run = []
+        end = max(end, offset + length) if run else offset + length
+        run.append(row)
+    if run:
+        yield run
 
-    Only the files that the entries name are read."""
-    ranges = entries.select("page_id", "file", "offset", "length")
-    names = [r.file for r in ranges.select("file").distinct().limit(10_001).collect()]
-    if not names:
-        return spark.createDataFrame([], "page_id long, payload binary")
-    if len(names) > 10_000:
-        raise ValueError("read_records serves lookups; for whole archives use read_archives")
-    content = spark.read.format("binaryFile").load(names).select(F.col("path").alias("file"), "content")
-    joined = ranges.join(content, "file").select("page_id", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("raw"))
+
+def records_at(entries: DataFrame, keep: list[str], fields: list[T.StructField], of: Callable[[dict, dict, memoryview], tuple],
+               open_file: Callable[[str], pa.NativeFile] = archive_file) -> DataFrame:
+    """Columns ``keep`` of index entries with ``fields``, the values that ``of`` (record header, HTTP header, payload)
+    gives for the record at each entry's ``file``, ``offset`` and ``length``.
+
+    Tasks seek into the files that the entries name; entries that repeat a place are each answered. ``open_file`` serves file
+    systems beyond those of Arrow."""
+    shape = T.StructType([*[entries.schema[c] for c in keep], *fields])
+    place = ["file", "offset", "length"]
+    wanted = entries.select(*[F.col(c).alias(f"place_{c}") for c in place], *keep)
+    dealt = wanted.repartition("place_file", F.floor(F.col("place_offset") / F.lit(STRETCH)).cast("long")).sortWithinPartitions("place_file", "place_offset")
 
     def run(batches):
-        for batch in batches:
-            payloads = [bytes(parse(x.as_py(), 0)[2]) for x in batch.column("raw")]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(payloads, pa.binary())], ["page_id", "payload"])
+        name, file = None, None
+        try:
+            for batch in batches:
+                given = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+                for near in neighbours(list(zip(*given, strict=True))):
+                    if near[0][0] != name:
+                        if file is not None:
+                            file.close()
+                        name, file = near[0][0], open_file(near[0][0])
+                    begin = near[0][1]
+                    data = file.read_at(max(r[1] + r[2] for r in near) - begin, begin)
+                    out = [(*row[3:], *of(*parse(data, row[1] - begin)[:3])) for row in near]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], shape.names)
+        finally:
+            if file is not None:
+                file.close()
+
+    arrow = [_ARROW[type(f.dataType)] for f in shape.fields]
+    return dealt.mapInArrow(run, shape)
+
+
+_ARROW = {T.LongType: pa.int64(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
+
+
+def read_records(entries: DataFrame) -> DataFrame:
+    """(page_id, payload) of index entries, from their byte ranges; a revisit has an empty payload."""
+    return records_at(entries, ["page_id"], [T.StructField("payload", T.BinaryType())], lambda head, http, payload: (bytes(payload),))
+
+
+def checked(entries: DataFrame) -> DataFrame:
+    """Index entries as their records show them, read by byte range: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``,
+    ``refers_to`` and ``sound``, which says whether digest, length and names agree in payload, headers and index."""
+    own = entries.select("file", "offset", "length", *[F.col(c).alias(f"said_{c}") for c in ("page_id", "record_type", "refers_to")])
+    fields = [T.StructField(n, _type(n)) for n in ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "sound")]
+
+    def of(head: dict, http: dict, payload: memoryview) -> tuple:
+        kind, size, sha, sound = facts(head, http, payload, True)
+        return _page(head["warc-record-id"]), kind, size, sha, _page(head.get("warc-refers-to")), sound
 
-    return joined.mapInArrow(run, "page_id long, payload binary")
+    read = records_at(own, ["said_page_id", "said_record_type", "said_refers_to"], fields, of)
+    agree = [F.col(c).eqNullSafe(F.col(f"said_{c}")) for c in ("page_id", "record_type", "refers_to")]
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("sound") & agree[0] & agree[1] & agree[2]).alias("sound"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages, read the archives back, index the captures and look every page up in the index:
+    """Write all pages, index the archives' records, look every page up in the index and read its record by its byte range:
     ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``sound``."""
     spark = pages.sparkSession
     own = pages.select("page_id", "url", "html")
-    captures = stored(read_archives(spark, write_archives(own)), "captures")
+    captures = stored(read_archives(spark, write_archives(own), hashed=False), "captures")
     blocks, directory = build_index(captures)
     clean = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "")
     keys = own.select(sort_key(url_key(clean), F.col("page_id")).alias("key"))
-    return lookup(keys, blocks, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+    return checked(lookup(keys, blocks, directory))
 
