@@ -12,8 +12,9 @@ documents are judged one by one; very long texts are read whole; extra columns t
 columns whose names clash get a trailing underscore from ``scan``.
 
 Scale: documents are never shuffled, and read once per pass. Items are taken in blocks of about
-``block_bytes`` of text (usually one), each block an automaton packed into sorted arrays and broadcast; a
-pass holds at most ``MACHINES`` of them, so what a task holds is bounded whatever the number of items. A
+``block_bytes`` of text (usually one); rows that repeat an item go first, then executors build each block's automaton,
+packed into sorted arrays, into a table in the shared folder. A pass loads at most ``MACHINES`` of them from there and
+broadcasts them, so what the driver and a task hold is bounded whatever the number of items. A
 document's hits are united over the blocks inside its task, and over passes by array expressions on
 the spans; between passes the documents go through the shared folder. Before the automaton runs, array
 operations discard runs of words whose neighbouring pairs occur in no item: no window can lie across
@@ -22,11 +23,13 @@ such a pair, and the longest match at a word inside a run cannot begin before it
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -211,24 +214,38 @@ def _item_words(text: str | None) -> np.ndarray:
     return Words(data, np.array([0, len(data)]), ALNUM).hashes
 
 
-def automata(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Automaton]:
-    """One automaton per block of items; a block holds about ``block_bytes`` of text.
+class Machines:
+    """Automata of all items, stored by ``block``; iterating gives, pass by pass, at most ``each`` of them as broadcasts."""
 
-    Blocks are drawn from a hash of the item, so the driver holds one block at a time whatever the
-    number of items."""
+    def __init__(self, table: DataFrame | None, blocks: int, each: int):
+        self.table, self.blocks, self.each = table, blocks, each
+
+    def __len__(self) -> int:
+        return max(1, -(-self.blocks // self.each))
+
+    def __iter__(self) -> Iterator[list[Broadcast]]:
+        for first in range(0, max(1, self.blocks), self.each):
+            own = [] if self.table is None else self.table.where(F.col("block").between(first, first + self.each - 1)).orderBy("block").collect()
+            yield [self.table.sparkSession.sparkContext.broadcast(pickle.loads(r.state)) for r in own]
+
+
+def passes(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int = BLOCK_BYTES, machines: int = MACHINES) -> Machines:
+    """Automata of the items, one per block of about ``block_bytes`` of text, at most ``machines`` for each pass
+    over the documents. Blocks are drawn from a hash of the item; tasks build them, one block at a time."""
     row = items.select(F.col(quoted(item_id)).cast("string").alias("name"), F.col(quoted(text)).cast("string").alias("words"))
+    row = stored(row.where("words is not null").distinct(), "items")
     total = row.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes)
-    for b in range(blocks):
-        part = row.where(F.pmod(F.xxhash64("name", "words"), F.lit(blocks)) == b)
-        held = sorted(((r.name, r.words) for r in part.where("words is not null").collect()), key=lambda r: (r[0] or "", r[1]))
-        yield Automaton([(name, w) for name, t in held if len(w := _item_words(t))], width)
+    if not blocks:
+        return Machines(None, 0, machines)
 
+    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        held = sorted(zip(part["name"], part["words"], strict=True), key=lambda r: (r[0] or "", r[1]))
+        machine = Automaton([(name, w) for name, t in held if len(w := _item_words(t))], width)
+        return pd.DataFrame({"block": [key[0]], "state": [pickle.dumps(vars(machine), protocol=5)]})
 
-def passes(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int = BLOCK_BYTES, machines: int = MACHINES) -> list[list[Broadcast]]:
-    """Broadcast automata of all items, at most ``machines`` for each pass over the documents."""
-    sent = [items.sparkSession.sparkContext.broadcast(vars(a)) for a in automata(items, item_id, text, width, block_bytes)]
-    return [sent[k : k + machines] for k in range(0, len(sent), machines)] or [[]]
+    dealt = row.withColumn("block", F.pmod(F.xxhash64("name", "words"), F.lit(blocks)))
+    return Machines(stored(dealt.groupBy("block").applyInPandas(build, "block long, state binary"), "automata"), blocks, machines)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
@@ -275,7 +292,7 @@ def _united(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
 
-def found_in(docs: DataFrame, text: str, sent: list[list[Broadcast]], keep: list[str]) -> tuple[DataFrame, list[str]]:
+def found_in(docs: DataFrame, text: str, sent: Machines, keep: list[str]) -> tuple[DataFrame, list[str]]:
     """Columns ``keep`` of ``docs`` with those of ``FOUND``, and the names that these got."""
     shape = docs.select(*[F.col(quoted(c)) for c in keep])
     names = [fresh(shape, n) for n, _ in FOUND]
@@ -305,7 +322,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     return found_in(docs, text, sent, docs.columns if keep is None else keep)[0]
 
 
-def without_passages(docs: DataFrame, text: str, sent: list[list[Broadcast]]) -> DataFrame:
+def without_passages(docs: DataFrame, text: str, sent: Machines) -> DataFrame:
     """``docs`` with all hit passages cut out of the text (see ``cut_text``); with several passes, the
     cycle of passes is repeated until no text has a hit, as a cut can make a window of another pass."""
     clean = fresh(docs, "clean")
