@@ -19,10 +19,11 @@ ancestors of each distinct directory with the licensed directories.
 
 Defined results: null and empty texts have no passage; a null path lies in no directory; files at the root
 inherit from the root; ties go to the first template; equal files are scored alike and repeated rows
-stay repeated; an empty table gives an empty result; very long texts are read whole.
+stay repeated; an empty table gives an empty result; very long texts are read whole; other columns travel along, and a
+new column (``own_license``, ``own_score``, ``license``, ``inherited_from``) whose name the files have already gets trailing underscores.
 
 Scale: two passes over the texts (frequencies, scores), both without moving text; windows cost a few running sums per
-template, and counts only where those sums allow a cosine of ``LEAST``; what is shuffled are
+template, and counts only where those sums allow a cosine of ``LEAST``; lines meet the templates in slices; what is shuffled are
 per-task sums over the fixed vocabulary, distinct directories and one narrow row per file. Hot directories
 are one row on the joined side.
 """
@@ -38,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chorus.llm.shared import stored
-from chorus.llm.textarrays import ALNUM, Words, chunks_of, map_texts
+from chorus.llm.textarrays import ALNUM, Words, chunks_of, fresh, map_texts, quoted
 
 LEAST = 0.75
 STEPS = 16                          # windows begin at so many places per length of their template
 DOUBLE = 0.02
+PAIRS = 1 << 15                     # distinct words of lines that meet all templates at a time
 SLICE = 1 << 18                     # words of windows that are counted at a time
 
 _GNU = ("{0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the "
@@ -161,6 +163,30 @@ def window_hits(term: np.ndarray, first: np.ndarray, weight: np.ndarray, rare: f
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+def best_templates(term: np.ndarray, unit: np.ndarray, n: int, weight: np.ndarray, rare: float, matrix: np.ndarray, worth: np.ndarray, least: float):
+    """(template, cosine) of the best template of each of ``n`` passages; ``term`` has the term of each word or -1, ``unit`` its passage.
+
+    Passages are compared in slices of about ``PAIRS`` distinct words or passages, so a long text of short lines needs no
+    row of all templates for each of its lines at once."""
+    size, known = len(weight), term >= 0
+    pair, count = np.unique(unit[known] * size + term[known], return_counts=True)
+    of, t = pair // size, pair % size
+    value = count * weight[t]
+    square = np.bincount(of, value**2, n) + np.bincount(unit[~known], minlength=n) * rare**2
+    top, high = np.zeros(n, int), np.zeros(n)
+    cuts = np.unique(np.concatenate((of[::PAIRS], np.arange(0, n, PAIRS), [n])))
+    places = np.searchsorted(of, cuts)
+    for a, b, lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), places[:-1].tolist(), places[1:].tolist(), strict=True):
+        cosine = np.zeros((b - a, matrix.shape[1]))
+        head = np.flatnonzero(np.diff(of[lo:hi], prepend=-1))
+        if hi > lo:
+            cosine[of[lo:hi][head] - a] = np.add.reduceat(value[lo:hi, None] * matrix[t[lo:hi]], head, axis=0)
+        cosine /= np.sqrt(np.maximum(square[a:b], 1e-30))[:, None]
+        top[a:b] = np.where(cosine >= least, cosine + worth, cosine - 1).round(9).argmax(1)
+        high[a:b] = cosine[np.arange(b - a), top[a:b]]
+    return top, high
+
+
 def frequencies(files: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """(passages, passages with each term) over all texts; tasks send one row per term."""
     size = len(terms)
@@ -184,11 +210,17 @@ def frequencies(files: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     return int(out[size]), out[:size]
 
 
+def own_names(files: DataFrame) -> tuple[str, str]:
+    """Names of the columns that ``scored`` adds to ``files``."""
+    return fresh(files, "own_license"), fresh(files, "own_score")
+
+
 def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """``files`` (with path, text and any more) without the text, plus ``own_license`` and ``own_score``."""
+    """``files`` (with path, text and any more) without the text, plus ``own_license`` and ``own_score`` (see ``own_names``)."""
     terms = vocabulary(templates)
-    named = files.withColumn("whole", F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False)))
-    total, held = frequencies(named, terms)
+    flag, (licence, score) = fresh(files, "whole"), own_names(files)
+    named = files.withColumn(flag, F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False)))
+    total, held = frequencies(named.select(F.col(flag).alias("whole"), F.col("text").cast("string").alias("text")), terms)
     weight = np.log((1 + total) / (1 + held)) + 1
     rare = float(np.log(1 + total) + 1)
     ids = [np.searchsorted(terms, _words(t)) for _, t in templates]
@@ -198,10 +230,10 @@ def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     worth = DOUBLE * np.log2(lengths)
     marks = np.unique(_words("dnl rem"))
     names = [n for n, _ in templates]
-    keep = [c for c in named.columns if c not in ("text", "whole")]
+    keep = [c for c in named.columns if c not in ("text", flag)]
     # the flag travels as the first byte of the text, so that a chunk has both
-    joined = named.withColumn("text", F.concat(F.when(F.col("whole"), "1").otherwise("0"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    fields = [T.StructField("own_license", T.StringType()), T.StructField("own_score", T.DoubleType())]
+    joined = named.withColumn("text", F.concat(F.when(F.col(flag), "1").otherwise("0"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    fields = [T.StructField(licence, T.StringType()), T.StructField(score, T.DoubleType())]
 
     def work(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         n = len(offs) - 1
@@ -211,18 +243,7 @@ def scored(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
         term, unit, owner = passages(body, offs, whole, terms)
         best, place = np.zeros(n), np.full(n, -1)
         if len(term):
-            known = term >= 0
-            pair, count = np.unique(unit[known] * len(terms) + term[known], return_counts=True)
-            of, t = pair // len(terms), pair % len(terms)
-            value = count * weight[t]
-            square = np.bincount(of, value**2, len(owner)) + np.bincount(unit[~known], minlength=len(owner)) * rare**2
-            cosine = np.zeros((len(owner), matrix.shape[1]))
-            head = np.flatnonzero(np.diff(of, prepend=-1))
-            if len(of):
-                cosine[of[head]] = np.add.reduceat(value[:, None] * matrix[t], head, axis=0)
-            cosine /= np.sqrt(np.maximum(square, 1e-30))[:, None]
-            top = np.where(cosine >= least, cosine + worth, cosine - 1).round(9).argmax(1)
-            high = cosine[np.arange(len(owner)), top]
+            top, high = best_templates(term, unit, len(owner), weight, rare, matrix, worth, least)
             words = Words(body, offs, ALNUM)
             line = np.concatenate(([0], np.cumsum(body == 10)))[words.starts] + words.text_of_word()
             code = ~(np.isin(words.hashes, marks) & (np.diff(line, prepend=-1) > 0))
@@ -244,21 +265,22 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def inherited(files: DataFrame) -> DataFrame:
-    """``files`` (path, own_license, own_score and more) plus ``license`` and ``inherited_from``."""
-    held = files.withColumn("in_folder", folder_of(F.col("path")))
-    carriers = held.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & F.col("own_license").isNotNull())
-    licensed = carriers.groupBy("in_folder").agg(F.min(F.struct(-F.col("own_score"), "path", "own_license"))["own_license"].alias("above_license")).withColumnRenamed("in_folder", "above")
-    folders = held.select("in_folder").where("in_folder is not null").distinct()
-    steps = F.split("in_folder", "/")
-    above = F.when(F.col("in_folder") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
+def inherited(files: DataFrame, licence: str = "own_license", score: str = "own_score") -> DataFrame:
+    """``files`` (path, the columns ``licence`` and ``score`` of ``scored``, and more) plus ``license`` and ``inherited_from``."""
+    place, from_folder, from_license = (fresh(files, c) for c in ("in_folder", "from_folder", "from_license"))
+    out, source = fresh(files, "license"), fresh(files, "inherited_from")
+    own, given = F.col(quoted(licence)), [F.col(quoted(c)) for c in files.columns]
+    held = files.withColumn(place, folder_of(F.col("path")))
+    carriers = held.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & own.isNotNull())
+    carriers = carriers.select(F.col(place).alias("above"), F.col(quoted(score)).alias("score"), "path", own.alias("held"))
+    licensed = carriers.groupBy("above").agg(F.min(F.struct(-F.col("score"), "path", "held"))["held"].alias("above_license"))
+    folders = held.select(F.col(place).alias("folder")).where("folder is not null").distinct()
+    steps = F.split("folder", "/")
+    above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
     nearest = (folders.withColumn("above", F.explode(above)).join(licensed, "above")
-               .groupBy("in_folder").agg(F.max(F.struct(F.length("above").alias("n"), "above", "above_license")).alias("best"))
-               .select("in_folder", F.col("best.above").alias("from_folder"), F.col("best.above_license").alias("from_license")))
-    own = F.col("own_license")
-    return (held.join(nearest, "in_folder", "left")
-            .withColumn("license", F.coalesce(own, "from_license")).withColumn("inherited_from", F.when(own.isNull(), F.col("from_folder")))
-            .drop("in_folder", "from_folder", "from_license"))
+               .groupBy("folder").agg(F.max(F.struct(F.length("above").alias("n"), "above", "above_license")).alias("best"))
+               .select(F.col("folder").alias(place), F.col("best.above").alias(from_folder), F.col("best.above_license").alias(from_license)))
+    return held.join(nearest, place, "left").select(*given, F.coalesce(own, F.col(from_license)).alias(out), F.when(own.isNull(), F.col(from_folder)).alias(source))
 
 
 def document_files(docs: DataFrame) -> DataFrame:
@@ -271,4 +293,4 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame) -> DataFrame:
     """Own and inherited licence of every file."""
-    return inherited(stored(scored(files), "licences"))
+    return inherited(stored(scored(files), "licences"), *own_names(files))
