@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chorus.llm.textarrays import SPACED, Words, fresh, map_texts, mix64
+from chorus.llm.textarrays import SPACED, Words, fresh, map_texts, mix64, quoted
 
 SAMPLE = 20_000
 CUT = 0.7
@@ -189,8 +189,10 @@ def _rows(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
 
 
 def scored(docs: DataFrame, model: Trees, keep: list[str] | None = None, name: str = "score", text: str = "text") -> DataFrame:
-    """``docs`` with the model's score of every whole text."""
+    """``docs`` (its columns ``keep``) with the model's score of every whole text, in a column ``name``, with
+    trailing underscores where ``keep`` has that name."""
     keep = docs.columns if keep is None else keep
+    name = fresh(docs.select(*[F.col(quoted(c)) for c in keep]), name)
     parts = (model.base, model.feature, model.cut, model.leaf)
 
     def work(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chorus.llm import components, decontam, html, jaccard, licenses, mixing, quality, rules, shards, urlfilter, warc
+from chorus.llm import components, decontam, html, jaccard, licenses, mixing, quality, rules, shards, shared, urlfilter, warc
 from chorus.llm.textarrays import ALNUM, SPACED, Words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -315,7 +315,7 @@ def test_index_lookup_and_range_reads(spark, monkeypatch):
 def test_range_reads_touch_only_the_wanted_bytes(spark, monkeypatch, tmp_path):
     rows = [(i, f"http://h{i % 3}.org/{i}", f"<p>{i} é" * (1 + i % 50)) for i in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
-    captures = warc.read_archives(spark, warc.write_archives(pages, str(tmp_path / "a b")))
+    captures = shared.stored(warc.read_archives(spark, warc.write_archives(pages, str(tmp_path / "a b"))), "captures")
     payloads = lambda found: sorted((r.page_id, bytes(r.payload).decode()) for r in warc.read_records(found).collect())
     some = captures.where("page_id % 7 = 0")
     want = [(i, h) for i, _, h in rows if i % 7 == 0]
@@ -449,6 +449,40 @@ def test_licences_of_wrapped_headers_and_whole_texts(spark):
     assert got == {p: n for p, _, n in files + inner}
 
 
+def test_licences_keep_given_columns_of_the_new_names(spark):
+    mit = "Released under the MIT License"
+    rows = [("a/LICENSE", mit, "x", 1, "g", "f", True, "p"), ("a/b/c.txt", "nothing here", "y", 2, "h", "f", False, "q"), (None, None, None, None, None, None, None, None)]
+    files = spark.createDataFrame(rows, "path string, text string, own_license string, own_score int, license string, in_folder string, whole boolean, above string")
+    got = {r.path: r.asDict() for r in licenses.scan(files).collect()}
+    assert [got[p]["license_"] for p in ("a/LICENSE", "a/b/c.txt", None)] == ["MIT", "MIT", None] and got["a/b/c.txt"]["inherited_from"] == "a"
+    assert got["a/b/c.txt"]["own_license_"] is None and got["a/LICENSE"]["own_license_"] == "MIT"
+    for path, _, *given in rows:
+        assert [got[path][c] for c in ("own_license", "own_score", "license", "in_folder", "whole", "above")] == given
+
+
+def test_lines_meet_templates_in_slices(monkeypatch):
+    draw = np.random.default_rng(3)
+    weight, n, k = draw.random(40) + 0.5, 300, 7
+    matrix = draw.random((40, k))
+    matrix /= np.linalg.norm(matrix, axis=0)
+    unit = np.sort(draw.integers(0, n, 2000))
+    term = draw.integers(-1, 40, 2000)
+    _, unit = np.unique(unit, return_inverse=True)
+    n = unit.max() + 1
+    worth = np.zeros(k)
+    want = []
+    for u in range(n):
+        own = term[unit == u]
+        vector = np.bincount(own[own >= 0], minlength=40) * weight
+        cosine = vector @ matrix / np.sqrt((vector**2).sum() + (own < 0).sum() * 4.0)
+        want.append((np.where(cosine >= 0.3, cosine, cosine - 1).round(9).argmax(), cosine))
+    for pairs in (1, 3, 50, 1 << 20):
+        monkeypatch.setattr(licenses, "PAIRS", pairs)
+        top, high = licenses.best_templates(term, unit, n, weight, 2.0, matrix, worth, 0.3)
+        assert top.tolist() == [w[0] for w in want]
+        assert np.allclose(high, [c[t] for t, c in want])
+
+
 # 8 quality -------------------------------------------------------------------------------------
 
 
@@ -471,6 +505,8 @@ def test_quality_edge_cases(spark):
     got = quality.judged(docs, labels).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert quality.accepted(docs, labels, 0.0).columns == docs.columns
+    both = quality.scored(docs, quality.train(docs, labels))
+    assert both.columns == [*docs.columns, "score_"] and {r.score for r in both.collect()} == {5}
     assert quality.judged(docs.limit(0), labels.limit(0)).count() == 0
 
 
@@ -517,6 +553,20 @@ def test_automaton_matches_brute_force(spark, vocab, width, block, machines):
         assert all(a.end < b.first for a, b in itertools.pairwise(got[i].spans))
 
 
+def test_automata_are_built_once_per_distinct_item_and_loaded_pass_by_pass(spark):
+    rows = [(str(k), " ".join(f"w{k}x{j}" for j in range(12))) for k in range(30)]
+    items = spark.createDataFrame(rows + [rows[3]] * 3000 + [(None, rows[5][1]), ("e", ""), ("n", None)], "item_id string, text string")
+    made = decontam.passes(items, "item_id", "text", 10, block_bytes=400, machines=2)
+    assert made.blocks == -(-sum(len(t) for _, t in [*rows, rows[5]]) // 400)
+    sent = [[decontam.Automaton.of(b.value) for b in one] for one in made]
+    assert len(sent) == len(made) == -(-made.blocks // 2) and max(len(x) for x in sent) == 2
+    names = [n for one in sent for machine in one for n in machine.names]
+    assert sorted(n or "" for n in names) == sorted([n for n, _ in rows] + [""])
+    docs = spark.createDataFrame([(1, f"so {rows[3][1]} {rows[5][1]}"), (2, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in decontam.scan(docs, items, block_bytes=400, machines=2).collect()}
+    assert got == {1: (24, 3, ["3", "5"]), 2: (0, 0, [])}
+
+
 def test_decontamination_removes_cuts_and_keeps(spark):
     item = " ".join(f"b{k}" for k in range(12))
     clean = " ".join(f"c{k}" for k in range(200))
