@@ -231,6 +231,3 @@ def reasoning_trace(questions: DataFrame, generate: Generate, model: dict, max_r
         steps = _checkpoint(closed.unionByName(upd))
         no += 3
     return steps.select("query_id", F.explode("steps").alias("s")).select("query_id", "s.*")
-
-
-# --- a deterministic stand-in model, for tests and the registered queries -----------------------
