@@ -18,7 +18,7 @@ from chorus.operators import vectors as VC
 from chorus.plans import ml as ML
 from chorus.plans import projection as PJ
 from chorus.plans.extra import scratch_path
-from chorus.plans.registry import _loaded, _pairs, log_of, query
+from chorus.plans.registry import _loaded, _pairs, _pref, answered_log_of, log_of, query, slim_log_of
 from chorus.sources import io as IO
 from chorus.sources.tables import read_table
 from chorus.streaming import stats as ST

@@ -42,6 +42,16 @@ def log_of(spark, sf_dir) -> DataFrame:
     return FX.ensemble_log(spark, sf_dir)
 
 
+def slim_log_of(spark, sf_dir) -> DataFrame:
+    """The log with references in place of the answers' texts, for queries that need no text or only a few (``FX.with_texts``)."""
+    return FX.ensemble_log(spark, sf_dir, refs=True)
+
+
+def answered_log_of(spark, sf_dir) -> DataFrame:
+    """The log with whole final answers, and references in place of the single answers' texts."""
+    return FX.with_texts(spark, sf_dir, slim_log_of(spark, sf_dir), "final_answer")
+
+
 def _joined(col, sep=","):
     return F.array_join(col, sep)
 
@@ -107,7 +117,7 @@ def q_summary(spark, sf):
 @query("attach_scores")
 def q_attach(spark, sf):
     """J1 + A1 on the raw answers, in their original order."""
-    raw = FX.raw_entries(spark, sf)
+    raw = FX.raw_entries(spark, sf, refs=True)
     matched, one = SC.attach_scores(F.col("responses"), F.col("judge.scores"))
     s = raw.select("seq", matched.alias("_m")).select("seq", F.transform("_m", one).alias("_s"))
     ex = s.select("seq", F.explode("_s").alias("r"))
@@ -125,7 +135,7 @@ def q_weighted_total(spark, sf):
 @query("rank_responses")
 def q_rank(spark, sf):
     """Ranks of the scored answers of every question."""
-    scored = SC.score_entries(FX.raw_entries(spark, sf))
+    scored = SC.score_entries(FX.raw_entries(spark, sf, refs=True))
     ex = scored.select("seq", F.explode("ranked").alias("r"))
     return ex.select("seq", "r.rank", "r.model_name", "r.total_score", "r.error")
 
