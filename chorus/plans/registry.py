@@ -142,7 +142,8 @@ def q_rank(spark, sf):
 
 @query("best_of_n")
 def q_best_of_n(spark, sf):
-    return log_of(spark, sf).select("seq", SC.best_of_n(F.col("responses")).alias("best_of_n"))
+    best = slim_log_of(spark, sf).select("seq", SC.best_of_n(F.col("responses")).alias("best_of_n"))
+    return FX.with_texts(spark, sf, best, "best_of_n")
 
 
 @query("best_response")

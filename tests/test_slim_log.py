@@ -13,6 +13,7 @@ from chorus.sources import io as IO
 # Queries whose shuffle by question must not carry texts.
 SLIM = [
     "attach_scores",
+    "best_of_n",
 ]
 
 
