@@ -581,7 +581,7 @@ STANDIN_KEYLESS = ("prov_1",)
 
 
 def _active(spark, sf):
-    cat = CAT.observed_catalog(log_of(spark, sf), STANDIN_CONFIG)
+    cat = CAT.observed_catalog(slim_log_of(spark, sf), STANDIN_CONFIG)
     return CAT.model_catalog(cat, STANDIN_KEYS, STANDIN_KEYLESS)
 
 

@@ -14,6 +14,7 @@ from chorus.sources import io as IO
 SLIM = [
     "attach_scores",
     "best_of_n",
+    "platform_status",
 ]
 
 
