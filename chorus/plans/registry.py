@@ -258,7 +258,7 @@ def q_pair_filter(spark, sf):
 
 
 def _pairs(spark, sf):
-    return COL.training_pairs(log_of(spark, sf))
+    return COL.training_pairs(answered_log_of(spark, sf))
 
 
 @query("training_pairs")

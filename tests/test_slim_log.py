@@ -15,6 +15,7 @@ SLIM = [
     "attach_scores",
     "best_of_n",
     "platform_status",
+    "quality_filter",
 ]
 
 
