@@ -94,7 +94,7 @@ def q_recent_view(spark, sf):
 @query("recent_entries")
 def q_recent(spark, sf):
     """The 20 most recent entries (the service's n)."""
-    return LV.recent_entries(log_of(spark, sf), 20)
+    return LV.recent_entries(slim_log_of(spark, sf), 20)
 
 
 @query("result_view")

@@ -16,6 +16,7 @@ SLIM = [
     "best_of_n",
     "platform_status",
     "quality_filter",
+    "recent_entries",
 ]
 
 
