@@ -88,7 +88,7 @@ def q_non_error(spark, sf):
 
 @query("recent_view")
 def q_recent_view(spark, sf):
-    return LV.recent_view(log_of(spark, sf))
+    return LV.recent_view(slim_log_of(spark, sf))
 
 
 @query("recent_entries")

@@ -17,6 +17,7 @@ SLIM = [
     "platform_status",
     "quality_filter",
     "recent_entries",
+    "recent_view",
 ]
 
 
