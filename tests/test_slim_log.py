@@ -18,6 +18,7 @@ SLIM = [
     "quality_filter",
     "recent_entries",
     "recent_view",
+    "select_judge",
 ]
 
 
