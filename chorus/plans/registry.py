@@ -312,7 +312,7 @@ def q_category_model_avg(spark, sf):
 
 
 def _patterns(spark, sf):
-    return WK.weakness_patterns(log_of(spark, sf))
+    return WK.weakness_patterns(slim_log_of(spark, sf))
 
 
 @query("weakness_patterns")

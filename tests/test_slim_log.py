@@ -19,6 +19,7 @@ SLIM = [
     "recent_entries",
     "recent_view",
     "select_judge",
+    "severity_order",
 ]
 
 
