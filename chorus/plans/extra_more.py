@@ -52,7 +52,7 @@ def q_stream_stats(spark, sf):
 def q_stats_snapshot(spark, sf):
     """A6-A10 + K3 + S5: the stats snapshot written, read back, its count maps as rows."""
     path = scratch_path(spark, "stats")
-    IO.write_stats(COL.stats_snapshot(log_of(spark, sf)), path)
+    IO.write_stats(COL.stats_snapshot(answered_log_of(spark, sf)), path)
     st = IO.read_stats(spark, path)
     rows = [st.select(F.lit(k).alias("kind"), F.explode(m).alias("key", "n")) for k, m in
             (("strategy", "strategy_counts"), ("model", "model_counts"), ("win", "model_wins"))]

@@ -20,6 +20,7 @@ SLIM = [
     "recent_view",
     "select_judge",
     "severity_order",
+    "stats_snapshot",
 ]
 
 
