@@ -21,6 +21,7 @@ SLIM = [
     "select_judge",
     "severity_order",
     "stats_snapshot",
+    "explode_responses",
 ]
 
 
