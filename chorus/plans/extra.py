@@ -28,7 +28,7 @@ def scratch_path(spark, name: str) -> str:
 # --- judge replies and prompts ---------------------------------------------------------------------
 
 def _replies(spark, sf):
-    return JD.standin_judge_replies(FX.raw_entries(spark, sf))
+    return JD.standin_judge_replies(FX.raw_entries(spark, sf, refs=True))
 
 
 @query("extract_judge_json")

@@ -22,6 +22,7 @@ SLIM = [
     "severity_order",
     "stats_snapshot",
     "explode_responses",
+    "extract_judge_json",
 ]
 
 
