@@ -402,9 +402,11 @@ def q_adv_eligible(spark, sf):
 
 @query("failed_responses")
 def q_failed(spark, sf):
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     ex = log.select("seq", F.posexplode(WK.failed_responses(F.col("responses"))).alias("failed_no", "f"))
-    return ex.select("seq", "failed_no", "f.model", "f.score", "f.answer_preview")
+    ex = FX.with_texts(spark, sf, ex.select("seq", "failed_no", "f.model", "f.score", "f.answer_preview"), "answer_preview")
+    # a reference is shorter than a preview; its text is cut here
+    return ex.withColumn("answer_preview", F.substring("answer_preview", 1, R.FAILED_PREVIEW_CHARS))
 
 
 @query("export_adversarial")

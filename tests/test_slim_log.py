@@ -23,6 +23,7 @@ SLIM = [
     "stats_snapshot",
     "explode_responses",
     "extract_judge_json",
+    "failed_responses",
 ]
 
 
