@@ -24,6 +24,7 @@ SLIM = [
     "explode_responses",
     "extract_judge_json",
     "failed_responses",
+    "filter_by_role",
 ]
 
 
