@@ -25,6 +25,7 @@ SLIM = [
     "extract_judge_json",
     "failed_responses",
     "filter_by_role",
+    "judge_fields",
 ]
 
 
