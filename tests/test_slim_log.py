@@ -26,6 +26,7 @@ SLIM = [
     "failed_responses",
     "filter_by_role",
     "judge_fields",
+    "margin",
 ]
 
 
