@@ -27,6 +27,7 @@ SLIM = [
     "filter_by_role",
     "judge_fields",
     "margin",
+    "model_catalog",
 ]
 
 
