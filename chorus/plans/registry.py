@@ -284,7 +284,7 @@ def q_model_counts(spark, sf):
 
 @query("model_wins")
 def q_model_wins(spark, sf):
-    return COL.model_wins(log_of(spark, sf))
+    return COL.model_wins(slim_log_of(spark, sf))
 
 
 @query("training_readiness")

@@ -28,6 +28,7 @@ SLIM = [
     "judge_fields",
     "margin",
     "model_catalog",
+    "model_wins",
 ]
 
 
