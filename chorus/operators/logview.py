@@ -38,11 +38,12 @@ def valid_responses(log: DataFrame) -> DataFrame:
     return ex.filter(is_valid(F.col("r"))).select("seq", "response_pos", "r.model_name", "r.total_score", "r.rank")
 
 
-def non_error_responses(log: DataFrame) -> DataFrame:
-    """Answers with no error (empty content stays)."""
+def non_error_responses(log: DataFrame, resolve=None) -> DataFrame:
+    """Answers with no error (empty content stays). ``resolve`` puts texts in the place of references in ``content``."""
     ex = log.select("seq", F.posexplode(response_fields("model_name", "total_score", "rank", "error", "content")).alias("response_pos", "r"))
-    return ex.filter(~is_error(F.col("r"))).select("seq", "response_pos", "r.model_name", "r.total_score", "r.rank",
-                                                   F.length("r.content").alias("content_chars"))
+    ok = ex.filter(~is_error(F.col("r"))).select("seq", "response_pos", "r.model_name", "r.total_score", "r.rank", "r.content")
+    ok = ok if resolve is None else resolve(ok)
+    return ok.withColumn("content_chars", F.length("content")).drop("content")
 
 
 def recent_view(log: DataFrame) -> DataFrame:

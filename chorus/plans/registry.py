@@ -84,7 +84,7 @@ def q_valid(spark, sf):
 
 @query("non_error_responses")
 def q_non_error(spark, sf):
-    return LV.non_error_responses(log_of(spark, sf))
+    return LV.non_error_responses(slim_log_of(spark, sf), lambda df: FX.with_texts(spark, sf, df, "content"))
 
 
 @query("recent_view")

@@ -29,6 +29,7 @@ SLIM = [
     "margin",
     "model_catalog",
     "model_wins",
+    "non_error_responses",
 ]
 
 
