@@ -289,7 +289,7 @@ def q_model_wins(spark, sf):
 
 @query("training_readiness")
 def q_readiness(spark, sf):
-    return COL.training_readiness(log_of(spark, sf))
+    return COL.training_readiness(answered_log_of(spark, sf))
 
 
 @query("export_chat_log")

@@ -30,6 +30,7 @@ SLIM = [
     "model_catalog",
     "model_wins",
     "non_error_responses",
+    "training_readiness",
 ]
 
 
