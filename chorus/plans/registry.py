@@ -269,7 +269,7 @@ def q_training_pairs(spark, sf):
 
 @query("training_stats")
 def q_training_stats(spark, sf):
-    return COL.training_stats(log_of(spark, sf))
+    return COL.training_stats(answered_log_of(spark, sf))
 
 
 @query("strategy_counts")

@@ -31,6 +31,7 @@ SLIM = [
     "model_wins",
     "non_error_responses",
     "training_readiness",
+    "training_stats",
 ]
 
 
