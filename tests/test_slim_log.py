@@ -32,6 +32,7 @@ SLIM = [
     "non_error_responses",
     "training_readiness",
     "training_stats",
+    "triplets",
 ]
 
 
