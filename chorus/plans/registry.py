@@ -62,7 +62,7 @@ def _joined(col, sep=","):
 def q_scan_log(spark, sf):
     """S1 view: the entry-level fields of every raw record as the collector builds it (the read
     of the JSON lines with the explicit schema is ``scan_log_json``)."""
-    log = log_of(spark, sf)
+    log = answered_log_of(spark, sf)
     return log.select("seq", "id", "timestamp", "query", "strategy", "confidence", "final_answer", "reasoning",
                       F.size("consensus_points").alias("n_consensus"), F.size("disagreement_points").alias("n_disagreements"),
                       "total_latency_ms", LV.n_responses().alias("num_responses"))
@@ -79,7 +79,7 @@ def q_explode(spark, sf):
 
 @query("valid_responses")
 def q_valid(spark, sf):
-    return LV.valid_responses(log_of(spark, sf))
+    return LV.valid_responses(slim_log_of(spark, sf))
 
 
 @query("non_error_responses")
@@ -110,7 +110,7 @@ def q_preview(spark, sf):
 
 @query("result_summary")
 def q_summary(spark, sf):
-    return LV.result_summary(log_of(spark, sf))
+    return LV.result_summary(slim_log_of(spark, sf))
 
 
 # --- scoring -----------------------------------------------------------------------------------
@@ -129,7 +129,7 @@ def q_attach(spark, sf):
 @query("weighted_total")
 def q_weighted_total(spark, sf):
     """A1 recomputed from each stored scores map."""
-    ex = LV.explode_responses(log_of(spark, sf), outer=False, keep=("seq",))
+    ex = LV.explode_responses(slim_log_of(spark, sf), outer=False, keep=("seq",))
     return ex.select("seq", "response_pos", SC.total_from_map("scores").alias("weighted_total"))
 
 
@@ -150,61 +150,61 @@ def q_best_of_n(spark, sf):
 @query("best_response")
 def q_best_response(spark, sf):
     b = SC.best_response(F.col("responses"))
-    return log_of(spark, sf).select("seq", b["model_name"].alias("best_model"), b["total_score"].alias("best_score"))
+    return slim_log_of(spark, sf).select("seq", b["model_name"].alias("best_model"), b["total_score"].alias("best_score"))
 
 
 @query("total_latency")
 def q_total_latency(spark, sf):
-    return log_of(spark, sf).select("seq", "total_latency_ms")
+    return slim_log_of(spark, sf).select("seq", "total_latency_ms")
 
 
 # --- text rules ----------------------------------------------------------------------------------
 
 @query("classify_question")
 def q_classify(spark, sf):
-    return log_of(spark, sf).select("seq", TX.classify_question("query").alias("question_type"))
+    return slim_log_of(spark, sf).select("seq", TX.classify_question("query").alias("question_type"))
 
 
 @query("estimate_difficulty")
 def q_difficulty(spark, sf):
-    return log_of(spark, sf).select("seq", TX.estimate_difficulty("query").alias("difficulty"))
+    return slim_log_of(spark, sf).select("seq", TX.estimate_difficulty("query").alias("difficulty"))
 
 
 @query("categorize_query")
 def q_categorize(spark, sf):
-    return log_of(spark, sf).select("seq", _joined(TX.categorize_query("query")).alias("categories"))
+    return slim_log_of(spark, sf).select("seq", _joined(TX.categorize_query("query")).alias("categories"))
 
 
 # --- routing -------------------------------------------------------------------------------------
 
 @query("model_perf")
 def q_model_perf(spark, sf):
-    return RT.model_perf(log_of(spark, sf)).drop("first_seen")
+    return RT.model_perf(slim_log_of(spark, sf)).drop("first_seen")
 
 
 @query("strategy_perf")
 def q_strategy_perf(spark, sf):
-    return RT.strategy_perf(log_of(spark, sf)).drop("first_seen")
+    return RT.strategy_perf(slim_log_of(spark, sf)).drop("first_seen")
 
 
 @query("type_counts")
 def q_type_counts(spark, sf):
-    return RT.type_counts(log_of(spark, sf))
+    return RT.type_counts(slim_log_of(spark, sf))
 
 
 @query("top_models_by_type")
 def q_top_models(spark, sf):
-    return RT.top_models_by_type(RT.model_perf(log_of(spark, sf))).select("question_type", "model_name", "model_rank", "avg_score")
+    return RT.top_models_by_type(RT.model_perf(slim_log_of(spark, sf))).select("question_type", "model_name", "model_rank", "avg_score")
 
 
 @query("best_strategy")
 def q_best_strategy(spark, sf):
-    return RT.best_strategy(RT.strategy_perf(log_of(spark, sf))).select(
+    return RT.best_strategy(RT.strategy_perf(slim_log_of(spark, sf))).select(
         "question_type", F.col("strategy").alias("best_strategy"), "avg_confidence")
 
 
 def _routed(spark, sf):
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     return RT.route(log.select("seq", "query"), RT.performance_by_type(log))
 
 
@@ -243,7 +243,7 @@ def q_route_expl(spark, sf):
 
 @query("perf_lookup")
 def q_perf_lookup(spark, sf):
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     j = RT.perf_lookup(log.select("seq", "query"), RT.performance_by_type(log))
     top = F.get(F.coalesce("ranked_models", F.array()), 0)
     return j.select("seq", "question_type", F.coalesce(F.size("ranked_models"), F.lit(0)).alias("n_models"),
@@ -255,7 +255,7 @@ def q_perf_lookup(spark, sf):
 
 @query("training_pair_filter")
 def q_pair_filter(spark, sf):
-    return COL.training_pair_filter(log_of(spark, sf)).select("seq")
+    return COL.training_pair_filter(answered_log_of(spark, sf)).select("seq")
 
 
 def _pairs(spark, sf):
@@ -274,12 +274,12 @@ def q_training_stats(spark, sf):
 
 @query("strategy_counts")
 def q_strategy_counts(spark, sf):
-    return COL.strategy_counts(log_of(spark, sf))
+    return COL.strategy_counts(slim_log_of(spark, sf))
 
 
 @query("model_counts")
 def q_model_counts(spark, sf):
-    return COL.model_counts(log_of(spark, sf))
+    return COL.model_counts(slim_log_of(spark, sf))
 
 
 @query("model_wins")
@@ -303,13 +303,13 @@ def q_export_chat(spark, sf):
 
 @query("category_stats")
 def q_category_stats(spark, sf):
-    return WK.category_stats(log_of(spark, sf)).select(
+    return WK.category_stats(slim_log_of(spark, sf)).select(
         "category", "count", "disagreement_rate", "low_confidence_rate", "avg_score", "n_scores")
 
 
 @query("category_model_avg")
 def q_category_model_avg(spark, sf):
-    return WK.category_model_avg(log_of(spark, sf)).drop("first_seen")
+    return WK.category_model_avg(slim_log_of(spark, sf)).drop("first_seen")
 
 
 def _patterns(spark, sf):
@@ -344,7 +344,7 @@ def q_severity_order(spark, sf):
 
 @query("first_k_examples")
 def q_first_k(spark, sf):
-    ex = WK.first_k_examples(log_of(spark, sf))
+    ex = WK.first_k_examples(slim_log_of(spark, sf))
     return ex.select("category", F.posexplode("example_queries").alias("example_no", "query"))
 
 
@@ -356,7 +356,7 @@ def q_describe(spark, sf):
 @query("top_weak_models")
 def q_top_weak(spark, sf):
     """The first three weak models of each category (the description's list)."""
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     cs = WK.category_stats(log).filter(F.col("count") >= R.MIN_CATEGORY_ENTRIES)
     cm = WK.category_model_avg(log).join(F.broadcast(cs.select("category", F.col("avg_score").alias("cat_avg"))), "category")
     weak = cm.filter(F.col("avg_score") < F.col("cat_avg") * R.WEAK_MODEL_FACTOR)
@@ -368,7 +368,7 @@ def q_top_weak(spark, sf):
 @query("weakness_report_entries")
 def q_report_entries(spark, sf):
     """A16 entries (lists joined for comparison)."""
-    r = WK.weakness_report_entries(log_of(spark, sf))
+    r = WK.weakness_report_entries(slim_log_of(spark, sf))
     return r.select("category", "severity", "avg_score", "disagreement_rate", "example_count",
                     _joined(F.col("affected_models")).alias("affected_models"),
                     _joined(F.col("sample_queries"), "\n").alias("sample_queries"))
@@ -376,11 +376,11 @@ def q_report_entries(spark, sf):
 
 @query("weakness_report")
 def q_report(spark, sf):
-    return WK.weakness_report(log_of(spark, sf))
+    return WK.weakness_report(slim_log_of(spark, sf))
 
 
 def _adversarial(spark, sf):
-    return WK.adversarial_examples(log_of(spark, sf))
+    return WK.adversarial_examples(slim_log_of(spark, sf))
 
 
 @query("adversarial_examples")
@@ -397,7 +397,7 @@ def q_weak_match(spark, sf):
 
 @query("adversarial_eligible")
 def q_adv_eligible(spark, sf):
-    return WK.adversarial_eligible(log_of(spark, sf)).select("seq")
+    return WK.adversarial_eligible(slim_log_of(spark, sf)).select("seq")
 
 
 @query("failed_responses")
@@ -411,7 +411,7 @@ def q_failed(spark, sf):
 
 @query("export_adversarial")
 def q_export_adv(spark, sf):
-    ex = WK.export_adversarial(_adversarial(spark, sf))
+    ex = WK.export_adversarial(FX.with_texts(spark, sf, _adversarial(spark, sf), "best_answer"))
     turns = COL.explode_turns(ex, "messages").filter(F.col("role") != "system")
     return turns
 
@@ -455,7 +455,7 @@ def q_triplets(spark, sf):
 
 @query("debate_pairs")
 def q_debate(spark, sf):
-    return PR.debate_pairs(log_of(spark, sf)).select("seq", "debater", "model_name", "other_model_name")
+    return PR.debate_pairs(slim_log_of(spark, sf)).select("seq", "debater", "model_name", "other_model_name")
 
 
 # --- dataset preparation -----------------------------------------------------------------------------
@@ -612,7 +612,7 @@ def q_select_judge(spark, sf):
 
 @query("request_defaults")
 def q_request_defaults(spark, sf):
-    reqs = log_of(spark, sf).select("seq", "query", "strategy", F.lit(None).cast("string").alias("system_prompt"))
+    reqs = slim_log_of(spark, sf).select("seq", "query", "strategy", F.lit(None).cast("string").alias("system_prompt"))
     return CAT.request_defaults(reqs, config_strategy=None).select("seq", "strategy", "system_prompt")
 
 
@@ -620,7 +620,7 @@ def q_request_defaults(spark, sf):
 def q_validate(spark, sf):
     """P16 on requests made from the log: strategy as logged (missing -> default), and the roles
     of the answering models' ids mapped through the config (unmapped ids give an unknown role)."""
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     roles = STANDIN_CONFIG["roles"]
     role_of = lambda x: F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in roles.items()], F.lit("unknown"))
     reqs = CAT.request_defaults(log.select(
@@ -634,13 +634,13 @@ def q_fan_out(spark, sf):
     """Every logged question with every active model of the stand-in configuration."""
     models = [{"model_id": f"m{i}", "model_name": f"model_{i}", "provider": f"prov_{i % 3}",
                "role": STANDIN_CONFIG["roles"].get(f"m{i}", R.DEFAULT_ROLE)} for i in range(6) if i % 3 != 2]
-    prompts = log_of(spark, sf).select("seq", "query")
+    prompts = slim_log_of(spark, sf).select("seq", "query")
     return CAT.fan_out(prompts, models).select("seq", "model_pos", "model_id", "provider", "role")
 
 
 @query("catalog_lookup")
 def q_catalog_lookup(spark, sf):
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     cat = CAT.observed_catalog(log, STANDIN_CONFIG)
     resp = LV.explode_responses(log, outer=False, keep=("seq",)).select("seq", "response_pos", "model_id")
     return CAT.catalog_lookup(resp, cat)
@@ -648,7 +648,7 @@ def q_catalog_lookup(spark, sf):
 
 @query("request_params")
 def q_request_params(spark, sf):
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     ex = LV.explode_responses(log, outer=False, keep=("seq",)).select("seq", "response_pos", "model_id")
     p = CAT.request_params("model_id", F.lit(0.7), F.lit(4096))
     return ex.select("seq", "response_pos", p.alias("p")).select("seq", "response_pos", "p.*")
@@ -656,14 +656,14 @@ def q_request_params(spark, sf):
 
 @query("pseudo_quality_targets")
 def q_pseudo(spark, sf):
-    t = PR.triplets(log_of(spark, sf))
+    t = PR.triplets(slim_log_of(spark, sf))
     return t.select("seq", "triplet_no", F.posexplode(CAT.pseudo_quality_targets("good_score")).alias("dim", "target"))
 
 
 @query("difficulty_steps")
 def q_steps(spark, sf):
     lvl = F.array_position(F.array(*[F.lit(d) for d in R.DIFFICULTIES]), TX.estimate_difficulty("query")).cast("int") - 1
-    log = log_of(spark, sf)
+    log = slim_log_of(spark, sf)
     return log.select("seq", lvl.alias("level"), CAT.difficulty_steps(lvl).alias("steps"))
 
 

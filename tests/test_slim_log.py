@@ -33,6 +33,7 @@ SLIM = [
     "training_readiness",
     "training_stats",
     "triplets",
+    "perf_lookup",
 ]
 
 
