@@ -6,8 +6,9 @@
 3. Gradient-boosted trees score each proposed span by its format (lengths, digit groups, separators, checksum) and
    context (cue words before it, characters that touch it). They are trained here: spans of the corpus that the base checks
    verify are positive, also respelled and regrouped; spans that the checks refute and made decoys (broken
-   checksums, versions, dates, prose) are negative. At most ``SAMPLE`` spans per kind, those of smallest hash, are used.
-4. On spans whose hash was kept out of the fit, each kind gets the lowest threshold at which at least
+   checksums, versions, dates, prose) are negative. All distinct spans of the corpus are used: those of equal features are
+   counted, and the trees are fitted on the counted rows, each kind weighing the same in all.
+4. On all spans whose hash was kept out of the fit, each kind gets the lowest threshold at which at least
    ``PRECISION`` of the spans above it are right; a kind that reaches it nowhere adds nothing.
 5. Of overlapping spans the base ones stay; where there is none, the one of the highest score does.
 
@@ -32,7 +33,7 @@ from chorus.llm.shared import stored
 from chorus.llm.textarrays import fresh, quoted
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE = 500
+FIT_ROWS = 100_000     # counted rows of a task that fits trees
 PRECISION = 0.98
 TREES, DEPTH = 12, 4
 BEFORE, AFTER = 24, 12
@@ -162,17 +163,15 @@ def with_features(spans: DataFrame) -> DataFrame:
     return spans.withColumns({k: made[k] for k in FEATURES})
 
 
-def _chosen(spans: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` spans per kind that the checks verify, and as many that they refute."""
+def _chosen(spans: DataFrame) -> DataFrame:
+    """The distinct spans that the checks verify, and those that they refute."""
     text, kind = F.col("text"), F.col("kind")
     digits = digits_of(text)
     verified = (F.when(kind == "email", text.rlike(f"^{BASE['email']}$")).when(kind == "ip", text.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"))
                 .when(kind == "card", text.rlike(r"^[0-9](?:[\x20-]?[0-9]){15,18}$") & luhn(digits)).otherwise(text.rlike(r"^\+") & F.length(digits).between(8, 15)))
     refuted = (F.when(kind == "card", ~luhn(digits)).when(kind == "ip", text.rlike(r"^[0-9.]+$") & ~text.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")).otherwise(False))
     marked = spans.where("wide").select("kind", "text", "before", "after", verified.alias("right")).where(F.col("right") | refuted).distinct()
-    hashed = marked.withColumn("hash", F.xxhash64("kind", "text"))
-    order = Window.partitionBy("kind", "right").orderBy("hash", "text", "before", "after")
-    return hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).drop("place")
+    return marked.withColumn("hash", F.xxhash64("kind", "text"))
 
 
 def _examples(chosen: DataFrame) -> DataFrame:
@@ -234,28 +233,36 @@ class Judge:
 
 
 def calibrated(scored: DataFrame, precision: float = PRECISION) -> dict[str, float]:
-    """Per kind the lowest score in steps of 0.01 from which on at least ``precision`` of the labelled spans are right."""
+    """Per kind the lowest score in steps of 0.01 from which on at least ``precision`` of the labelled spans are right; ``n``: spans of a row."""
     step = F.least(F.floor(F.col("score") * 100), F.lit(99))
-    tally = scored.groupBy("kind", step.alias("step")).agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
+    tally = scored.groupBy("kind", step.alias("step")).agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n"))
     above = Window.partitionBy("kind").orderBy(F.desc("step"))
     share = F.sum("right").over(above) / F.sum("n").over(above)
     good = tally.withColumn("share", share).where((F.col("share") >= precision) & (F.col("right") > 0)).groupBy("kind").agg(F.min("step").alias("step"))
     return {r.kind: max(r.step / 100, 0.5) for r in good.collect()}
 
 
-def train(spans: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Judge:
+def counted(spans: DataFrame) -> DataFrame:
+    """Stored: the examples of all spans by ``kind``, ``label``, ``held`` (kept out of the fit) and FEATURES, with their number ``n``."""
+    rows = with_features(_examples(_chosen(spans)).where("text is not null")).withColumn("held", F.pmod("hash", F.lit(4)) == 0)
+    return stored(rows.groupBy("kind", "label", "held", *FEATURES).agg(F.count(F.lit(1)).alias("n")), "examples")
+
+
+def train(spans: DataFrame, precision: float = PRECISION) -> Judge:
     """Fit the trees on spans of the corpus: three quarters of the hashes fit them, the others set the thresholds."""
-    rows = _examples(_chosen(spans, sample)).where("text is not null")
-    held = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(rows))
-    # one task's worth of rows, at most 2 * 15 * SAMPLE per kind, in a fixed order so that reruns fit the same trees
-    held = stored(held.select("kind", "text", "before", "after", "label", "hash", "features").coalesce(1).sortWithinPartitions("hash", "text", "before", "label"), "examples")
-    fit_on = held.where(F.pmod("hash", F.lit(4)) != 0)
-    if fit_on.select("label").distinct().count() < 2:
+    examples = counted(spans)
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    fit_on = examples.where("not held")
+    size = fit_on.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("label").alias("labels")).first()
+    if size.labels < 2:
         return Judge(None, {})
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.4, seed=11, checkpointInterval=-1)
-    model = trees.fit(fit_on.withColumn("label", F.col("label").cast("double")))
-    known = model.transform(held.where(F.pmod("hash", F.lit(4)) == 0)).withColumn("score", vector_to_array("probability")[1])
-    return Judge(model, calibrated(known.select("kind", "label", "score"), precision))
+    # in a fixed order, so that reruns fit the same trees; beyond FIT_ROWS, sums of several tasks may differ in their last bits
+    own = fit_on.join(F.broadcast(fit_on.groupBy("kind").agg(F.sum("n").alias("all"))), "kind").withColumn("weight", F.col("n") / F.col("all") * size.rows)
+    own = own.repartition(-(-size.rows // FIT_ROWS), *FEATURES).sortWithinPartitions("kind", *FEATURES, "label")
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.4, seed=11, checkpointInterval=-1)
+    model = trees.fit(assembler.transform(own).select("features", F.col("label").cast("double").alias("label"), "weight"))
+    known = model.transform(assembler.transform(examples.where("held"))).withColumn("score", vector_to_array("probability")[1])
+    return Judge(model, calibrated(known.select("kind", "label", "n", "score"), precision))
 
 
 # selection -------------------------------------------------------------------------------------
@@ -281,12 +288,12 @@ def listed(rows: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(rows), lambda r: F.concat_ws(":", name(r["kind"]), r["start"].cast("string"), r["end"].cast("string"))), ",")
 
 
-def personal(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def personal(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """Per document: ``doc_id``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` and ``base_sha256`` of the base spans, ``spans`` (all
     that stay) and ``n_added``."""
     found = matched(docs, ["doc_id"])
     spans = spans_of(found)
-    kept = selected(spans, train(spans, sample, precision))
+    kept = selected(spans, train(spans, precision))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1
     row = F.struct(number.cast("int").alias("kind"), F.col("start"), F.col("end"))
     per_row = kept.groupBy("spot").agg(
@@ -298,13 +305,13 @@ def personal(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION
                       F.sha2(listed(F.coalesce("base", none)), 256).alias("base_sha256"), listed(F.coalesce("every", none)).alias("spans"), F.coalesce("n_added", F.lit(0).cast("long")).alias("n_added"))
 
 
-def redacted(df: DataFrame, text: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def redacted(df: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
     """``df``, stored once, with ``redacted``: its text with overlapping spans replaced together by their first kind in brackets."""
     name, spot = fresh(df, "redacted"), fresh(df, "spot")
     held = stored(df.withColumn(spot, F.monotonically_increasing_id()), "texts")
     found = matched(held, [spot], text)
     spans = spans_of(found)
-    runs = selected(spans, train(spans, sample, precision)).groupBy("spot", "cluster").agg(F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"), F.max("end").alias("end"))
+    runs = selected(spans, train(spans, precision)).groupBy("spot", "cluster").agg(F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"), F.max("end").alias("end"))
     rows = runs.groupBy("spot").agg(F.sort_array(F.collect_list(F.struct(F.col("cluster").alias("start"), "end", "kind"))).alias("runs"))
     rows = found.join(rows, "spot").select(F.col("keep_0").alias("own_spot"), "runs")
     body = F.col(quoted(text)).cast("string")

@@ -206,6 +206,17 @@ def private_rows():
     return rows + odd
 
 
+def test_personal_examples_are_of_all_spans(spark):
+    text = " ".join(f"user{i}x{i * 7}@host{i}.example.org," for i in range(700))
+    docs = table(spark, [(text if k < 2 else f"call +49 30 {k}{k}1234567", "en", "s") for k in range(5)])
+    spans = personal.spans_of(personal.matched(docs, ["doc_id"]))
+    chosen = personal._chosen(spans)
+    assert chosen.where("kind = 'email' and right").select("text").distinct().count() == 700
+    rows = personal.counted(spans)
+    made = personal._examples(chosen).where("text is not null")
+    assert rows.agg({"n": "sum"}).first()[0] == made.count() and rows.where("held").agg({"n": "sum"}).first()[0] == made.where("pmod(hash, 4) = 0").count() > 0
+
+
 def test_personal_data_against_brute_force(spark):
     texts = private_rows()
     rows = [(t, "en", "s") for t in texts]
