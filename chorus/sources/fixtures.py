@@ -7,7 +7,9 @@ the raw record itself and every analysis are computed by the library from these
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorus.operators import scoring
@@ -127,6 +129,48 @@ def _entry_fields(facts) -> list:
 DIMS = ["accuracy", "completeness", "reasoning_quality", "clarity"]
 # What an answer is made from, in the order of a question's answers.
 ANSWER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+TASK_ANSWERS = 100_000     # answers that one task collects by question, on average; they are several times wider there than in the shuffle
+NO_COPY = 15               # stands for no copy number in a packed answer
+
+
+def _packed(a: DataFrame) -> DataFrame:
+    """``_answers`` by reference as entry_id and two numbers that hold all other columns bit by bit, for the shuffle. An answer with a
+    column that has no room there (null, negative, zero or large, a price not in cents, a day with a time) keeps all of them in
+    ``rest``; ``_unpacked`` gives the same rows back."""
+    kinds = dict(a.dtypes)
+    n, part, supp, q, x, d = (F.col(c) for c in ANSWER)
+    qty = F.when((q > 0) & (q < 1 << 12), q.cast("long"))
+    cents = F.when((x > 0) & (x < 1 << 24), F.rint(x * 100).cast("long"))
+    day = F.unix_date(d.cast("date")).cast("long")
+    # copies by two, a failed answer (whose copy is 0) as 1
+    code = F.coalesce(F.when(F.col("failed"), F.lit(1)).otherwise(F.col("said").cast("long") * 2), F.lit(NO_COPY))
+    fits = (n.between(0, (1 << 8) - 1) & part.between(0, (1 << 31) - 1) & supp.between(0, (1 << 24) - 1) & (qty.cast(kinds["l_quantity"]) == q)
+            & ((cents / 100).cast(kinds["l_extendedprice"]) == x) & day.between(0, (1 << 16) - 1)
+            & (F.date_from_unix_date(day.cast("int")).cast(kinds["l_shipdate"]) == d) & ((code < NO_COPY) | F.col("said").isNull()))
+    bits = lambda *parts: F.when(F.col("_fits"), reduce(Column.bitwiseOR, [F.shiftleft(c.cast("long"), k) for c, k in parts]))
+    return a.withColumn("_fits", F.coalesce(fits, F.lit(False))).select(
+        "entry_id", bits((part, 32), (supp, 8), (n, 0)).alias("who"), bits((cents, 32), (day, 16), (qty, 4), (code, 0)).alias("what"),
+        F.when(~F.col("_fits"), F.struct(*ANSWER, "said", "failed")).alias("rest"))
+
+
+def _unpacked(p: DataFrame, kinds: dict) -> DataFrame:
+    """The rows that ``_packed`` was given, whose column types are ``kinds``."""
+    part = lambda c, k, width: F.shiftright(c, k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    code = part("what", 0, 4)
+    held = {
+        "l_linenumber": part("who", 0, 8), "l_partkey": part("who", 32, 31), "l_suppkey": part("who", 8, 24), "l_quantity": part("what", 4, 12),
+        "l_extendedprice": part("what", 32, 31) / 100, "l_shipdate": F.date_from_unix_date(part("what", 16, 16).cast("int")),
+        "said": F.when(code != NO_COPY, F.shiftright(code, 1)), "failed": F.when(code == 1, F.lit(True)),
+    }
+    return p.select("entry_id", *[F.when(F.col("rest").isNull(), v.cast(kinds[c])).otherwise(F.col(f"rest.{c}")).alias(c) for c, v in held.items()])
+
+
+def _by_entry(spark: SparkSession, a: DataFrame, rows: int) -> DataFrame:
+    """Answers by reference moved by entry, packed, to so many partitions that a task's share does not grow with the table (partitions
+    of a size in the shuffle would hold too many of them)."""
+    cores = spark.sparkContext.defaultParallelism
+    n = 1 + max(rows // TASK_ANSWERS, min(cores, rows // (TASK_ANSWERS // 10)))
+    return _unpacked(_packed(a).repartition(n, "entry_id"), dict(a.dtypes))
 
 
 def _answers(spark: SparkSession, sf_dir: str, docs: DataFrame, facts, refs: bool) -> DataFrame:
@@ -139,7 +183,7 @@ def _answers(spark: SparkSession, sf_dir: str, docs: DataFrame, facts, refs: boo
     r = li.join(given, F.col("l_partkey") % F.lit(facts.n_keys) == F.col("m_doc"), "left")
     r = r.select(F.col("l_orderkey").alias("entry_id"), *ANSWER, said.alias("said"), failed.alias("failed"))
     # without texts, whole rows are narrow: they move once, unsorted
-    return r.repartition("entry_id") if refs else r
+    return _by_entry(spark, r, li.count()) if refs else r
 
 
 def _judged(a: DataFrame) -> DataFrame:
