@@ -129,7 +129,7 @@ def _entry_fields(facts) -> list:
 DIMS = ["accuracy", "completeness", "reasoning_quality", "clarity"]
 # What an answer is made from, in the order of a question's answers.
 ANSWER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-TASK_ANSWERS = 100_000     # answers that one task collects by question, on average; they are several times wider there than in the shuffle
+TASK_ANSWERS = 200_000     # answers that one task collects by question, on average; they are several times wider there than in the shuffle
 NO_COPY = 15               # stands for no copy number in a packed answer
 
 
