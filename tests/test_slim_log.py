@@ -132,3 +132,9 @@ def test_answers_move_packed_in_bounded_shares(spark, tables, name, monkeypatch)
     # the questions meet the answers where they are: these do not move again
     whole = df._jdf.queryExecution().executedPlan().toString()
     assert whole.count("hashpartitioning(entry_id") == len(moved) and "hashpartitioning(r_entry" not in whole
+
+
+def test_packed_bytes_that_vary_stand_together(spark):
+    """The two numbers come first, then the question, then what is nearly always null: LZ4 finds one run of equal bytes a row."""
+    a = spark.createDataFrame(ANSWER_ROWS, "entry_id long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp, said int, failed boolean")
+    assert FX._packed(a).columns == ["who", "what", "entry_id", "rest"]
