@@ -104,3 +104,21 @@ def test_reward_model_without_pairs(spark):
     assert not weights.any() and RW.report(stored, weights).first().n_learned == 0
     same = RW.pair_rows(spark.createDataFrame([(1, "a b", "a b"), (2, "", None)], "seq long, chosen string, rejected string"))
     assert not RW.fit(same).any()
+
+
+def test_gradient_of_a_batch_is_that_of_its_rows():
+    import pyarrow as pa
+
+    weights = np.linspace(-1, 1, 8)
+    rows = [([0, 3], [0.5, -0.5]), ([], []), ([3, 7], [1.0, 0.25])]
+    batch = pa.RecordBatch.from_pydict({"fold": [1, 2, 3], "slots": pa.array([s for s, _ in rows], pa.list_(pa.int32())), "values": pa.array([v for _, v in rows], pa.list_(pa.float64()))})
+    want = np.zeros(8)
+    for s, v in rows[1:]:
+        np.add.at(want, np.array(s, int), -1 / (1 + np.exp(weights[np.array(s, int)] @ np.array(v))) * np.array(v))
+    # a slice shares its parent's elements
+    total, n = np.zeros(8), 0
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(RW, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+        for got in RW._gradients(weights)(iter([batch.slice(1, 2), batch.slice(0, 0)])):
+            n, total = got.column("n")[0].as_py(), np.array(got.column("total")[0].as_py())
+    assert n == 2 and np.allclose(total, want, atol=1e-12)
